@@ -273,27 +273,27 @@ def _labels(session):
     def run(spark, d):
         if session:
             df = ft.forward_labels(tb.bars_intraday(spark, d), periods=3, session="session_date")
-            return rounded(df.select("symbol", "session_date", "hour", "future_return", "label"))
+            return rounded(df.select("symbol", "session_date", "hour", "future_return", F.col("label").cast("double")))
         df = ft.forward_labels(tb.bars_daily(spark, d))
-        return rounded(df.select("symbol", "date", "future_return", "label"))
+        return rounded(df.select("symbol", "date", "future_return", F.col("label").cast("double")))
 
     return run
 
 
 QUERIES["labels_dead_zone"] = _labels(False)
 QUERIES["labels_session_aware"] = _labels(True)
-_LAB = "CASE WHEN future_return > 0.003 THEN 1 WHEN future_return < -0.003 THEN 0 END AS label"
+_LAB = "CASE WHEN future_return > 0.003 THEN 1.0 WHEN future_return < -0.003 THEN 0.0 END AS label"
 SQL["labels_dead_zone"] = final(
     DAILY + ",\nf AS (SELECT symbol, date, lead(close, 5) OVER (PARTITION BY symbol ORDER BY date) / close - 1 AS future_return FROM bars)",
     f"SELECT symbol, date, future_return, {_LAB} FROM f WHERE future_return IS NOT NULL",
-    "symbol, date, label",
+    "symbol, date",
 )
 SQL["labels_session_aware"] = final(
     INTRADAY + """,
 f AS (SELECT symbol, session_date, hour, CASE WHEN lead(session_date, 3) OVER (PARTITION BY symbol ORDER BY date) = session_date
   THEN lead(close, 3) OVER (PARTITION BY symbol ORDER BY date) / close - 1 END AS future_return FROM bars)""",
     f"SELECT symbol, session_date, hour, future_return, {_LAB} FROM f WHERE future_return IS NOT NULL",
-    "symbol, session_date, hour, label",
+    "symbol, session_date, hour",
 )
 
 

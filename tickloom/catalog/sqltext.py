@@ -52,7 +52,9 @@ oi AS MATERIALIZED (SELECT g.date, g.client_type,
 
 def final(ctes: str, body: str, keys: str = "", places: int = 6, recursive: bool = False) -> str:
     """WITH ctes, then the body's rows with every column outside `keys` rounded."""
-    cols = f"{keys}, round(COLUMNS(* EXCLUDE ({keys})), {places})" if keys else f"round(COLUMNS(*), {places})"
+    nudge = repr(10.0**-places / 30)
+    pick = f"* EXCLUDE ({keys})" if keys else "*"
+    cols = (f"{keys}, " if keys else "") + f"round(COLUMNS({pick}) + {nudge}, {places}) + 0.0"
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes},\nbody AS ({body})\nSELECT {cols} FROM body"
 
 

@@ -99,9 +99,16 @@ def expectancy(win_rate, avg_win, avg_loss) -> Column:
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every DOUBLE column (reporting precision); -0.0 becomes 0.0."""
+    """Round every DOUBLE column to reporting precision; -0.0 becomes 0.0.
+
+    The value is first moved by a thirtieth of the last place, a distance no short decimal has from a rounding
+    boundary: two engines that differ in the last bit of an exact half then still agree.
+    """
+    nudge = F.lit(10.0**-places / 30)
     out = []
     for f in df.schema.fields:
         col = F.col(f"`{f.name}`")
-        out.append((F.round(col, places) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else col)
+        if isinstance(f.dataType, T.DoubleType):
+            col = (F.round(col + nudge, places) + F.lit(0.0)).alias(f.name)
+        out.append(col)
     return df.select(*out)

@@ -1,8 +1,8 @@
 """Technical feature library.
 
-Every family is a set of columns assigned to layers. A layer only reads columns of earlier layers, so any
-selection of families is planned as one chain of Window nodes over a single shuffle on the series key:
-all windows share (key; chunk, date) order, which Catalyst recognises and sorts once.
+Every family is a set of columns assigned to levels. A level only reads columns of lower levels, so the levels
+of any selection of families merge and are planned as one short chain of Window nodes over a single shuffle on
+the series key: all windows share (key; chunk, date) order, which Catalyst recognises and sorts once.
 
 Recursive smoothing y_t = a*x_t + (1-a)*y_{t-1} is a scaled prefix sum inside chunks of CHUNK rows plus the
 decayed end value of the previous chunk. With CHUNK = 1024 the weight of anything older is below 2e-18 for
@@ -56,14 +56,25 @@ class SeriesSpec:
         )
 
 
-def with_layers(df: DataFrame, layers: dict[int, dict[str, Column]]) -> DataFrame:
+Layers = dict[int, dict[str, Column]]
+
+
+def apply_layers(df: DataFrame, layers: Layers) -> DataFrame:
     for level in sorted(layers):
         df = df.withColumns(layers[level])
     return df
 
 
-def smooth(df: DataFrame, s: SeriesSpec, wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """Exponential smoothing of several columns at once: {output: (input, alpha)}."""
+def merge_layers(*parts: Layers) -> Layers:
+    out: Layers = {}
+    for part in parts:
+        for level, cols in part.items():
+            out.setdefault(level, {}).update(cols)
+    return out
+
+
+def smooth(s: SeriesSpec, level: int, wanted: dict[str, tuple[str, float]]) -> Layers:
+    """Exponential smoothing {output: (input, alpha)}; inputs live below `level`, outputs at `level` + 2."""
     local, carry, total = {}, {}, {}
     for out, (x, a) in wanted.items():
         q = 1.0 - a
@@ -75,193 +86,176 @@ def smooth(df: DataFrame, s: SeriesSpec, wanted: dict[str, tuple[str, float]]) -
         total[out] = F.col(f"_l_{out}") + F.coalesce(
             F.col(f"_k_{out}") * F.pow(F.lit(q), F.col("_pos") + 1), F.lit(0.0)
         )
-    df = with_layers(df, {0: local, 1: carry, 2: total})
-    return df.drop(*local, *carry)
+    return {level: local, level + 1: carry, level + 2: total}
 
 
 def span_alpha(n: int) -> float:
     return 2.0 / (n + 1)
 
 
-# --------------------------------------------------------------------------------------------------
-# Families: each takes a positioned frame and returns it with the family's columns added.
-
+def _strength(up: str, down: str) -> Column:
+    """100 - 100/(1 + up/down); only gains gives 100, no movement at all is missing."""
+    u, d = F.col(up), F.col(down)
+    return F.when(d != 0, 100 - 100 / (1 + u / F.nullif(d, F.lit(0.0)))).when(u > 0, F.lit(100.0))
 
-def returns_family(df: DataFrame, s: SeriesSpec) -> DataFrame:
-    close = F.col("close")
-    first = {"_c1": s.lag("close")}
-    first |= {f"returns_{k}d": div(close, s.lag("close", k)) - 1 for k in (5, 10, 20)}
-    return with_layers(
-        df,
-        {
-            0: first,
-            1: {"returns": div(close, "_c1") - 1, "log_returns": F.ln(div(close, "_c1"))},
-            2: {
-                f"volatility_{n}d": s.roll(F.stddev_samp, "returns", n) * math.sqrt(252) for n in (5, 20)
-            },
-        },
-    ).drop("_c1")
 
+# --------------------------------------------------------------------------------------------------
+# Families. Level 0 is row-wise; names with a leading underscore are helpers and are dropped at the end.
+# Helpers of the same name have the same definition in every family.
 
-def averages_family(df: DataFrame, s: SeriesSpec) -> DataFrame:
-    df = df.withColumns({f"sma_{n}": s.roll(F.avg, "close", n) for n in SMA_PERIODS})
-    df = smooth(df, s, {f"ema_{n}": ("close", span_alpha(n)) for n in SMA_PERIODS})
-    above = {(a, b): flag(F.col(f"sma_{a}") > F.col(f"sma_{b}")) for a, b in ((5, 10), (10, 20), (20, 50))}
-    return df.withColumns(
-        {f"close_to_sma_{n}": div("close", f"sma_{n}") - 1 for n in SMA_PERIODS}
-        | {"golden_cross": above[(20, 50)], "ma_alignment": sum(above.values(), F.lit(0)) / F.lit(3.0)}
-    )
+def _typical() -> Column:
+    return (F.col("high") + F.col("low") + F.col("close")) / 3
 
 
-def _strength(up: str, down: str) -> Column:
-    """100 - 100/(1 + up/down); only gains gives 100, no movement at all is missing."""
-    u, d = F.col(up), F.col(down)
-    return F.when(d != 0, 100 - 100 / (1 + u / F.nullif(d, F.lit(0.0)))).when(u > 0, F.lit(100.0))
+def returns_family(s: SeriesSpec) -> Layers:
+    lags = {f"returns_{k}d": div("close", s.lag("close", k)) - 1 for k in (5, 10, 20)}
+    return {
+        1: {"_c1": s.lag("close")} | lags,
+        2: {"returns": div("close", "_c1") - 1, "log_returns": F.ln(div("close", "_c1"))},
+        3: {f"volatility_{n}d": s.roll(F.stddev_samp, "returns", n) * math.sqrt(252) for n in (5, 20)},
+    }
 
 
-def rsi_family(df: DataFrame, s: SeriesSpec, period: int = 14) -> DataFrame:
-    df = df.withColumn("_d", F.col("close") - s.lag("close")).withColumns(
+def averages_family(s: SeriesSpec) -> Layers:
+    above = {(a, b): flag(F.col(f"sma_{a}") > F.col(f"sma_{b}")) for a, b in ((5, 10), (10, 20), (20, 50))}
+    return merge_layers(
+        {1: {f"sma_{n}": s.roll(F.avg, "close", n) for n in SMA_PERIODS}},
+        smooth(s, 1, {f"ema_{n}": ("close", span_alpha(n)) for n in SMA_PERIODS}),
         {
-            "_gain": F.when(F.col("_d") > 0, F.col("_d")).otherwise(0.0),
-            "_loss": F.when(F.col("_d") < 0, -F.col("_d")).otherwise(0.0),
-        }
+            2: {f"close_to_sma_{n}": div("close", f"sma_{n}") - 1 for n in SMA_PERIODS}
+            | {"golden_cross": above[(20, 50)], "ma_alignment": sum(above.values(), F.lit(0)) / F.lit(3.0)}
+        },
     )
-    df = smooth(df, s, {"_ag": ("_gain", 1.0 / period), "_al": ("_loss", 1.0 / period)})
-    df = df.withColumn("rsi_14", _strength("_ag", "_al"))
-    return df.withColumns(
+
+
+def rsi_family(s: SeriesSpec, period: int = 14) -> Layers:
+    move = F.col("close") - F.col("_c1")
+    return merge_layers(
         {
-            "rsi_slope": F.col("rsi_14") - s.lag("rsi_14", 3),
-            "rsi_overbought": flag(F.col("rsi_14") > 70),
-            "rsi_oversold": flag(F.col("rsi_14") < 30),
-        }
-    ).drop("_d", "_gain", "_loss", "_ag", "_al")
-
-
-def macd_family(df: DataFrame, s: SeriesSpec, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = smooth(df, s, {"_fast": ("close", span_alpha(fast)), "_slow": ("close", span_alpha(slow))})
-    df = df.withColumn("macd", F.col("_fast") - F.col("_slow"))
-    df = smooth(df, s, {"macd_signal": ("macd", span_alpha(signal))})
-    df = df.withColumns(
+            1: {"_c1": s.lag("close")},
+            2: {"_gain": F.when(move > 0, move).otherwise(0.0), "_loss": F.when(move < 0, -move).otherwise(0.0)},
+        },
+        smooth(s, 3, {"_ag": ("_gain", 1.0 / period), "_al": ("_loss", 1.0 / period)}),
         {
-            "macd_histogram": F.col("macd") - F.col("macd_signal"),
-            "_over": flag(F.col("macd") > F.col("macd_signal")),
-        }
+            6: {"rsi_14": _strength("_ag", "_al")},
+            7: {
+                "rsi_slope": F.col("rsi_14") - s.lag("rsi_14", 3),
+                "rsi_overbought": flag(F.col("rsi_14") > 70),
+                "rsi_oversold": flag(F.col("rsi_14") < 30),
+            },
+        },
     )
-    return df.withColumns(
-        {
-            "macd_cross": F.coalesce(F.col("_over") - s.lag("_over"), F.lit(0)).cast("double"),
-            "macd_norm": div("macd", "close"),
-            "macd_signal_norm": div("macd_signal", "close"),
-            "macd_hist_norm": div("macd_histogram", "close"),
-        }
-    ).drop("_fast", "_slow", "_over")
 
 
-def bollinger_family(df: DataFrame, s: SeriesSpec, n: int = 20, k: float = 2.0) -> DataFrame:
-    return with_layers(
-        df,
+def macd_family(s: SeriesSpec, fast: int = 12, slow: int = 26, signal: int = 9) -> Layers:
+    return merge_layers(
+        smooth(s, 1, {"_fast": ("close", span_alpha(fast)), "_slow": ("close", span_alpha(slow))}),
+        {4: {"macd": F.col("_fast") - F.col("_slow")}},
+        smooth(s, 5, {"macd_signal": ("macd", span_alpha(signal))}),
         {
-            0: {"bb_middle": s.roll(F.avg, "close", n), "_sd": s.roll(F.stddev_pop, "close", n)},
-            1: {
-                "bb_upper": F.col("bb_middle") + F.col("_sd") * k,
-                "bb_lower": F.col("bb_middle") - F.col("_sd") * k,
-            },
-            2: {
-                "bb_width": div(F.col("bb_upper") - F.col("bb_lower"), "bb_middle"),
-                "bb_position": div(F.col("close") - F.col("bb_lower"), F.col("bb_upper") - F.col("bb_lower")),
+            8: {
+                "macd_histogram": F.col("macd") - F.col("macd_signal"),
+                "_over": flag(F.col("macd") > F.col("macd_signal")),
+                "macd_norm": div("macd", "close"),
+                "macd_signal_norm": div("macd_signal", "close"),
+                "macd_hist_norm": div(F.col("macd") - F.col("macd_signal"), "close"),
             },
-            3: {"_narrow": s.roll(F.min, "bb_width", 20)},
-            4: {"bb_squeeze": flag(F.col("bb_width") < F.col("_narrow") * 1.05)},
+            9: {"macd_cross": F.coalesce(F.col("_over") - s.lag("_over"), F.lit(0)).cast("double")},
         },
-    ).drop("_sd", "_narrow")
+    )
 
 
-def atr_family(df: DataFrame, s: SeriesSpec, period: int = 14) -> DataFrame:
-    df = df.withColumn("_c1", s.lag("close")).withColumn(
-        "_tr",
-        F.greatest(
-            F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_c1")), F.abs(F.col("low") - F.col("_c1"))
-        ),
-    )
-    df = smooth(df, s, {"atr_14": ("_tr", 1.0 / period)})
-    return df.withColumns(
+def bollinger_family(s: SeriesSpec, n: int = 20, k: float = 2.0) -> Layers:
+    mid, sd = F.col("bb_middle"), F.col("_sd")
+    return {
+        1: {"bb_middle": s.roll(F.avg, "close", n), "_sd": s.roll(F.stddev_pop, "close", n)},
+        2: {
+            "bb_upper": mid + sd * k,
+            "bb_lower": mid - sd * k,
+            "bb_width": div((mid + sd * k) - (mid - sd * k), mid),
+            "bb_position": div(F.col("close") - (mid - sd * k), (mid + sd * k) - (mid - sd * k)),
+        },
+        3: {"_narrow": s.roll(F.min, "bb_width", 20)},
+        4: {"bb_squeeze": flag(F.col("bb_width") < F.col("_narrow") * 1.05)},
+    }
+
+
+def atr_family(s: SeriesSpec, period: int = 14) -> Layers:
+    h, l, c1 = F.col("high"), F.col("low"), F.col("_c1")
+    return merge_layers(
+        {1: {"_c1": s.lag("close")}, 2: {"_tr": F.greatest(h - l, F.abs(h - c1), F.abs(l - c1))}},
+        smooth(s, 3, {"atr_14": ("_tr", 1.0 / period)}),
         {
-            "atr_pct": div("atr_14", "close"),
-            "atr_stop_long": F.col("close") - F.col("atr_14") * 2,
-            "atr_stop_short": F.col("close") + F.col("atr_14") * 2,
-        }
-    ).drop("_c1", "_tr")
+            6: {
+                "atr_pct": div("atr_14", "close"),
+                "atr_stop_long": F.col("close") - F.col("atr_14") * 2,
+                "atr_stop_short": F.col("close") + F.col("atr_14") * 2,
+            }
+        },
+    )
 
 
-def adx_family(df: DataFrame, s: SeriesSpec, n: int = 14) -> DataFrame:
-    if "atr_14" not in df.columns:
-        df = atr_family(df, s)
+def adx_family(s: SeriesSpec, n: int = 14) -> Layers:
     up, dn = F.col("_up"), F.col("_dn")
-    return with_layers(
-        df,
+    p, m = F.col("plus_di"), F.col("minus_di")
+    return merge_layers(
+        atr_family(s),
         {
-            0: {"_up": F.col("high") - s.lag("high"), "_dn": s.lag("low") - F.col("low")},
-            1: {
+            1: {"_up": F.col("high") - s.lag("high"), "_dn": s.lag("low") - F.col("low")},
+            2: {
                 "_pdm": F.when((up > dn) & (up > 0), up).otherwise(0.0),
                 "_mdm": F.when((dn > up) & (dn > 0), dn).otherwise(0.0),
             },
-            2: {
-                "plus_di": div(s.roll(F.avg, "_pdm", n) * 100, "atr_14"),
-                "minus_di": div(s.roll(F.avg, "_mdm", n) * 100, "atr_14"),
-            },
-            3: {
-                "_dx": div(
-                    F.abs(F.col("plus_di") - F.col("minus_di")) * 100, F.col("plus_di") + F.col("minus_di")
-                )
+            3: {"_pdm_n": s.roll(F.avg, "_pdm", n), "_mdm_n": s.roll(F.avg, "_mdm", n)},
+            6: {
+                "plus_di": div(F.col("_pdm_n") * 100, "atr_14"),
+                "minus_di": div(F.col("_mdm_n") * 100, "atr_14"),
             },
-            4: {"adx": s.roll(F.avg, "_dx", n), "di_cross": flag(F.col("plus_di") > F.col("minus_di"))},
+            7: {"_dx": div(F.abs(p - m) * 100, p + m), "di_cross": flag(p > m)},
+            8: {"adx": s.roll(F.avg, "_dx", n)},
         },
-    ).drop("_up", "_dn", "_pdm", "_mdm", "_dx")
+    )
 
 
-def volume_family(df: DataFrame, s: SeriesSpec) -> DataFrame:
-    tp, v = F.col("_tp"), F.col("volume")
-    return with_layers(
-        df,
-        {
-            0: {"_tp": (F.col("high") + F.col("low") + F.col("close")) / 3},
-            1: {
-                "volume_sma_20": s.roll(F.avg, "volume", 20),
-                "_v5": s.roll(F.avg, "volume", 5),
-                "_dir": F.signum(F.col("close") - s.lag("close")),
-                "_tp1": s.lag("_tp"),
-            },
-            2: {
-                "volume_ratio": div("volume", "volume_sma_20"),
-                "volume_trend": div("_v5", "volume_sma_20"),
-                "_signed": F.coalesce(F.col("_dir") * v, F.lit(0.0)),
-                "_pf": F.when(tp > F.col("_tp1"), tp * v).otherwise(0.0),
-                "_nf": F.when(tp < F.col("_tp1"), tp * v).otherwise(0.0),
-            },
-            3: {
-                "obv": F.sum("_signed").over(s.w.rowsBetween(UNB, CUR)),
-                "_ps": s.roll(F.sum, "_pf", 14),
-                "_ns": s.roll(F.sum, "_nf", 14),
-            },
-            4: {"obv_slope": F.col("obv") - s.lag("obv", 5), "mfi": _strength("_ps", "_ns")},
-            5: {"obv_roc": F.col("obv_slope") / (F.col("_v5") * 5 + 1)},
+def volume_family(s: SeriesSpec) -> Layers:
+    tp, tp1, v = F.col("_tp"), F.col("_tp1"), F.col("volume")
+    return {
+        0: {"_tp": _typical()},
+        1: {
+            "_c1": s.lag("close"),
+            "_tp1": s.lag("_tp"),
+            "volume_sma_20": s.roll(F.avg, "volume", 20),
+            "_v5": s.roll(F.avg, "volume", 5),
+        },
+        2: {
+            "volume_ratio": div("volume", "volume_sma_20"),
+            "volume_trend": div("_v5", "volume_sma_20"),
+            "_signed": F.coalesce(F.signum(F.col("close") - F.col("_c1")) * v, F.lit(0.0)),
+            "_pf": F.when(tp > tp1, tp * v).otherwise(0.0),
+            "_nf": F.when(tp < tp1, tp * v).otherwise(0.0),
         },
-    ).drop("_tp", "_v5", "_dir", "_tp1", "_signed", "_pf", "_nf", "_ps", "_ns")
+        3: {
+            "obv": F.sum("_signed").over(s.w.rowsBetween(UNB, CUR)),
+            "_ps": s.roll(F.sum, "_pf", 14),
+            "_ns": s.roll(F.sum, "_nf", 14),
+        },
+        4: {"_obv5": s.lag("obv", 5), "mfi": _strength("_ps", "_ns")},
+        5: {
+            "obv_slope": F.col("obv") - F.col("_obv5"),
+            "obv_roc": (F.col("obv") - F.col("_obv5")) / (F.col("_v5") * 5 + 1),
+        },
+    }
 
 
-def vwap_family(df: DataFrame, s: SeriesSpec, n: int = 14) -> DataFrame:
-    tp = (F.col("high") + F.col("low") + F.col("close")) / 3
-    return with_layers(
-        df,
-        {
-            0: {"_tpv": tp * F.col("volume")},
-            1: {"vwap": div(s.roll(F.sum, "_tpv", n), s.roll(F.sum, "volume", n))},
-            2: {
-                "vwap_deviation": div(F.col("close") - F.col("vwap"), "vwap"),
-                "above_vwap": flag(F.col("close") > F.col("vwap")),
-            },
+def vwap_family(s: SeriesSpec, n: int = 14) -> Layers:
+    return {
+        0: {"_tpv": _typical() * F.col("volume")},
+        1: {"vwap": div(s.roll(F.sum, "_tpv", n), s.roll(F.sum, "volume", n))},
+        2: {
+            "vwap_deviation": div(F.col("close") - F.col("vwap"), "vwap"),
+            "above_vwap": flag(F.col("close") > F.col("vwap")),
         },
-    ).drop("_tpv")
+    }
 
 
 INTRADAY_COLUMNS = ("intraday_vwap", "intraday_vwap_dev", "session_progress", "bars_to_close")
@@ -270,143 +264,118 @@ BAR_SIZES = ((5.0, 1.0), (15.0, 2.0))
 
 
 def intraday_family(
-    df: DataFrame,
     s: SeriesSpec,
     session: str = "session_date",
     open_minute: int = 555,
     close_minute: int = 930,
     bar_sizes: Sequence[tuple[float, float]] = BAR_SIZES,
-) -> DataFrame:
+) -> Layers:
     """Session-reset VWAP and clock features. The columns always exist; they are NULL where the median gap
     between bars is no recognised intraday bar size."""
     minutes = F.hour(s.order) * 60 + F.minute(s.order) + F.second(s.order) / F.lit(60.0)
     day = Window.partitionBy(*s.keys, session).orderBy("_chunk", s.order).rowsBetween(UNB, CUR)
-    secs = F.unix_micros(F.col(s.order).cast("timestamp")) / F.lit(6.0e7)
-    gap = F.median("_gap").over(s.whole)
     size = F.lit(None).cast("double")
     for width, tol in reversed(bar_sizes):
         size = F.when(F.abs(F.col("_mgap") - width) < tol, F.lit(width)).otherwise(size)
-    tp = (F.col("high") + F.col("low") + F.col("close")) / 3
-    is_intra = F.col("_size").isNotNull()
-    df = with_layers(
-        df,
-        {
-            0: {"_t": secs},
-            1: {"_gap": F.col("_t") - s.lag("_t")},
-            2: {"_mgap": gap},
-            3: {"_size": size, "_tpv": tp * F.col("volume")},
-            4: {"_vw": div(F.sum("_tpv").over(day), F.sum("volume").over(day))},
-            5: {
-                "intraday_vwap": F.when(is_intra, F.col("_vw")),
-                "session_progress": F.when(
-                    is_intra, clip((minutes - open_minute) / F.lit(float(close_minute - open_minute)), 0, 1)
-                ),
-                "bars_to_close": clip((close_minute - minutes) / F.col("_size"), 0, None),
-            },
-            6: {
-                "intraday_vwap_dev": div(F.col("close") - F.col("intraday_vwap"), "intraday_vwap"),
-                "bars_to_close": F.when(is_intra, F.col("bars_to_close")),
-            },
+    known = F.col("_size").isNotNull()
+    span = F.lit(float(close_minute - open_minute))
+    return {
+        0: {
+            "_t": F.unix_micros(F.col(s.order).cast("timestamp")) / F.lit(6.0e7),
+            "_tpv": _typical() * F.col("volume"),
         },
-    )
-    return df.drop("_t", "_gap", "_mgap", "_size", "_tpv", "_vw")
+        1: {
+            "_gap": F.col("_t") - s.lag("_t"),
+            "_vw": div(F.sum("_tpv").over(day), F.sum("volume").over(day)),
+        },
+        2: {"_mgap": F.median("_gap").over(s.whole)},
+        3: {"_size": size},
+        4: {
+            "intraday_vwap": F.when(known, F.col("_vw")),
+            "intraday_vwap_dev": F.when(known, div(F.col("close") - F.col("_vw"), "_vw")),
+            "session_progress": F.when(known, clip((minutes - open_minute) / span, 0, 1)),
+            "bars_to_close": F.when(known, clip((close_minute - minutes) / F.col("_size"), 0, None)),
+        },
+    }
 
 
-def candle_family(df: DataFrame, s: SeriesSpec) -> DataFrame:
+def candle_family(s: SeriesSpec) -> Layers:
     c, o = F.col("close"), F.col("open")
     body, up, low = F.col("body_size"), F.col("upper_shadow"), F.col("lower_shadow")
-    had_returns = "returns" in df.columns
-    if not had_returns:
-        df = df.withColumn("returns", div(c, s.lag("close")) - 1)
-    df = with_layers(
-        df,
-        {
-            0: {
-                "price_impact": div(F.abs("returns"), F.ln(F.col("volume") + 1)),
-                "intraday_range": div(F.col("high") - F.col("low"), c),
-                "body_size": div(F.abs(c - o), c),
-                "upper_shadow": div(F.col("high") - F.greatest(c, o), c),
-                "lower_shadow": div(F.least(c, o) - F.col("low"), c),
-            },
-            1: {
-                "doji": flag(body < 0.001),
-                "hammer": flag((low > body * 2) & (up < body)),
-                "shooting_star": flag((up > body * 2) & (low < body)),
-            },
+    return {
+        0: {
+            "intraday_range": div(F.col("high") - F.col("low"), c),
+            "body_size": div(F.abs(c - o), c),
+            "upper_shadow": div(F.col("high") - F.greatest(c, o), c),
+            "lower_shadow": div(F.least(c, o) - F.col("low"), c),
         },
-    )
-    return df if had_returns else df.drop("returns")
+        1: {
+            "_c1": s.lag("close"),
+            "doji": flag(body < 0.001),
+            "hammer": flag((low > body * 2) & (up < body)),
+            "shooting_star": flag((up > body * 2) & (low < body)),
+        },
+        2: {"price_impact": div(F.abs(div(c, "_c1") - 1), F.ln(F.col("volume") + 1))},
+    }
 
 
-def order_flow_family(df: DataFrame, s: SeriesSpec) -> DataFrame:
+def order_flow_family(s: SeriesSpec) -> Layers:
     h, l, c, v = (F.col(x) for x in ("high", "low", "close", "volume"))
-    had_returns = "returns" in df.columns
     f10 = s.frame(10)
     x, y = F.when(F.col("_r1").isNotNull(), F.col("_r")), F.when(F.col("_r").isNotNull(), F.col("_r1"))
-    df = with_layers(
-        df,
-        {
-            0: {
-                "_clv": F.coalesce(div((c - l) - (h - c), h - l) * v, F.lit(0.0)),
-                "_c1": s.lag("close"),
-                "_vm": s.roll(F.avg, "volume", 20),
-                "_vs": s.roll(F.stddev_pop, "volume", 20),
-            },
-            1: {
-                "chaikin_money_flow": div(s.roll(F.sum, "_clv", 20), s.roll(F.sum, "volume", 20)),
-                "volume_zscore": div(v - F.col("_vm"), "_vs"),
-                "gap_pct": div(F.col("open") - F.col("_c1"), "_c1"),
-                "_dir": F.coalesce(F.signum(c - F.col("_c1")), F.lit(0.0)),
-                "_r": div(c, "_c1") - 1,
-            },
-            2: {"_turn": flag(F.col("_dir") != s.lag("_dir")), "_r1": s.lag("_r")},
-            3: {
-                "_since": F.last(
-                    F.when((F.col("_turn") == 1) | (F.col("_rn") == 1), F.col("_rn")), ignorenulls=True
-                ).over(s.w.rowsBetween(UNB, CUR)),
-                "_pairs": F.count(x + y).over(f10),
-                "_cov": F.covar_pop(x, y).over(f10),
-                "_sx": F.stddev_pop(x).over(f10),
-                "_sy": F.stddev_pop(y).over(f10),
-            },
-            4: {
-                "directional_streak": F.col("_dir") * (F.col("_rn") - F.col("_since") + 1),
-                "return_autocorr_10": F.when(
-                    F.col("_pairs") == 10, div("_cov", F.col("_sx") * F.col("_sy"))
-                ),
-            },
+    started = (F.col("_dir") != F.col("_dir1")) | (F.col("_rn") == 1)
+    return {
+        0: {"_clv": F.coalesce(div((c - l) - (h - c), h - l) * v, F.lit(0.0))},
+        1: {
+            "_c1": s.lag("close"),
+            "_vm": s.roll(F.avg, "volume", 20),
+            "_vs": s.roll(F.stddev_pop, "volume", 20),
+            "chaikin_money_flow": div(s.roll(F.sum, "_clv", 20), s.roll(F.sum, "volume", 20)),
         },
-    )
-    return df.drop("_clv", "_c1", "_vm", "_vs", "_dir", "_r", "_turn", "_r1", "_since", "_pairs", "_cov", "_sx", "_sy")
-
-
-def momentum_family(df: DataFrame, s: SeriesSpec) -> DataFrame:
-    lo, hi = F.col("_lo"), F.col("_hi")
-    f20 = s.frame(20)
-    df = with_layers(
-        df,
-        {
-            0: {"_tp": (F.col("high") + F.col("low") + F.col("close")) / 3},
-            1: {f"roc_{k}": div(F.col("close") - s.lag("close", k), s.lag("close", k)) for k in (5, 10, 20)}
-            | {
-                "_lo": s.roll(F.min, "low", 14),
-                "_hi": s.roll(F.max, "high", 14),
-                "_tpm": s.roll(F.avg, "_tp", 20),
-                "_tps": F.collect_list("_tp").over(f20),
-            },
-            2: {
-                "stoch_k": div((F.col("close") - lo) * 100, hi - lo),
-                "williams_r": div((hi - F.col("close")) * -100, hi - lo),
-                # Mean absolute deviation around the frame's own mean: an array of exactly 20 values.
-                "_mad": F.aggregate("_tps", F.lit(0.0), lambda acc, t: acc + F.abs(t - F.col("_tpm"))) / 20,
-            },
-            3: {
-                "stoch_d": s.roll(F.avg, "stoch_k", 3),
-                "cci": div(F.col("_tp") - F.col("_tpm"), F.col("_mad") * 0.015),
-            },
+        2: {
+            "volume_zscore": div(v - F.col("_vm"), "_vs"),
+            "gap_pct": div(F.col("open") - F.col("_c1"), "_c1"),
+            "_dir": F.coalesce(F.signum(c - F.col("_c1")), F.lit(0.0)),
+            "_r": div(c, "_c1") - 1,
         },
-    )
-    return df.drop("_tp", "_lo", "_hi", "_tpm", "_tps", "_mad")
+        3: {"_dir1": s.lag("_dir"), "_r1": s.lag("_r")},
+        4: {
+            # Row number at which the current run of equal direction began.
+            "_since": F.last(F.when(started, F.col("_rn")), ignorenulls=True).over(s.w.rowsBetween(UNB, CUR)),
+            "_pairs": F.count(x + y).over(f10),
+            "_cov": F.covar_pop(x, y).over(f10),
+            "_sx": F.stddev_pop(x).over(f10),
+            "_sy": F.stddev_pop(y).over(f10),
+        },
+        5: {
+            "directional_streak": F.col("_dir") * (F.col("_rn") - F.col("_since") + 1),
+            "return_autocorr_10": F.when(F.col("_pairs") == 10, div("_cov", F.col("_sx") * F.col("_sy"))),
+        },
+    }
+
+
+def momentum_family(s: SeriesSpec) -> Layers:
+    lo, hi = F.col("_lo14"), F.col("_hi14")
+    return {
+        0: {"_tp": _typical()},
+        1: {f"roc_{k}": div(F.col("close") - s.lag("close", k), s.lag("close", k)) for k in (5, 10, 20)}
+        | {
+            "_lo14": s.roll(F.min, "low", 14),
+            "_hi14": s.roll(F.max, "high", 14),
+            "_tpm": s.roll(F.avg, "_tp", 20),
+            "_tps": F.collect_list("_tp").over(s.frame(20)),
+        },
+        2: {
+            "stoch_k": div((F.col("close") - lo) * 100, hi - lo),
+            "williams_r": div((hi - F.col("close")) * -100, hi - lo),
+            # Mean absolute deviation around the frame's own mean: an array of at most 20 values.
+            "_mad": F.aggregate("_tps", F.lit(0.0), lambda acc, t: acc + F.abs(t - F.col("_tpm"))) / 20,
+        },
+        3: {
+            "stoch_d": s.roll(F.avg, "stoch_k", 3),
+            "cci": div(F.col("_tp") - F.col("_tpm"), F.col("_mad") * 0.015),
+        },
+    }
 
 
 FAMILIES = {
@@ -430,7 +399,7 @@ NOT_FEATURES = frozenset(
     """date open high low close volume turnover symbol label future_return session_date hour
     sma_5 sma_10 sma_20 sma_50 ema_5 ema_10 ema_20 ema_50 bb_upper bb_lower bb_middle
     macd macd_signal macd_histogram atr_14 atr_stop_long atr_stop_short
-    volume_sma_20 obv obv_slope vwap intraday_vwap""".split()
+    volume_sma_20 obv obv_slope vwap""".split()
 )
 
 
@@ -441,9 +410,11 @@ def add_families(
     df = s.positions(bars)
     if min_rows:
         df = df.withColumn("_n", F.count(F.lit(1)).over(s.whole)).filter(F.col("_n") >= min_rows).drop("_n")
-    for name in names:
-        df = FAMILIES[name](df, s, **intraday) if name == "intraday" else FAMILIES[name](df, s)
-    return df.drop("_rn", "_chunk", "_pos")
+    parts = [FAMILIES[n](s, **intraday) if n == "intraday" else FAMILIES[n](s) for n in names]
+    layers = merge_layers(*parts)
+    wanted = [x for level in layers.values() for x in level if not x.startswith("_")]
+    df = apply_layers(df, layers)
+    return df.select(*bars.columns, *dict.fromkeys(wanted))
 
 
 def feature_frame(bars: DataFrame, s: SeriesSpec | None = None, intraday: bool = False, **kw) -> DataFrame:
