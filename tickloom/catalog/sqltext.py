@@ -89,3 +89,54 @@ def pnl_sql(entry: str, exit_: str, qty: str, short: str = "false", delivery: bo
         f"(CASE WHEN {short} THEN ({entry} - {exit_}) ELSE ({exit_} - {entry}) END * {qty}"
         f" - {cost_sql(entry, exit_, qty, short, delivery, p)})"
     )
+
+
+def report_sql(src: str, keys: str, block: str, order: str, capital: float, event_time: bool = False) -> str:
+    """CTE chain `rep` of one performance report per `keys` over `src` trades, in (block, order) sequence."""
+    w = f"(PARTITION BY {keys} ORDER BY {block}, {order} ROWS UNBOUNDED PRECEDING)"
+    sharpe = """CASE WHEN count(r) >= 2 THEN coalesce(sqrt(252) * (avg(r) - 0.06 / 252)
+    / nullif(stddev_samp(r), 0), 0.0) ELSE 0.0 END AS sharpe_ratio"""
+    extra = ""
+    if event_time:
+        span = f"date_diff('day', min({block}), max({block}))"
+        tpy = f"CASE WHEN {span} > 0 THEN count(*) / ({span} / 365.25) ELSE CAST(count(*) AS DOUBLE) END"
+        sharpe = f"""CASE WHEN coalesce(stddev_samp(pnl_pct), 0.0) > 1e-12
+    THEN avg(pnl_pct) / stddev_samp(pnl_pct) * sqrt({tpy}) ELSE 0.0 END AS sharpe_ratio"""
+        extra = f", {tpy} AS trades_per_year"
+    return f"""eq AS (SELECT *, {capital} * product(1 + pnl_pct) OVER w AS equity, row_number() OVER w AS rn FROM {src} WINDOW w AS {w}),
+pk AS (SELECT *, max(equity) OVER (PARTITION BY {keys} ORDER BY rn ROWS UNBOUNDED PRECEDING) AS peak,
+  CASE WHEN rn > 1 THEN pnl_pct END AS r FROM eq),
+agg AS (SELECT {keys}, count(*) AS total_trades, count(*) FILTER (pnl >= 0) AS winning_trades,
+  count(*) FILTER (pnl < 0) AS losing_trades, sum(pnl) AS total_pnl, avg(pnl_pct) AS avg_trade_return_pct,
+  coalesce(avg(pnl_pct) FILTER (pnl >= 0), 0.0) AS avg_win_pct, coalesce(abs(avg(pnl_pct) FILTER (pnl < 0)), 0.0) AS avg_loss_pct,
+  avg(confidence) AS avg_confidence, min(equity / peak - 1) AS max_drawdown_pct,
+  arg_min(rn, (equity / peak - 1, rn)) AS trough_rn,
+  coalesce(sum(pnl) FILTER (pnl > 0), 0.0) AS gain, abs(coalesce(sum(pnl) FILTER (pnl < 0), 0.0)) AS loss,
+  avg(r) AS ar, count(r) AS nr, {sharpe}{extra} FROM pk GROUP BY {keys}),
+dates AS (SELECT {', '.join('p.' + k.strip() for k in keys.split(','))}, arg_max({block}, (equity, -rn)) AS peak_at, max_by({block}, rn) AS trough_at
+  FROM pk p JOIN (SELECT {keys}, trough_rn FROM agg) a USING ({keys}) WHERE rn <= trough_rn GROUP BY ALL),
+rep AS (SELECT * EXCLUDE (trough_rn, gain, loss, ar, nr, peak_at, trough_at), winning_trades / total_trades AS win_rate,
+  CASE WHEN loss <> 0 THEN gain / loss WHEN gain > 0 THEN 'inf'::DOUBLE ELSE 0.0 END AS profit_factor,
+  winning_trades / total_trades * avg_win_pct - (1 - winning_trades / total_trades) * avg_loss_pct AS expectancy,
+  CASE WHEN avg_loss_pct <= 0 OR avg_win_pct = 0 THEN 0.0 ELSE greatest(least(0.25 *
+    ((winning_trades / total_trades) * (avg_win_pct / avg_loss_pct) - (1 - winning_trades / total_trades))
+    / (avg_win_pct / avg_loss_pct), 0.5), 0.0) END AS kelly_fraction,
+  CASE WHEN nr < 1 THEN 0.0 WHEN max_drawdown_pct <> 0 THEN (power(1 + ar, 252) - 1) / abs(max_drawdown_pct)
+    WHEN power(1 + ar, 252) > 1 THEN 'inf'::DOUBLE ELSE 0.0 END AS calmar_ratio,
+  strftime(peak_at, '%Y-%m-%d') AS max_dd_peak_date, strftime(trough_at, '%Y-%m-%d') AS max_dd_trough_date
+  FROM agg JOIN dates USING ({keys}))"""
+
+
+REPORT_KEYS = "total_trades, winning_trades, losing_trades, max_dd_peak_date, max_dd_trough_date"
+
+
+def t_p_sql(t: str, df: str) -> str:
+    """Two-sided Student-t probability for integer df as a correlated series sum."""
+    c2 = f"({df} / ({df} + {t} * {t}))"
+    s = f"(abs({t}) / sqrt({df} + {t} * {t}))"
+    even = f"""{s} * (1 + coalesce((SELECT sum(p) FROM (SELECT exp(sum(ln((2 * k - 1) / (2.0 * k)) + ln({c2}))
+      OVER (ORDER BY k)) AS p FROM range(1, CAST({df} / 2 AS BIGINT)) g(k))), 0.0))"""
+    odd = f"""2 / pi() * (atan(abs({t}) / sqrt({df})) + CASE WHEN {df} = 1 THEN 0.0 ELSE {s} * sqrt({c2}) * (1 +
+      coalesce((SELECT sum(p) FROM (SELECT exp(sum(ln((2 * k) / (2.0 * k + 1)) + ln({c2})) OVER (ORDER BY k)) AS p
+      FROM range(1, CAST(({df} - 1) / 2 AS BIGINT)) g(k))), 0.0)) END)"""
+    return f"CASE WHEN {df} < 1 THEN NULL ELSE greatest(1 - (CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END), 0.0) END"

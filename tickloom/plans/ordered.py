@@ -43,7 +43,7 @@ def global_rank(
 def running_equity(
     df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], ret: str, start: float = 1.0
 ) -> DataFrame:
-    """Adds `equity` (compounded), `equity_peak` and `drawdown` per key in (block, order) sequence.
+    """Adds `equity` (compounded), `equity_peak`, `drawdown` and `peak_block` per key in (block, order) sequence.
 
     `is_first` marks the key's first row. Any sign of 1 + ret is handled: a block carries its product,
     maximum and minimum, which together determine what an earlier multiplier does to it.
@@ -62,19 +62,21 @@ def running_equity(
         .agg(F.max_by("_e", "_pos").alias("_p"), F.max("_e").alias("_bhi"), F.min("_e").alias("_blo"))
         .withColumn("_carry", F.coalesce(F.product("_p").over(past), F.lit(1.0)))
         .withColumn("_top", F.greatest(F.col("_carry") * F.col("_bhi"), F.col("_carry") * F.col("_blo")))
-        .withColumn("_prev_top", F.max("_top").over(past))
-        .select(*keys, block, "_carry", "_prev_top")
+        .withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(block)))
+        .withColumn("_prev", F.max(F.struct("_top", -F.col("_i"), F.col(block).alias("at"))).over(past))
+        .select(*keys, block, "_carry", F.col("_prev._top").alias("_prev_top"), F.col("_prev.at").alias("_prev_at"))
     )
+    local_top = F.greatest(F.col("_carry") * F.col("_hi"), F.col("_carry") * F.col("_lo"))
     return (
         rows.join(blocks, [*keys, block])
         .withColumn("equity", F.col("_carry") * F.col("_e") * start)
+        .withColumn("equity_peak", F.greatest(F.col("_prev_top"), local_top) * start)
         .withColumn(
-            "equity_peak",
-            F.greatest(F.col("_prev_top"), F.col("_carry") * F.col("_hi"), F.col("_carry") * F.col("_lo")) * start,
+            "peak_block", F.when(local_top <= F.col("_prev_top"), F.col("_prev_at")).otherwise(F.col(block))
         )
         .withColumn("drawdown", F.col("equity") / F.nullif(F.col("equity_peak"), F.lit(0.0)) - 1)
         .withColumn("is_first", F.col("_prev_top").isNull() & (F.col("_pos") == 1))
-        .drop("_e", "_pos", "_hi", "_lo", "_carry", "_prev_top")
+        .drop("_e", "_pos", "_hi", "_lo", "_carry", "_prev_top", "_prev_at")
     )
 
 
