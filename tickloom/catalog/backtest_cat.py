@@ -8,15 +8,27 @@ from tickloom.catalog.sqltext import (
     BENCH, DAILY, INTRADAY, PANEL, REPORT_KEYS, final, pnl_sql, report_sql, t_p_sql,
 )
 from tickloom.functions.costs import round_trip_cost_pct
-from tickloom.functions.scalar import rounded
+from tickloom.functions.scalar import rounded, squash
 from tickloom.operators import events as ev
 from tickloom.operators import factors as fc
 from tickloom.operators import orb
 from tickloom.operators import reports as rp
 from tickloom.operators import significance as sg
+from tickloom.session import cut_lineage
 from tickloom.sources import tables as tb
 
 QUERIES, SQL = {}, {}
+
+
+def log_scaled(df, *cols):
+    """The fixture prices are no real price path, so compounded figures reach 1e36; they are compared on a log scale."""
+    return df.withColumns({x: squash(x) for x in cols})
+
+
+def log_scaled_sql(*cols):
+    return "* REPLACE (" + ", ".join(f"sign({x}) * ln(1 + abs({x})) AS {x}" for x in cols) + ")"
+
+
 CAPITAL = 1_000_000.0
 
 # --- events -------------------------------------------------------------------------------------
@@ -55,9 +67,9 @@ def _event_trades(spark, d):
 
 
 _ET = _SCORE + f""",
-fwd AS (SELECT v.symbol, v.idx, w.w AS "window", max(x.close) FILTER (x.idx = v.idx + w.w) AS exit_price,
-  max(x.date) FILTER (x.idx = v.idx + w.w) AS exit_date,
-  CASE WHEN count(x.excess_return) = w.w THEN product(1 + x.excess_return) - 1 END AS drift
+fwd AS (SELECT v.symbol, v.idx, w.w AS "window", arg_max(x.close, x.idx) FILTER (x.idx = v.idx + w.w) AS exit_price,
+  arg_max(x.date, x.idx) FILTER (x.idx = v.idx + w.w) AS exit_date,
+  CASE WHEN count(x.excess_return) = max(w.w) THEN product(1 + x.excess_return) - 1 END AS drift
   FROM evs v JOIN (SELECT unnest([5, 10, 20]) AS w) w ON true
   JOIN f x ON x.symbol = v.symbol AND x.idx BETWEEN v.idx + 1 AND v.idx + w.w GROUP BY ALL),
 t0 AS (SELECT v.symbol, v.date, v.idx, entry_price, CASE WHEN excess_return_z > 0 THEN 'BUY' ELSE 'SELL' END AS side,
@@ -88,11 +100,16 @@ v AS (SELECT * EXCLUDE (df), """ + t_p_sql("t_stat", "df") + """ AS p_value, 0.0
     '"window", direction, n, significant',
 )
 QUERIES["event_drift_report"] = lambda spark, d: rounded(
-    rp.performance_report(_event_trades(spark, d), ["window", "direction"], "exit_date", ["symbol", "idx"], CAPITAL)
+    log_scaled(
+        rp.performance_report(
+            cut_lineage(_event_trades(spark, d)), ["window", "direction"], "exit_date", ["symbol", "idx"], CAPITAL
+        ),
+        "calmar_ratio",
+    )
 )
 SQL["event_drift_report"] = final(
     _ET + ",\n" + report_sql("trades", '"window", direction', "exit_date", "symbol, idx", CAPITAL),
-    "SELECT * FROM rep", '"window", direction, ' + REPORT_KEYS,
+    f"SELECT {log_scaled_sql('calmar_ratio')} FROM rep", '"window", direction, ' + REPORT_KEYS,
 )
 
 # --- opening range ------------------------------------------------------------------------------
@@ -108,13 +125,13 @@ ent AS (SELECT symbol, session_date, min(date) AS entry_time, arg_min(close, dat
   AND (close > range_high OR close < range_low) GROUP BY ALL),
 plan AS (SELECT *, entry_price > range_high AS lng, CASE WHEN entry_price > range_high THEN range_low ELSE range_high END AS stop FROM ent),
 tgt AS (SELECT *, entry_price + 2.0 * (entry_price - stop) AS target FROM plan),
-walk AS (SELECT t.*, m.date AS at, m.close, m.minute < 915 AS live, CASE WHEN lng THEN low <= stop ELSE high >= stop END AS hs,
+walk AS (SELECT t.*, m.date AS bar_at, m.close, m.minute < 915 AS live, CASE WHEN lng THEN low <= stop ELSE high >= stop END AS hs,
   CASE WHEN lng THEN high >= target ELSE low <= target END AS ht FROM tgt t JOIN m USING (symbol, session_date) WHERE m.date > entry_time),
 outc AS (SELECT symbol, session_date, any_value(entry_time) AS entry_time, any_value(entry_price) AS entry_price, any_value(lng) AS lng,
   any_value(range_high) AS range_high, any_value(range_low) AS range_low,
-  arg_min(CASE WHEN hs THEN stop ELSE target END, at) FILTER (live AND (hs OR ht)) AS hit_price,
-  arg_min(CASE WHEN hs THEN 'stop' ELSE 'target' END, at) FILTER (live AND (hs OR ht)) AS hit_reason,
-  arg_max(close, at) FILTER (live) AS last_price, arg_min(close, at) AS next_price FROM walk GROUP BY ALL),
+  arg_min(CASE WHEN hs THEN stop ELSE target END, bar_at) FILTER (live AND (hs OR ht)) AS hit_price,
+  arg_min(CASE WHEN hs THEN 'stop' ELSE 'target' END, bar_at) FILTER (live AND (hs OR ht)) AS hit_reason,
+  arg_max(close, bar_at) FILTER (live) AS last_price, arg_min(close, bar_at) AS next_price FROM walk GROUP BY ALL),
 orb AS (SELECT symbol, session_date, CASE WHEN lng THEN 'long' ELSE 'short' END AS direction, entry_time, entry_price,
   coalesce(hit_price, last_price, next_price) AS exit_price, coalesce(hit_reason, 'square_off') AS exit_reason, range_high, range_low FROM outc)"""
 QUERIES["opening_range"] = lambda spark, d: rounded(orb.opening_range(tb.bars_intraday(spark, d)))
@@ -126,7 +143,9 @@ SQL["orb_trades"] = final(
     _ORB, "SELECT * REPLACE (strftime(entry_time, '%Y-%m-%d %H:%M') AS entry_time) FROM orb",
     "symbol, session_date, direction, entry_time, exit_reason",
 )
-QUERIES["orb_backtest"] = lambda spark, d: rounded(orb.breakout_backtest(tb.bars_intraday(spark, d), CAPITAL))
+QUERIES["orb_backtest"] = lambda spark, d: rounded(
+    log_scaled(orb.breakout_backtest(tb.bars_intraday(spark, d), CAPITAL), "calmar_ratio")
+)
 SQL["orb_backtest"] = final(
     _ORB + f""",
 q AS (SELECT *, floor(100000.0 / entry_price) AS quantity FROM orb WHERE entry_price > 0),
@@ -135,7 +154,7 @@ o AS (SELECT *, pnl / (entry_price * quantity) AS pnl_pct, 1.0::DOUBLE AS confid
   row_number() OVER (ORDER BY session_date, symbol) AS pos, count(*) OVER () AS n FROM p),
 co AS (SELECT *, CASE WHEN pos <= floor(n * 0.7) THEN 'train' ELSE 'oos' END AS split, unnest(['all', direction]) AS cohort FROM o),
 """ + report_sql("co", "split, cohort", "session_date", "symbol", CAPITAL),
-    "SELECT * FROM rep", "split, cohort, " + REPORT_KEYS,
+    f"SELECT {log_scaled_sql('calmar_ratio')} FROM rep", "split, cohort, " + REPORT_KEYS,
 )
 
 # --- factor portfolios --------------------------------------------------------------------------
@@ -201,11 +220,12 @@ summ AS (SELECT {g}, count(*) AS n_periods, (arg_max(e, date) - 1) * 100 AS tota
 
 _G = "target_n, lookback_days, strategy"
 TWO = {"target_ns": (2,), "lookbacks": (126,)}
-GRID = {"target_ns": (3, 6, 9), "lookbacks": (63, 126, 189, 252)}
+GRID = {"target_ns": (1, 2, 3), "lookbacks": (63, 126, 189, 252)}
 
 
 def _panel(spark, d):
-    return tb.bars_panel(spark, d)
+    # The panel jobs read the bars several times (universe, calendar, prices): bars are a stored table for them.
+    return cut_lineage(tb.bars_panel(spark, d))
 
 
 QUERIES["complete_panel"] = lambda spark, d: rounded(fc.complete_panel(_panel(spark, d)))
@@ -219,18 +239,18 @@ QUERIES["factor_periods"] = lambda spark, d: rounded(fc.factor_periods(_panel(sp
 SQL["factor_periods"] = final(
     _factor_sql((2,), (126,), 1), "SELECT * REPLACE (CAST(period AS INTEGER) AS period) FROM per", _G + ", period, date"
 )
-QUERIES["factor_backtest"] = lambda spark, d: rounded(fc.factor_backtest(_panel(spark, d), **TWO))
-SQL["factor_backtest"] = final(_factor_sql((2,), (126,), 1), "SELECT * FROM summ", _G + ", n_periods")
-QUERIES["factor_backtest_quarterly"] = lambda spark, d: rounded(fc.factor_backtest(_panel(spark, d), every_n=3, **TWO))
-SQL["factor_backtest_quarterly"] = final(_factor_sql((2,), (126,), 3), "SELECT * FROM summ", _G + ", n_periods")
+QUERIES["factor_backtest"] = lambda spark, d: rounded(log_scaled(fc.factor_backtest(_panel(spark, d), **TWO), "total_return_pct"))
+SQL["factor_backtest"] = final(_factor_sql((2,), (126,), 1), f"SELECT {log_scaled_sql('total_return_pct')} FROM summ", _G + ", n_periods")
+QUERIES["factor_backtest_quarterly"] = lambda spark, d: rounded(log_scaled(fc.factor_backtest(_panel(spark, d), every_n=3, **TWO), "total_return_pct"))
+SQL["factor_backtest_quarterly"] = final(_factor_sql((2,), (126,), 3), f"SELECT {log_scaled_sql('total_return_pct')} FROM summ", _G + ", n_periods")
 QUERIES["staggered_periods"] = lambda spark, d: rounded(fc.staggered_periods(_panel(spark, d), **TWO))
 SQL["staggered_periods"] = final(
     _factor_sql((2,), (126,), 1, staggered=3),
     "SELECT * REPLACE (CAST(period AS INTEGER) AS period) FROM per", _G + ", period, date, rebalances",
 )
-QUERIES["staggered_backtest"] = lambda spark, d: rounded(fc.staggered_backtest(_panel(spark, d), **TWO))
+QUERIES["staggered_backtest"] = lambda spark, d: rounded(log_scaled(fc.staggered_backtest(_panel(spark, d), **TWO), "total_return_pct"))
 SQL["staggered_backtest"] = final(
-    _factor_sql((2,), (126,), 1, staggered=3), "SELECT * FROM summ", _G + ", n_periods, n_tranches"
+    _factor_sql((2,), (126,), 1, staggered=3), f"SELECT {log_scaled_sql('total_return_pct')} FROM summ", _G + ", n_periods, n_tranches"
 )
 
 
@@ -239,21 +259,26 @@ def _verdict_sql(staggered):
         return f"max({x}) FILTER (strategy = '{s}')"
 
     m, q = "momentum", "equal_weight_all"
+    logs = log_scaled_sql("momentum_return_pct", "equal_weight_return_pct")
     return final(
         _factor_sql(GRID["target_ns"], GRID["lookbacks"], 1, staggered=staggered),
-        f"""SELECT target_n, lookback_days, {of(m, 'annualized_sharpe')} AS momentum_sharpe, {of(m, 'total_return_pct')} AS momentum_return_pct,
+        f"""SELECT {logs} FROM (SELECT target_n, lookback_days, {of(m, 'annualized_sharpe')} AS momentum_sharpe, {of(m, 'total_return_pct')} AS momentum_return_pct,
   {of(q, 'annualized_sharpe')} AS equal_weight_sharpe, {of(q, 'total_return_pct')} AS equal_weight_return_pct,
-  {of(m, 'annualized_sharpe')} > {of(q, 'annualized_sharpe')} AS momentum_beats_equal_weight_sharpe FROM summ GROUP BY 1, 2""",
+  {of(m, 'annualized_sharpe')} > {of(q, 'annualized_sharpe')} AS momentum_beats_equal_weight_sharpe FROM summ GROUP BY 1, 2)""",
         "target_n, lookback_days, momentum_beats_equal_weight_sharpe",
     )
 
 
 QUERIES["factor_parameter_grid"] = lambda spark, d: rounded(
-    fc.grid_verdicts(fc.factor_backtest(_panel(spark, d), **GRID))
+    log_scaled(
+        fc.grid_verdicts(fc.factor_backtest(_panel(spark, d), **GRID)), "momentum_return_pct", "equal_weight_return_pct"
+    )
 )
 SQL["factor_parameter_grid"] = _verdict_sql(0)
 QUERIES["staggered_parameter_grid"] = lambda spark, d: rounded(
-    fc.grid_verdicts(fc.staggered_backtest(_panel(spark, d), **GRID))
+    log_scaled(
+        fc.grid_verdicts(fc.staggered_backtest(_panel(spark, d), **GRID)), "momentum_return_pct", "equal_weight_return_pct"
+    )
 )
 SQL["staggered_parameter_grid"] = _verdict_sql(3)
 

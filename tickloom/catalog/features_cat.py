@@ -9,7 +9,6 @@ from tickloom.functions.scalar import rounded
 from tickloom.operators import features as ft
 from tickloom.sources import tables as tb
 
-S = ft.SeriesSpec()
 QUERIES, SQL = {}, {}
 
 

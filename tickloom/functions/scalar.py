@@ -98,6 +98,12 @@ def expectancy(win_rate, avg_win, avg_loss) -> Column:
     return c(win_rate) * c(avg_win) - (1 - c(win_rate)) * c(avg_loss)
 
 
+def squash(x) -> Column:
+    """Sign-preserving log scale, for figures that compound without bound."""
+    x = c(x)
+    return F.signum(x) * F.ln(1 + F.abs(x))
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every DOUBLE column to reporting precision; -0.0 becomes 0.0.
 

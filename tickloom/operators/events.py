@@ -11,15 +11,16 @@ from tickloom.functions.costs import DEFAULT_COSTS, CostParams, net_pnl
 from tickloom.functions.scalar import div
 from tickloom.operators.significance import one_sample_t
 
-_W = Window.partitionBy("symbol").orderBy("date")
+def _by_date():
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def excess_returns(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Returns of a symbol over those of the benchmark, both over the dates present in the two tables."""
     b = benchmark.select("date", F.col("close").alias("benchmark_close")).dropna()
     j = bars.select("symbol", "date", "close", "volume").dropna().join(b, "date")
-    r = div("close", F.lag("close").over(_W)) - 1
-    m = div("benchmark_close", F.lag("benchmark_close").over(_W)) - 1
+    r = div("close", F.lag("close").over(_by_date())) - 1
+    m = div("benchmark_close", F.lag("benchmark_close").over(_by_date())) - 1
     return j.withColumns({"return": r, "benchmark_return": m}).withColumn(
         "excess_return", F.col("return") - F.col("benchmark_return")
     )
@@ -27,14 +28,14 @@ def excess_returns(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def reaction_scores(df: DataFrame, baseline: int = 60) -> DataFrame:
     """z-scores of excess return and volume against the previous `baseline` rows (the current one excluded)."""
-    f = _W.rowsBetween(-baseline, -1)
+    f = _by_date().rowsBetween(-baseline, -1)
 
     def z(x):
         full = F.count(x).over(f) == baseline
         return F.when(full, div(F.col(x) - F.avg(x).over(f), F.stddev_samp(x).over(f)))
 
     return df.withColumns(
-        {"excess_return_z": z("excess_return"), "volume_z": z("volume"), "idx": F.row_number().over(_W) - 1}
+        {"excess_return_z": z("excess_return"), "volume_z": z("volume"), "idx": F.row_number().over(_by_date()) - 1}
     )
 
 
@@ -52,7 +53,7 @@ def reaction_events(df: DataFrame, baseline: int = 60, return_z: float = 2.5, vo
 
 def forward_drift(x: str, window: int):
     """Compounded value over the `window` rows after the current one; NULL if any is missing."""
-    f = _W.rowsBetween(1, window)
+    f = _by_date().rowsBetween(1, window)
     return F.when(F.count(x).over(f) == window, F.product(1 + F.col(x)).over(f) - 1)
 
 
@@ -73,9 +74,9 @@ def event_trades(
     """
     scored = reaction_scores(df, baseline).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
     scored = scored.withColumns(
-        {"_entry": F.lead("close", 1).over(_W)}
-        | {f"_x{w}": F.lead("close", w).over(_W) for w in windows}
-        | {f"_xd{w}": F.lead("date", w).over(_W) for w in windows}
+        {"_entry": F.lead("close", 1).over(_by_date())}
+        | {f"_x{w}": F.lead("close", w).over(_by_date()) for w in windows}
+        | {f"_xd{w}": F.lead("date", w).over(_by_date()) for w in windows}
         | {f"_d{w}": forward_drift("excess_return", w) for w in windows}
     ).filter(is_event() & (F.col("_n") >= min_rows))
     if train_frac is not None:

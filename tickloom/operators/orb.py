@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tickloom.functions.costs import DEFAULT_COSTS, CostParams, net_pnl
 from tickloom.operators.reports import performance_report
 from tickloom.plans.ordered import global_rank
+from tickloom.session import cut_lineage
 
-_DAY = Window.partitionBy("symbol", "session_date")
+def _day():
+    return Window.partitionBy("symbol", "session_date")
 
 
 def _minute(ts: str = "date"):
@@ -50,16 +52,16 @@ def breakout_trades(
     d = bars.dropna(subset=["date", "open", "high", "low", "close", "volume"]).withColumns(
         {
             "_m": m,
-            "_rh": F.max(F.when(in_range, F.col("high"))).over(_DAY),
-            "_rl": F.min(F.when(in_range, F.col("low"))).over(_DAY),
-            "_rv": F.avg(F.when(in_range, F.col("volume"))).over(_DAY),
-            "_rn": F.count(F.when(in_range, F.lit(1))).over(_DAY),
+            "_rh": F.max(F.when(in_range, F.col("high"))).over(_day()),
+            "_rl": F.min(F.when(in_range, F.col("low"))).over(_day()),
+            "_rv": F.avg(F.when(in_range, F.col("volume"))).over(_day()),
+            "_rn": F.count(F.when(in_range, F.lit(1))).over(_day()),
         }
     ).filter((F.col("_rn") >= 2) & (F.col("_rh") > F.col("_rl")))
     confirmed = (F.col("_rv") <= 0) | (F.col("volume") >= F.col("_rv") * volume_multiple)
     outside = (F.col("close") > F.col("_rh")) | (F.col("close") < F.col("_rl"))
     candidate = F.col("_m").between(open_minute + range_minutes, last_entry_minute) & confirmed & outside
-    d = d.withColumn("_in", F.min(F.when(candidate, F.struct("date", "close"))).over(_DAY)).filter(
+    d = d.withColumn("_in", F.min(F.when(candidate, F.struct("date", "close"))).over(_day())).filter(
         F.col("_in").isNotNull() & (F.col("date") > F.col("_in.date"))
     )
     entry = F.col("_in.close")
@@ -124,7 +126,7 @@ def breakout_backtest(
 
     Trades of all symbols form one pool; their order position is found by session blocks, not by one window.
     """
-    t = priced_trades(breakout_trades(bars, **rules), capital, max_position_pct)
+    t = cut_lineage(priced_trades(breakout_trades(bars, **rules), capital, max_position_pct))
     ranked = global_rank(t.withColumn("_pool", F.lit(0)), ["_pool"], "session_date", ["symbol"])
     split = F.when(F.col("rn") <= F.floor(F.col("n_total") * train_frac), "train").otherwise("oos")
     cohorts = ranked.withColumn("split", split).withColumn("cohort", F.explode(F.array(F.lit("all"), "direction")))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, driver_memory: str = "12g") -> SparkSession:
@@ -45,9 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut_lineage(df):
-    """Reliable checkpoint: survives executor loss, unlike a cached or locally checkpointed frame."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table that several later steps read, and return the written table.
+
+    It lives in the shared folder, so a lost executor costs a re-read and not a recomputation of the chain above.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
