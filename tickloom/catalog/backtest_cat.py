@@ -74,7 +74,7 @@ fwd AS (SELECT v.symbol, v.idx, w.w AS "window", arg_max(x.close, x.idx) FILTER
   JOIN f x ON x.symbol = v.symbol AND x.idx BETWEEN v.idx + 1 AND v.idx + w.w GROUP BY ALL),
 t0 AS (SELECT v.symbol, v.date, v.idx, entry_price, CASE WHEN excess_return_z > 0 THEN 'BUY' ELSE 'SELL' END AS side,
   "window", exit_price, exit_date, floor(100000.0 / entry_price) AS quantity, drift
-  FROM evs v JOIN fwd USING (symbol, idx) WHERE n >= 150 AND idx >= floor(n * 0.7) AND entry_price > 0 AND exit_price IS NOT NULL),
+  FROM evs v JOIN fwd USING (symbol, idx) WHERE n >= 150 AND idx >= floor(n * 0.7::DOUBLE) AND entry_price > 0 AND exit_price IS NOT NULL),
 t AS (SELECT *, {pnl_sql('entry_price', 'exit_price', 'quantity', "side = 'SELL'", True)} AS pnl FROM t0 WHERE quantity > 0),
 trades AS (SELECT symbol, date, idx, entry_price, side, "window", exit_price, exit_date, quantity, pnl,
   pnl / (entry_price * quantity) AS pnl_pct, CASE WHEN side = 'BUY' THEN drift ELSE -drift END AS continuation_pct,
@@ -152,7 +152,7 @@ q AS (SELECT *, floor(100000.0 / entry_price) AS quantity FROM orb WHERE entry_p
 p AS (SELECT *, {pnl_sql('entry_price', 'exit_price', 'quantity', "direction = 'short'")} AS pnl FROM q WHERE quantity > 0),
 o AS (SELECT *, pnl / (entry_price * quantity) AS pnl_pct, 1.0::DOUBLE AS confidence,
   row_number() OVER (ORDER BY session_date, symbol) AS pos, count(*) OVER () AS n FROM p),
-co AS (SELECT *, CASE WHEN pos <= floor(n * 0.7) THEN 'train' ELSE 'oos' END AS split, unnest(['all', direction]) AS cohort FROM o),
+co AS (SELECT *, CASE WHEN pos <= floor(n * 0.7::DOUBLE) THEN 'train' ELSE 'oos' END AS split, unnest(['all', direction]) AS cohort FROM o),
 """ + report_sql("co", "split, cohort", "session_date", "symbol", CAPITAL),
     f"SELECT {log_scaled_sql('calmar_ratio')} FROM rep", "split, cohort, " + REPORT_KEYS,
 )

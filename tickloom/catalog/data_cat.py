@@ -56,10 +56,10 @@ t AS (SELECT symbol || '/' || CAST(order_ref % 997 AS VARCHAR) AS symbol, CASE W
 m AS (SELECT symbol, min(priority) AS priority FROM t GROUP BY symbol)
 SELECT t.symbol, t.priority, count(*) AS n FROM t JOIN m USING (symbol, priority) GROUP BY ALL"""
 
-QUERIES["liquidity_intraday"] = lambda spark, d: rounded(ql.liquidity(tb.bars_intraday(spark, d), "session_date"), 9)
+QUERIES["liquidity_intraday"] = lambda spark, d: rounded(ql.liquidity(tb.bars_intraday(spark, d), "session_date"))
 SQL["liquidity_intraday"] = final(
     INTRADAY, "SELECT symbol, avg(v) / 1e7 AS adtv_cr FROM (SELECT symbol, session_date, sum(turnover) AS v FROM bars GROUP BY ALL) GROUP BY symbol",
-    "symbol", 9,
+    "symbol",
 )
 QUERIES["liquidity_daily"] = lambda spark, d: rounded(ql.liquidity_daily(tb.bars_daily(spark, d), 0.05))
 SQL["liquidity_daily"] = final(
@@ -132,8 +132,8 @@ SQL["previous_session_close"] = final(
     INTRADAY + """,
 dl AS (SELECT symbol, session_date, arg_max(close, date) AS last FROM bars GROUP BY ALL),
 pv AS (SELECT symbol, session_date, lag(last) OVER (PARTITION BY symbol ORDER BY session_date) AS p FROM dl)""",
-    """SELECT symbol, session_date, hour, close, p AS prev_close, CASE WHEN p <= 0 THEN false ELSE abs(close - p) / p >= 0.2 END AS frozen,
-  CASE WHEN p <= 0 THEN true ELSE NOT (low >= p * (1 + 0.2) OR high <= p * (1 - 0.2)) END AS fills,
+    """SELECT symbol, session_date, hour, close, p AS prev_close, CASE WHEN p > 0 THEN abs(close - p) / p >= 0.2 ELSE false END AS frozen,
+  CASE WHEN p > 0 THEN NOT (low >= p * (1 + 0.2) OR high <= p * (1 - 0.2)) ELSE true END AS fills,
   round(round_even(close / 0.05, 0) * 0.05, 2) AS tick_close FROM bars JOIN pv USING (symbol, session_date)""",
     "symbol, session_date, hour, frozen, fills",
 )

@@ -59,16 +59,16 @@ def round_to_tick(price, tick: float = 0.05) -> Column:
 
 
 def is_frozen(prev_close, price, band_pct: float = 0.20) -> Column:
-    """Price sits at or beyond a circuit limit around the previous close."""
+    """Price sits at or beyond a circuit limit around the previous close; without one it cannot."""
     p, x = c(prev_close), c(price)
-    return F.when(p <= 0, False).otherwise(F.abs(x - p) / F.nullif(p, F.lit(0.0)) >= band_pct)
+    return F.when(p > 0, F.abs(x - p) / p >= band_pct).otherwise(False)
 
 
 def would_fill(prev_close, high, low, band_pct: float = 0.20) -> Column:
     """The bar traded somewhere inside the circuit band of the previous close."""
     p = c(prev_close)
     locked = (c(low) >= p * (1 + band_pct)) | (c(high) <= p * (1 - band_pct))
-    return F.when(p <= 0, True).otherwise(~locked)
+    return F.when(p > 0, ~locked).otherwise(True)
 
 
 def in_session(ts, open_: str = "09:15", close: str = "15:30") -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.distributions import t_two_sided_p
 from tickloom.functions.scalar import div
-from tickloom.plans.ordered import mix
+from tickloom.plans.ordered import spread
 
 
 def one_sample_t(df: DataFrame, keys: Sequence[str], value: str, with_median: bool = False) -> DataFrame:
@@ -42,8 +42,7 @@ def bootstrap_sharpe(
     """5/50/95 % quantiles of the annualised Sharpe ratio over resamples with replacement.
 
     A period return series has one value per rebalance date, so each cohort travels as one short array; the
-    replicates are exploded and spread over the cluster, and every replicate is a fold inside the JVM. Draw j of
-    replicate r is an arithmetic hash of (r, j), so reruns and lost tasks give the same resample.
+    replicates are exploded in slices and spread over the cluster. Draw j of replicate r is an arithmetic hash of (r, j), so reruns and lost tasks give the same resample.
     """
     keys = list(keys)
     pair = F.struct(F.col(order), F.col(value).alias("v"))
@@ -52,21 +51,25 @@ def bootstrap_sharpe(
         .agg(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["v"]).alias("a"))
         .withColumn("n", F.size("a"))
     )
-    reps = arr.filter(F.col("n") >= 2).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    reps = reps.repartition(*keys, "rep")
-    draws = F.transform(
-        F.sequence(F.lit(0), F.col("n") - 1),
-        lambda j: F.get(F.col("a"), (mix((F.col("rep"), 1000003), (j, 8191), seed=seed) % F.col("n")).cast("int")),
-    )
-    m = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x) / F.col("n")
-    ss = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + (x - F.col("m")) * (x - F.col("m")))
-    per = (
-        reps.withColumn("s", draws)
-        .withColumn("m", m)
-        .withColumn("sd", F.sqrt(ss / (F.col("n") - 1)))
-        .filter(F.col("sd") >= 1e-12)
-        .withColumn("sharpe", F.col("m") / F.col("sd") * math.sqrt(periods_per_year))
+    slices = arr.filter(F.col("n") >= 2).withColumn(
+        "first_rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot), F.lit(REPS_PER_TASK_ROW)))
     )
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = []
+            for i, (a, first) in enumerate(zip(pdf["a"], pdf["first_rep"])):
+                a = np.asarray(a)
+                reps = np.arange(first, min(first + REPS_PER_TASK_ROW, n_boot + 1), dtype=np.int64)
+                draw = a[hash_grid(reps[:, None], np.arange(len(a), dtype=np.int64)[None, :], seed) % len(a)]
+                sd = draw.std(axis=1, ddof=1)
+                ok = sd >= 1e-12
+                ratio = draw.mean(axis=1)[ok] / sd[ok] * math.sqrt(periods_per_year)
+                parts.append(pdf[keys].iloc[[i] * int(ok.sum())].assign(sharpe=ratio))
+            yield pd.concat(parts) if parts else pdf[keys].iloc[:0].assign(sharpe=[])
+
+    schema = arr.select(*keys).schema.add("sharpe", "double")
+    per = spread(slices, *keys, "first_rep").mapInPandas(resample, schema)
     q = F.percentile("sharpe", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     stats = per.groupBy(*keys).agg(q.alias("q"))
     return arr.select(*keys, F.col("n").alias("n_periods")).join(stats, keys, "left").select(
@@ -128,7 +131,8 @@ def spearman_ic(df: DataFrame, keys: Sequence[str], x: str, y: str, min_points:
 REPS_PER_TASK_ROW = 50
 
 
-def _mix_np(r: np.ndarray, j: np.ndarray, seed: int) -> np.ndarray:
+def hash_grid(r: np.ndarray, j: np.ndarray, seed: int) -> np.ndarray:
+    """The arithmetic hash of tickloom.plans.ordered.mix over a grid of (replicate, position)."""
     p = 2147483647
     h = (seed + r * 1000003 + j * 8191) % p
     for a, b in ((48271, 11), (16807, 7)):
@@ -179,7 +183,7 @@ def permutation_p(
                     continue
                 reps = np.arange(first, min(first + REPS_PER_TASK_ROW, n_perm + 1), dtype=np.int64)
                 blocks = np.arange(-(-n // block_size), dtype=np.int64)
-                h = _mix_np(reps[:, None], blocks[None, :], seed)
+                h = hash_grid(reps[:, None], blocks[None, :], seed)
                 seq = np.argsort(h, axis=1, kind="stable")
                 pos = seq[:, :, None] * block_size + np.arange(block_size)[None, None, :]
                 pos = pos.reshape(len(reps), -1)
@@ -190,7 +194,7 @@ def permutation_p(
             yield pdf[keys].assign(hits=np.asarray(hits, dtype="int64"), obs=obs)
 
     schema = d.select(*keys).schema.add("hits", "long").add("obs", "double")
-    per = slices.repartition(*keys, "first_rep").mapInPandas(count_ge, schema)
+    per = spread(slices, *keys, "first_rep").mapInPandas(count_ge, schema)
     p = F.when(F.max("obs") > 0, (F.sum("hits") + 1) / (n_perm + 1.0)).otherwise(1.0)
     found = per.groupBy(*keys).agg(p.alias("p_value"))
     return arrays.select(*keys, F.size("rx").alias("n")).join(found, keys, "left").na.fill(1.0, ["p_value"])

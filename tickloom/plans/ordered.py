@@ -93,6 +93,13 @@ def running_sum(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[
     return df.join(blocks, [*keys, block]).withColumn(out, F.col("_before") + F.sum(value).over(inside)).drop("_before")
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash the rows over the session's full shuffle width. For CPU-heavy steps on few bytes, which adaptive
+    coalescing (driven by bytes) would otherwise pack into one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
+
+
 def mix(*terms: tuple[Column | str, int], seed: int = 0) -> Column:
     """Uniform integer in [0, 2^31 - 1) from integer columns, by arithmetic any engine can repeat.
 
