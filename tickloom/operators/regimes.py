@@ -69,7 +69,7 @@ def index_indicators(index_bars: DataFrame, vix: DataFrame) -> DataFrame:
         ("atr_14_pct", F.when(known, div("_c", close))),
         ("india_vix", F.col("_vix")),
     ]
-    m = F.map_from_entries(F.array(*[F.struct(F.lit(k), v) for k, v in entries]))
+    m = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in entries]))
     return d.select("symbol", "date", F.map_filter(m, lambda k, v: v.isNotNull()).alias("indicators"))
 
 

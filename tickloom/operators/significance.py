@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.distributions import t_two_sided_p
 from tickloom.functions.scalar import div
-from tickloom.plans.ordered import spread
+from tickloom.plans.ordered import running_sum, spread
+from tickloom.session import cut_lineage
 
 
 def one_sample_t(df: DataFrame, keys: Sequence[str], value: str, with_median: bool = False) -> DataFrame:
@@ -116,6 +117,37 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
+def pooled_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, n_blocks: int = 64) -> DataFrame:
+    """Average-tie rank within keys for groups of any size.
+
+    Rows are first reduced to distinct values with counts (map-side, so a value that fills a third of the group is
+    one row), the distinct values are cut into blocks at approximate quantiles, and positions are counted by block.
+    Any cut points give the same ranks; they only decide how evenly the work is spread.
+    """
+    keys = list(keys)
+    vals = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = vals.groupBy(*keys).agg(
+        F.percentile_approx(value, F.array(*[F.lit(i / n_blocks) for i in range(1, n_blocks)]), F.lit(1000)).alias("_q")
+    )
+    placed = vals.join(cuts, keys).withColumn("_b", F.size(F.filter("_q", lambda q: q < F.col(value)))).drop("_q")
+    placed = cut_lineage(placed)
+    upto = running_sum(placed, keys, "_b", [value], "_c", "_upto")
+    ranks = upto.select(*keys, value, (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out))
+    return df.join(ranks, [*keys, value])
+
+
+def pooled_ic(df: DataFrame, keys: Sequence[str], x: str, y: str, min_points: int = 10) -> DataFrame:
+    """Rank correlation per key when a key's rows are pooled over many series and have no size bound."""
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = pooled_rank(pooled_rank(d, keys, x, "_rx"), keys, y, "_ry")
+    ic = div(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
+    return (
+        d.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n"), ic.alias("ic"))
+        .withColumn("ic", F.when(F.col("n") >= min_points, F.col("ic")))
+    )
+
+
 def spearman_ic(df: DataFrame, keys: Sequence[str], x: str, y: str, min_points: int = 10) -> DataFrame:
     """Rank correlation per key over rows where both values are present; NULL below `min_points` or when flat."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
