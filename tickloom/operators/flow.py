@@ -78,12 +78,15 @@ def concurrent_trades(
     max_positions: int = 5,
     capital: float = 1_000_000.0,
     costs: CostParams = DEFAULT_COSTS,
+    count_on_entry_day: bool = False,
 ) -> DataFrame:
     """Long trades: in at the close after the signal row, out `hold` rows later, at most `max_positions` at once.
 
     A signal is taken if fewer than `max_positions` signals were taken in the `hold` rows before it, which is all
     the state there is. Signals further apart than `hold` rows cannot affect each other, so each run of signals is
     folded on its own; the fold reads only signal rows and looks back exactly `max_positions` taken signals.
+    With `count_on_entry_day` capacity is counted on the execution day, as a daily stepping account does, so a
+    position that closes that day has already freed its slot: the look-back is one row shorter.
     """
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("date")
@@ -102,8 +105,10 @@ def concurrent_trades(
         F.array_sort(F.collect_list(signal)).alias("s"), F.first("_hold").alias("_hold")
     )
 
+    early = int(count_on_entry_day)
+
     def take(acc, x):
-        free = F.coalesce(F.get(acc, F.size(acc) - max_positions)["idx"] < x["idx"] - F.col("_hold"), F.lit(True))
+        free = F.coalesce(F.get(acc, F.size(acc) - max_positions)["idx"] < x["idx"] - F.col("_hold") + early, F.lit(True))
         return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
 
     taken = runs.withColumn("t", F.aggregate("s", F.slice("s", 1, 0), take)).select(*keys, F.inline("t"))
@@ -151,6 +156,7 @@ def flow_trades(
     max_positions: int = 5,
     capital: float = 1_000_000.0,
     start_row: int | None = None,
+    start_date=None,
     costs: CostParams = DEFAULT_COSTS,
 ) -> DataFrame:
     """Trades of the flow rule for every (symbol, threshold, hold) in one pass; the rank is computed once."""
@@ -158,6 +164,8 @@ def flow_trades(
     if start_row is not None:
         w = Window.partitionBy("symbol").orderBy("date")
         s = s.withColumn("_i", F.row_number().over(w) - 1).filter(F.col("_i") >= start_row).drop("_i")
+    if start_date is not None:
+        s = s.filter(F.col("date") >= F.lit(start_date))
     grid = F.array(
         *[
             F.struct(F.lit(float(q)).alias("quantile_threshold"), F.lit(h).alias("hold_days"))

@@ -203,13 +203,15 @@ def flow_ml_backtest(
 ) -> DataFrame:
     """Nested walk-forward classifier, pooled over the given instruments, against the flow rule on the same window.
 
-    Folds are equal ranges of the calendar after the warm-up. A fold's model, genes and decision threshold use
+    Folds are equal ranges of the longest instrument's calendar after the warm-up. A fold's model, genes and decision threshold use
     earlier rows only; the threshold is the exact quantile over all training rows. Per symbol the result has the
     model's report, the rule's report and the adoption verdict.
     """
     df, cols = flow_model_frame(prices, wide, hold)
     df = cut_lineage(df)
-    days = [r["date"] for r in df.select("date").distinct().orderBy("date").collect()]  # calendar, one value per date
+    longest = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "symbol").limit(1)
+    reference = df.join(longest, "symbol", "left_semi").select("date").orderBy("date")
+    days = [r["date"] for r in reference.collect()]  # fold cut-offs: the calendar of the longest instrument
     start = max(MIN_TRAIN_DAYS, max(LOOKBACKS) + 30)
     span = len(days) - start
     if span < n_folds * 20:
@@ -232,7 +234,7 @@ def flow_ml_backtest(
         if not n or ups in (0, n):
             continue  # one class only
         clf = classifier or LogisticRegression(
-            labelCol="label", featuresCol="features", weightCol="weight", elasticNetParam=1.0, regParam=1.0 / (c_inverse_reg * n), standardization=False, maxIter=50
+            labelCol="label", featuresCol="features", weightCol="weight", elasticNetParam=1.0, regParam=1.0 / (c_inverse_reg * n), standardization=False, maxIter=30
         )
         model = fit_classifier(train, names, clf)
         threshold = score(model, train, names).select(F.percentile("p_up", F.lit(quantile))).scalar()
@@ -242,7 +244,7 @@ def flow_ml_backtest(
     base = df.select("symbol", "date", "close")
     signals = base.join(entries, ["symbol", "date"], "left")
     trades = cut_lineage(concurrent_trades(signals, ["symbol"], "enter", hold, (hold,), max_positions, capital))
-    rule = cut_lineage(flow_trades(prices, wide, holds=(hold,), thresholds=(quantile,), max_positions=max_positions, capital=capital, start_row=start))
+    rule = cut_lineage(flow_trades(prices, wide, holds=(hold,), thresholds=(quantile,), max_positions=max_positions, capital=capital, start_date=days[start]))
 
     def tested(t: DataFrame) -> DataFrame:
         rep = performance_report(t, ["symbol"], "exit_date", ["entry_date"], capital, event_time_sharpe=True)
