@@ -106,7 +106,7 @@ def pair_statistics(prices: DataFrame, tiles: int = 4, with_p: bool = True, min_
         "symbol", "t", "x", "g", F.least("g", "o").alias("gi"), F.greatest("g", "o").alias("gj")
     )
 
-    def tile(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         gi, gj = key
         rows = sorted(
             ((s, g, np.asarray(t), np.asarray(x)) for s, g, t, x in zip(pdf["symbol"], pdf["g"], pdf["t"], pdf["x"])),
@@ -182,7 +182,7 @@ def pair_trades(
     last = F.coalesce(F.lead(session).over(w) != F.col(session), F.lit(True))
     d = scores.withColumn("last_bar", last).filter(F.col("z").isNotNull())
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         held, out = None, []
         for date, z, ca, cb, end in zip(pdf["date"], pdf["z"], pdf["close_a"], pdf["close_b"], pdf["last_bar"]):
