@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tickloom.catalog.data_cat import _ACT, _J, corporate_actions, journal
 from tickloom.catalog.sqltext import DAILY, LINE, BENCH, final
 from tickloom.functions.scalar import rounded
 from tickloom.operators import journal as jn
-from tickloom.session import shared_dir
+from tickloom.session import scratch_path
 from tickloom.sources import files as fs
 from tickloom.sources import tables as tb
 
@@ -18,7 +16,7 @@ QUERIES, SQL = {}, {}
 
 
 def _folder(spark):
-    return f"{shared_dir(spark).rstrip('/')}/tickloom-files-{uuid.uuid4().hex}"
+    return scratch_path(spark, "files")
 
 
 def _bhav(spark, d):

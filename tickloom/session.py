@@ -46,12 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A fresh path in this application's own sub-folder, which can be removed once the application has ended."""
+    return f"{shared_dir(spark).rstrip('/')}/tickloom-{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate table that several later steps read, and return the written table.
 
     It lives in the shared folder, so a lost executor costs a re-read and not a recomputation of the chain above.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

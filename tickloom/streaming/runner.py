@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.session import shared_dir
+from tickloom.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,7 +25,7 @@ def drain(stream: DataFrame, checkpoint: str | None = None, sink: str | None = N
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    base = f"{shared_dir(spark).rstrip('/')}/tickloom-stream-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
     checkpoint, sink = checkpoint or f"{base}/checkpoint", sink or f"{base}/sink"
     q = (
         stream.writeStream.format("parquet")
