@@ -119,7 +119,7 @@ QUERIES["time_series_cv"] = lambda spark, d: rounded(ml.time_series_cv(matrix(sp
 QUERIES["walk_forward"] = lambda spark, d: rounded(ml.walk_forward(matrix(spark, d), COLS, 3, ml.gbt(**_FAST)))
 QUERIES["walk_forward_summary"] = lambda spark, d: rounded(ml.fold_summary(ml.walk_forward(matrix(spark, d), COLS, 3, ml.gbt(**_FAST))))
 QUERIES["flow_classical_ml"] = lambda spark, d: rounded(
-    ml.flow_ml_backtest(cut_lineage(_index(spark, d)), cut_lineage(wide(spark, d)), evolver=gn.Evolver(population=8, generations=2, pooled=False))
+    ml.flow_ml_backtest(cut_lineage(_index(spark, d)), cut_lineage(wide(spark, d)), evolver=gn.Evolver(population=6, generations=2, pooled=False))
 )
 QUERIES["flow_pooled_classical_ml"] = lambda spark, d: rounded(
     ml.flow_ml_backtest(cut_lineage(tb.bars_daily(spark, d)), cut_lineage(wide(spark, d)))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.catalog.data_cat import _J, journal
+from tickloom.catalog.features_cat import _RET, _smoothed
 from tickloom.catalog.flow_cat import wide
-from tickloom.catalog.sqltext import DAILY, LINE, TRADES, final, full, pnl_sql
+from tickloom.catalog.sqltext import DAILY, INTRADAY, LINE, TRADES, final, full, lag, pnl_sql
 from tickloom.functions.scalar import rounded
 from tickloom.operators import features as ft
 from tickloom.operators import flow as fl
@@ -49,6 +50,59 @@ QUERIES["pairs_backtest"] = lambda spark, d: rounded(
     )
 )
 
+
+
+def _all_scores(spark, d):
+    """Spread scores of every pair, hedged on its own training part."""
+    bars = cut_lineage(tb.bars_intraday(spark, d))
+    return pr.spread_scores(bars, cut_lineage(pr.pair_statistics(pr.train_slice(bars, 0.8), with_p=False)), "session_date")
+
+
+_PAIR = INTRADAY + """,
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) > floor(count(*) OVER (PARTITION BY symbol) * 0.8::DOUBLE) AS oos FROM bars),
+h AS (SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, regr_slope(ln(a.close), ln(b.close)) AS hedge_ratio, regr_intercept(ln(a.close), ln(b.close)) AS intercept
+  FROM n a JOIN n b ON a.date = b.date AND a.symbol < b.symbol WHERE NOT a.oos AND NOT b.oos GROUP BY 1, 2 HAVING count(*) >= 200),
+s AS (SELECT h.*, a.date, a.session_date, a.hour, a.close AS close_a, b.close AS close_b, a.oos, ln(a.close) - (intercept + hedge_ratio * ln(b.close)) AS spread
+  FROM h JOIN n a ON a.symbol = symbol_a JOIN n b ON b.symbol = symbol_b AND b.date = a.date WHERE a.oos = b.oos),
+zz AS (SELECT *, CASE WHEN count(spread) OVER w = 20 THEN (spread - avg(spread) OVER w) / nullif(stddev_samp(spread) OVER w, 0) END AS z
+  FROM s WINDOW w AS (PARTITION BY symbol_a, symbol_b ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+o AS MATERIALIZED (SELECT * FROM zz WHERE oos)"""
+QUERIES["pair_spread_scores"] = lambda spark, d: rounded(
+    _all_scores(spark, d).select("symbol_a", "symbol_b", "session_date", F.hour("date").alias("hour"), "hedge_ratio", "spread", "z")
+)
+SQL["pair_spread_scores"] = final(
+    _PAIR, "SELECT symbol_a, symbol_b, session_date, hour, hedge_ratio, spread, z FROM o", "symbol_a, symbol_b, session_date, hour"
+)
+_PK = ["symbol_a", "symbol_b", "position", "entry_time", "exit_time"]
+QUERIES["pair_trades_all"] = lambda spark, d: rounded(
+    pr.pair_trades(_all_scores(spark, d), "session_date").select(
+        *_PK[:3], F.date_format("entry_date", "yyyy-MM-dd HH:mm").alias("entry_time"), F.date_format("exit_date", "yyyy-MM-dd HH:mm").alias("exit_time"),
+        "entry_a", "entry_b", "exit_a", "exit_b", "exit_z", "pnl", "pnl_pct", "confidence",
+    )
+)
+_LONG, _SHORT_SPREAD = "position = 'long_spread'", "position = 'short_spread'"
+SQL["pair_trades_all"] = final(
+    _PAIR + f""",
+q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol_a, symbol_b ORDER BY date) AS rn,
+  coalesce(lead(session_date) OVER (PARTITION BY symbol_a, symbol_b ORDER BY date) <> session_date, true) AS last_bar FROM o),
+wk(symbol_a, symbol_b, rn, position, ein, entry_a, entry_b, closed) AS (
+  SELECT DISTINCT symbol_a, symbol_b, 0::BIGINT, NULL::VARCHAR, NULL::TIMESTAMP, NULL::DOUBLE, NULL::DOUBLE, false FROM q
+  UNION ALL
+  SELECT q.symbol_a, q.symbol_b, q.rn,
+    CASE WHEN (w.position IS NULL OR w.closed) AND abs(z) > 2 THEN CASE WHEN z > 0 THEN 'short_spread' ELSE 'long_spread' END WHEN w.closed THEN NULL ELSE w.position END,
+    CASE WHEN (w.position IS NULL OR w.closed) AND abs(z) > 2 THEN q.date WHEN w.closed THEN NULL ELSE w.ein END,
+    CASE WHEN (w.position IS NULL OR w.closed) AND abs(z) > 2 THEN close_a WHEN w.closed THEN NULL ELSE w.entry_a END,
+    CASE WHEN (w.position IS NULL OR w.closed) AND abs(z) > 2 THEN close_b WHEN w.closed THEN NULL ELSE w.entry_b END,
+    coalesce(w.position IS NOT NULL AND NOT w.closed AND (abs(z) < 0.5 OR abs(z) > 4 OR last_bar) AND z IS NOT NULL, false)
+  FROM wk w JOIN q ON q.symbol_a = w.symbol_a AND q.symbol_b = w.symbol_b AND q.rn = w.rn + 1),
+c AS (SELECT w.*, q.date AS xout, close_a AS exit_a, close_b AS exit_b, z AS exit_z, floor(50000.0 / entry_a) AS qa, floor(50000.0 / entry_b) AS qb
+  FROM wk w JOIN q USING (symbol_a, symbol_b, rn) WHERE closed),
+p AS (SELECT *, {pnl_sql('entry_a', 'exit_a', 'qa', _SHORT_SPREAD)} + {pnl_sql('entry_b', 'exit_b', 'qb', _LONG)} AS pnl FROM c WHERE qa > 0 AND qb > 0)""",
+    """SELECT symbol_a, symbol_b, position, strftime(ein, '%Y-%m-%d %H:%M') AS entry_time, strftime(xout, '%Y-%m-%d %H:%M') AS exit_time, entry_a, entry_b, exit_a, exit_b,
+  exit_z, pnl, pnl / (entry_a * qa + entry_b * qb) AS pnl_pct, least(1.0, abs(exit_z) / 2.0) AS confidence FROM p""",
+    ", ".join(_PK), recursive=True,
+)
+
 # --- savings plan
 _SIP = DAILY + """,
 m AS (SELECT symbol, date, close, CASE WHEN row_number() OVER (PARTITION BY symbol, date_trunc('month', date) ORDER BY date) = 1 AND close > 0
@@ -162,6 +216,16 @@ QUERIES["regime_proxy_labels"] = lambda spark, d: (
     _proxy(spark, d).groupBy("symbol", "regime").agg(F.count(F.lit(1)).alias("n"))
 )
 
+SQL["regime_proxy_labels"] = "WITH RECURSIVE " + _RET + f""",
+tr AS (SELECT symbol, date, close, greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) AS tr FROM bars),
+{_smoothed('tr', {'atr': ('tr', 1 / 14)})},
+f0 AS (SELECT r.symbol, r.date, {full('stddev_samp(returns)', 'returns', 20, 'r.date', 'r.symbol')} * sqrt(252) AS vol, r.close / ({full('avg(r.close)', 'r.close', 20, 'r.date', 'r.symbol')}) - 1 AS c20,
+  r.close / ({full('avg(r.close)', 'r.close', 50, 'r.date', 'r.symbol')}) - 1 AS c50, atr / r.close AS atr_pct FROM r JOIN sm USING (symbol, date)),
+f AS (SELECT * FROM f0 WHERE vol IS NOT NULL AND c50 IS NOT NULL),
+t AS (SELECT symbol, quantile_cont(vol, 0.33) AS lo, quantile_cont(vol, 0.67) AS hi, quantile_cont(atr_pct, 0.67) AS ah FROM f WHERE date < DATE '2000-01-01' GROUP BY symbol)
+SELECT symbol, CASE WHEN c20 > 0.02 AND c50 > 0.05 AND vol < lo THEN 'bull_trend' WHEN c50 < -0.02 AND vol > hi THEN 'bear_trend'
+  WHEN atr_pct > ah THEN 'high_volatility' ELSE 'sideways' END AS regime, count(*) AS n FROM f JOIN t USING (symbol) GROUP BY ALL"""
+
 
 # --- signals
 def _signals(spark, d):
