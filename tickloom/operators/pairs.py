@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.costs import DEFAULT_COSTS, CostParams, net_pnl
 from tickloom.functions.scalar import div
+from tickloom.session import ship_package
 
 MIN_ROWS = 200
 
@@ -127,6 +128,7 @@ def pair_statistics(prices: DataFrame, tiles: int = 4, with_p: bool = True, min_
         return pd.DataFrame(out, columns=cols).astype({"p_value": "float64"})
 
     schema = "symbol_a string, symbol_b string, n_rows long, hedge_ratio double, intercept double, p_value double"
+    ship_package()
     return placed.groupBy("gi", "gj").applyInPandas(tile, schema)
 
 
@@ -197,6 +199,7 @@ def pair_trades(
             columns=["symbol_a", "symbol_b", "position", "entry_date", "entry_a", "entry_b", "exit_date", "exit_a", "exit_b", "exit_z"],
         )
 
+    ship_package()
     dt = scores.schema["date"].dataType.simpleString()
     trades = d.groupBy("symbol_a", "symbol_b").applyInPandas(
         walk,

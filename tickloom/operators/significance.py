@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.distributions import t_two_sided_p
 from tickloom.functions.scalar import div
 from tickloom.plans.ordered import running_sum, spread
-from tickloom.session import cut_lineage
+from tickloom.session import cut_lineage, ship_package
 
 
 def one_sample_t(df: DataFrame, keys: Sequence[str], value: str, with_median: bool = False) -> DataFrame:
@@ -70,6 +70,7 @@ def bootstrap_sharpe(
             yield pd.concat(parts) if parts else pdf[keys].iloc[:0].assign(sharpe=[])
 
     schema = arr.select(*keys).schema.add("sharpe", "double")
+    ship_package()
     per = spread(slices, *keys, "first_rep").mapInPandas(resample, schema)
     q = F.percentile("sharpe", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     stats = per.groupBy(*keys).agg(q.alias("q"))
@@ -226,6 +227,7 @@ def permutation_p(
             yield pdf[keys].assign(hits=np.asarray(hits, dtype="int64"), obs=obs)
 
     schema = d.select(*keys).schema.add("hits", "long").add("obs", "double")
+    ship_package()
     per = spread(slices, *keys, "first_rep").mapInPandas(count_ge, schema)
     p = F.when(F.max("obs") > 0, (F.sum("hits") + 1) / (n_perm + 1.0)).otherwise(1.0)
     found = per.groupBy(*keys).agg(p.alias("p_value"))

@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import tickloom
+
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, driver_memory: str = "12g") -> SparkSession:
     """Session for tests and the bench; a cluster job brings its own session."""
@@ -31,6 +34,9 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, driver_memory:
     )
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by the cluster.
 
@@ -39,11 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="tickloom-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if sc.applicationId not in _local_dirs:
+        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="tickloom-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return _local_dirs[sc.applicationId]
+
+
+def ship_package() -> None:
+    """Serialise this package's functions and classes by value, so Python workers need no installed copy of it.
+
+    Unlike an added archive this also reaches the worker that sets up a streaming state processor.
+    """
+    cloudpickle.register_pickle_by_value(tickloom)
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:

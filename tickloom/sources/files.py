@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import adjustment_factor, to_number
+from tickloom.session import ship_package
 from tickloom.sources.tables import CLIENT_TYPES
 
 # Fixed column order of the participant open-interest file.
@@ -97,6 +98,7 @@ def _unzipped(spark: SparkSession, path: str, cols: Sequence[str]) -> DataFrame:
                 day.columns = [c.strip() for c in day.columns]
                 yield day.reindex(columns=list(cols))
 
+    ship_package()
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, _all_strings(cols))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom.functions.costs import DEFAULT_COSTS, CostParams, net_pnl
+from tickloom.session import ship_package
 from tickloom.streaming.accounts import Account, AccountRules
 
 TRADE_SCHEMA = "symbol string, signal_date date, entry_date date, entry_price double, quantity double, exit_date date, exit_price double"
@@ -67,6 +68,7 @@ class TrancheProcessor(StatefulProcessor):
 
 def stream_tranches(days: DataFrame, hold: int = 5, max_positions: int = 5, capital: float = 1_000_000.0, costs: CostParams = DEFAULT_COSTS) -> DataFrame:
     """Closed trades of a stream of (symbol, date, close, signal)."""
+    ship_package()
     t = days.groupBy("symbol").transformWithStateInPandas(
         TrancheProcessor(hold, max_positions, capital), TRADE_SCHEMA, "Append", "None"
     )
@@ -103,6 +105,7 @@ class RegimeProcessor(StatefulProcessor):
 
 
 def stream_regimes(candidates: DataFrame, cooldown: int = 5) -> DataFrame:
+    ship_package()
     return candidates.groupBy("symbol").transformWithStateInPandas(RegimeProcessor(cooldown), REGIME_SCHEMA, "Append", "None")
 
 
@@ -138,11 +141,13 @@ def decide(name: str, acct: Account, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def stream_decisions(signals: DataFrame, rules: AccountRules = AccountRules()) -> DataFrame:
     """Closed trades of a stream of (account, ts, symbol, price, confidence, action, execution, multiplier)."""
+    ship_package()
     return signals.groupBy("account").transformWithStateInPandas(DecisionProcessor(rules), DECISION_SCHEMA, "Append", "None")
 
 
 def batch_decisions(signals: DataFrame, rules: AccountRules = AccountRules()) -> DataFrame:
     """The same cycle over a finished table of one session per account."""
+    ship_package()
     return signals.groupBy("account").applyInPandas(
         lambda key, pdf: decide(key[0], Account(rules), pdf), DECISION_SCHEMA
     )
