@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import chat, exact_dedup, mixing, url_rules
+from tickloom.llm import chat, exact_dedup, licenses, mixing, pieces, pii, quality, url_rules
 from tickloom.llm.text import table
 
 
@@ -15,10 +15,14 @@ def _on_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": pieces.query,
     "op2_exact_dedup": _on_documents(exact_dedup.exact_dedup),
     "op3_chat_formatting": chat.query,
     "op4_url_filters": url_rules.query,
     "op5_source_mixing": _on_documents(mixing.mix),
+    "op6_quality_rules": quality.query,
+    "op8_license_scan": licenses.query,
+    "op9_personal_data": pii.query,
 }
 
 SQL: dict[str, str] = {
