@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import chat, exact_dedup, licenses, mixing, ngram_join, pieces, pii, quality, url_rules
+from tickloom.llm import chat, exact_dedup, licenses, mixing, ngram_join, pieces, pii, quality, repeats, url_rules
 from tickloom.llm.text import table
 
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filters": url_rules.query,
     "op5_source_mixing": _on_documents(mixing.mix),
     "op6_quality_rules": quality.query,
+    "op7_repeated_strings": repeats.query,
     "op8_license_scan": licenses.query,
     "op9_personal_data": pii.query,
     "op10_ngram_jaccard": ngram_join.query,

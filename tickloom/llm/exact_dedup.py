@@ -11,6 +11,9 @@ from tickloom.llm.text import SPACE_CHARS, or_empty, sha256_hex
 from tickloom.session import cut_lineage
 
 
+_DECIDED = ("doc_id", "_len", "keep_id", "group_size", "text_sha256")
+
+
 def content_hash(normal: Column) -> Column:
     """128 bits of the normalised text, as 32 hex digits."""
     return F.md5(normal)
@@ -64,7 +67,7 @@ def exact_dedup(
     clashing = one.where("_texts > 1").select("_hash")
     if not clashing.isEmpty():
         unsettled = base.join(clashing, "_hash", "left_semi").join(texts, ["_hash", "_normal"])
-        settled = settled.select(*unsettled_columns).unionByName(unsettled.select(*unsettled_columns))
+        settled = settled.select(*_DECIDED).unionByName(unsettled.select(*_DECIDED))
     # one row stays where the kept row itself is repeated
     repeat = F.row_number().over(
         Window.partitionBy("doc_id", "text_sha256").orderBy(F.col("_len").desc())
@@ -75,21 +78,22 @@ def exact_dedup(
     )
 
 
-unsettled_columns = ("doc_id", "_len", "keep_id", "group_size", "text_sha256")
-
-
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns and one row for each distinct text.
 
     A kept row is known by its id and the hash of its text, so rows that share an id are told apart.
     """
-    decided = exact_dedup(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")
+    decided = exact_dedup(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256")
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.col(id_col).cast("long").alias("_id"),
+        sha256_hex(normal_text(text_col)).alias("_sha"),
+        F.length(or_empty(text_col)).alias("_len"),
     )
-    marked = docs.withColumn("_sha", sha256_hex(normal_text(text_col)))
-    joined = marked.join(decided, (marked[id_col].cast("long").eqNullSafe(decided["_keep"])) & (marked["_sha"] == decided["_sha"]))
-    order = Window.partitionBy("_keep", decided["_sha"]).orderBy(F.length(or_empty(text_col)).desc())
-    return joined.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*(docs[c] for c in docs.columns))
+    same = rows["_id"].eqNullSafe(decided["doc_id"]) & (rows["_sha"] == decided["text_sha256"])
+    order = Window.partitionBy("_id", "_sha").orderBy(F.col("_len").desc())
+    first = rows.join(decided, same).withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return first.select("row.*")
 
 
 SQL = r"""

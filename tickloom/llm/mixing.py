@@ -81,9 +81,9 @@ def mix(docs: DataFrame, seed: int = 7, **rules) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = 7, **rules) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns. Texts are never shuffled."""
     targets = cut_lineage(source_targets(docs.select("source", word_count("text").alias("size")), **rules))
-    rated = with_rates(docs, targets.select("source", "rate"))
+    rows = docs.select(F.struct("*").alias("row"), "source", "doc_id")
     times = F.array_repeat(F.lit(1), copies(F.col("rate"), F.col("doc_id"), seed))
-    return rated.withColumn("_copy", F.explode(times)).select(*docs.columns)
+    return with_rates(rows, targets.select("source", "rate")).select("row", F.explode(times)).select("row.*")
 
 
 SQL = r"""
