@@ -27,6 +27,7 @@ BUCKETS = 1 << 15
 KEEP_FROM = 0.5
 CHAR_N, WORD_N = 3, 2
 
+_SALTS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 3, dtype=np.uint64)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS.encode())] = True
 
@@ -46,18 +47,16 @@ def ngram_buckets(t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     s, e, doc = t.words()
     word = t.hashes(prefix, s, e)
     chars = np.append(t.characters(), len(t.bytes))
-    found = []
-    if len(chars) > CHAR_N:
-        a, b = chars[:-CHAR_N], chars[CHAR_N:]
-        at = t.document_of(a)
-        inside = b <= t.offsets[at + 1]
-        found.append((at[inside], t.hashes(prefix, a[inside], b[inside])))
-    found.append((doc, word))
-    if len(word) >= WORD_N:
-        inside = doc[: 1 - WORD_N] == doc[WORD_N - 1 :]
-        found.append((doc[: 1 - WORD_N][inside], combine(word, WORD_N)[inside]))
-    salts = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 3, dtype=np.uint64)
-    return [(d, (mix64(h ^ salt) % np.uint64(BUCKETS)).astype(np.int64)) for (d, h), salt in zip(found, salts, strict=False)]
+    a, b = chars[:-CHAR_N], chars[CHAR_N:]
+    at = t.document_of(a)
+    inside = b <= t.offsets[at + 1]
+    together = doc[: 1 - WORD_N] == doc[WORD_N - 1 :]
+    found = [
+        (at[inside], t.hashes(prefix, a[inside], b[inside])),
+        (doc, word),
+        (doc[: 1 - WORD_N][together], combine(word, WORD_N)[together]),
+    ]
+    return [(d, (mix64(h ^ salt) % np.uint64(BUCKETS)).astype(np.int64)) for (d, h), salt in zip(found, _SALTS, strict=True)]
 
 
 def linear_scores(t: Texts, weights: np.ndarray) -> np.ndarray:

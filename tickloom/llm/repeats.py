@@ -75,7 +75,7 @@ def runs_of(t: Texts, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Beginnings and ends of runs of equal values."""
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
-    return begin, np.append(begin[1:], len(key))
+    return begin, np.append(begin[1:], len(key))[: len(begin)]
 
 
 def _deal(buckets: int, length: int, k: int):
