@@ -265,7 +265,10 @@ def _examples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS, rounds: int = 12, depth: int = 4) -> Trees | None:
     """The fitted trees; None for a table without documents."""
     seed = F.xxhash64("doc_id")
-    drawn = docs.select(seed.alias("seed"), F.substring(or_empty("text"), 1, 4000).alias("text")).orderBy("seed", "text").limit(sample)
+    ids = cut_lineage(docs.select(seed.alias("seed")).distinct().orderBy("seed").limit(sample))  # at most `sample` numbers
+    again = F.sequence(F.lit(1), F.lit(-(-sample // max(1, ids.count()))))  # few documents carry more plants each
+    drawn = docs.select(seed.alias("seed"), or_empty("text").alias("text")).join(F.broadcast(ids), "seed")
+    drawn = drawn.withColumn("n", F.explode(again)).select(F.xxhash64("seed", "n").alias("seed"), "text")
     drawn = drawn.withColumn("fold", F.pmod("seed", F.lit(4)))
     rows = cut_lineage(drawn.mapInPandas(_examples, "label double, held boolean, x array<double>"))
     vectors = rows.select("label", "held", array_to_vector("x").alias("features"))
