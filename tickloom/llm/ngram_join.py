@@ -22,8 +22,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ FREQUENT = 64
 #: Sets per side of a tile.
 TILE = 1024
 #: Texts are dealt in slices of about so many bytes, into so many buckets per input partition.
-DEAL_BYTES, BUCKETS_PER_PARTITION = 4 << 20, 4
+DEAL_BYTES, BUCKETS_PER_PARTITION = 1 << 20, 4
 
 _U = np.uint64
 _ROWS = "kind byte, bucket int, doc_id long, n int, key long, second long, tokens binary, keys binary, counts binary"
@@ -128,14 +128,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
     names = ["kind", "doc_id", "n", "key", "second", "token", "df"]
     for batch in batches:
-        is_doc = pa.compute.equal(batch["kind"], 0)
+        is_doc = pc.equal(batch["kind"], 0)
         docs = batch.filter(is_doc)
         if len(docs):
             yield pa.RecordBatch.from_arrays(
                 [docs["kind"], docs["doc_id"], docs["n"], docs["key"], docs["second"], pa.nulls(len(docs), pa.int64()), pa.nulls(len(docs), pa.int32())],
                 names=names,
             )
-        dealt = batch.filter(pa.compute.invert(is_doc))
+        dealt = batch.filter(pc.invert(is_doc))
         for bucket, *row in zip(*(dealt[c].to_pylist() for c in ("bucket", "tokens", "keys", "counts")), strict=True):
             held.setdefault(bucket, []).append(tuple(row))
     for bucket in list(held):
@@ -191,7 +191,7 @@ def least_overlap(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def index_entries(key: int, n: int, df: np.ndarray, token: np.ndarray) -> set[int]:
+def index_entries(n: int, df: np.ndarray, token: np.ndarray) -> set[int]:
     """Entries of a set of n tokens, of which `token` are the repeated ones, ordered by (frequency, token)."""
     need = n - least_overlap(n) + 1 - (n - len(token))
     out: set[int] = set()
@@ -218,39 +218,39 @@ def index_entries(key: int, n: int, df: np.ndarray, token: np.ndarray) -> set[in
     return out
 
 
-def _index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        entry, key = [], []
-        for k, n, ordered in zip(frame["key"], frame["n"], frame["ordered"], strict=True):
-            df = np.array([x["df"] for x in ordered], np.int64)
-            token = np.array([x["token"] for x in ordered], np.int64)
-            found = index_entries(k, n, df, token)
-            entry += found
-            key += [k] * len(found)
-        yield pd.DataFrame({"entry": np.array(entry, np.int64), "key": np.array(key, np.int64)})
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ordered = batch["ordered"]
+        ends = np.cumsum(np.asarray(pc.list_value_length(ordered)))[:-1]
+        df, token = (np.split(np.asarray(ordered.flatten().field(c)), ends) for c in ("df", "token"))
+        found = [index_entries(n, f, w) for n, f, w in zip(batch["n"].to_pylist(), df, token, strict=True)]
+        entry = np.array([e for entries in found for e in entries], np.int64)
+        key = np.repeat(np.asarray(batch["key"]), [len(entries) for entries in found])
+        yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(key)], names=["entry", "key"])
 
 
 def similar(common: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
     return 100 * common >= PERCENT * (n + sizes - common)
 
 
-def tile_links(frame: pd.DataFrame) -> pd.DataFrame:
+def tile_links(tile: pa.Table) -> pa.Table:
     """Links of a tile that join different groups: each set of side 1 with side 0, or, without side 0, among side 1.
 
     Side 0 is one group already, so one link to it is enough.
     """
-    frame = frame.sort_values(["side", "key"]).drop_duplicates(["side", "key"])
-    left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-    among = not len(left)
-    base = right if among else left
-    keys, sizes = base["key"].to_numpy(), base["n"].to_numpy()
-    owner = np.repeat(np.arange(len(base)), base["tokens"].map(len))
-    token = np.concatenate(base["tokens"].to_list() or [np.empty(0, np.int64)])
+    sets = {(s, k): (n, w) for s, k, n, w in zip(*(tile[c].to_pylist() for c in ("side", "key", "n", "tokens")), strict=True)}
+    right = [(k, *v) for (s, k), v in sorted(sets.items()) if s == 1]
+    base = [(k, *v) for (s, k), v in sorted(sets.items()) if s == 0] or right
+    among = base is right
+    sizes = np.array([n for _, n, _ in base])
+    owner = np.repeat(np.arange(len(base)), [len(w) for _, _, w in base])
+    token = np.concatenate([np.array(w, np.int64) for _, _, w in base])
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     group = np.arange(len(base))
     links = []
-    for i, (k, n, mine) in enumerate(zip(right["key"], right["n"], right["tokens"], strict=True)):
+    for i, (k, n, w) in enumerate(right):
+        mine = np.array(w, np.int64)
         lo, hi = np.searchsorted(token, mine, "left"), np.searchsorted(token, mine, "right")
         c = hi - lo
         place = np.arange(c.sum()) + np.repeat(lo - (np.cumsum(c) - c), c)
@@ -258,16 +258,16 @@ def tile_links(frame: pd.DataFrame) -> pd.DataFrame:
         if among:
             for j in np.flatnonzero(fits & (group != group[i])).tolist():
                 if group[j] != group[i]:
-                    links.append((k, keys[j]))
+                    links.append((k, base[j][0]))
                     group[group == group[j]] = group[i]
         elif fits.any():
-            links.append((k, keys[int(np.argmax(fits))]))
-    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+            links.append((k, base[int(np.argmax(fits))][0]))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
 def links_of(sets: DataFrame) -> DataFrame:
     """Links (a, b) between sets (key, n, ordered) that connect all sets which links connect at all."""
-    entries = cut_lineage(sets.where("n >= 4").mapInPandas(_index, "entry long, key long"))
+    entries = cut_lineage(sets.where("n >= 4").mapInArrow(_index, "entry long, key long"))
     pivots = entries.groupBy("entry").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1")
     pairs = entries.join(pivots, "entry").where("key <> pivot").select("pivot", "key").distinct()
     plain = sets.select("key", "n", F.transform("ordered", lambda x: x["token"]).alias("tokens"))
@@ -294,7 +294,7 @@ def links_of(sets: DataFrame) -> DataFrame:
     )
     m = m.select("pivot", "key", F.when(F.col("linked"), 0).otherwise(1).alias("side"), F.explode(cells).alias("cell"))
     tiled = m.join(plain, "key").select("pivot", "cell.*", "side", "key", "n", "tokens")
-    more = tiled.groupBy("pivot", "kind", "x", "y").applyInPandas(tile_links, "a long, b long")
+    more = tiled.groupBy("pivot", "kind", "x", "y").applyInArrow(tile_links, "a long, b long")
     return compared.where("linked").select(F.col("pivot").alias("a"), F.col("key").alias("b")).union(more)
 
 
