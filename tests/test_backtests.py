@@ -141,7 +141,7 @@ def test_stress_marks_missing_data(spark):
     assert got["crash"]["worst_day_return_pct"] == pytest.approx(-0.125) and got["crash"]["trading_days"] == 10
     assert not got["none"]["data_available"] and got["none"]["trading_days"] == 0
     w = rk.worst_case(spark.createDataFrame(list(got.values()))).first()
-    assert w["worst_scenario"] == "crash" and w["symbols_with_no_data"] == "s"
+    assert w["worst_scenario"] == "crash" and w["n_symbols_with_no_data"] == 1 and [r["symbol"] for r in rk.symbols_without_data(spark.createDataFrame(list(got.values()))).collect()] == ["s"]
 
 
 def test_allocation_reasons(spark):

@@ -89,3 +89,18 @@ def test_hysteresis_equals_the_automaton(spark):
                     cur, pend, n = c, None, 0
             want.append(cur)
         assert got == want
+
+
+@pytest.mark.parametrize("span", [1, 1.5, 3, 50, 200, 1000, 100_000])
+def test_smoothing_equals_the_recursion_for_any_alpha(spark, span):
+    n = 5000
+    series = walk(n)
+    s = ft.SeriesSpec()
+    layers = ft.smooth(s, 1, {"y": ("close", ft.span_alpha(span))})
+    got = ft.apply_layers(s.positions(spark.createDataFrame(series)), layers).orderBy("date").select("y").toPandas()["y"]
+    np.testing.assert_allclose(got, series["close"].ewm(span=span, adjust=False).mean(), rtol=1e-9)
+
+
+def test_alpha_out_of_range_is_refused():
+    with pytest.raises(ValueError):
+        ft.smooth(ft.SeriesSpec(), 1, {"y": ("close", 0.0)})

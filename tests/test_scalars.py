@@ -80,3 +80,15 @@ def test_xirr(spark):
     assert one(spark, xirr(flows([(0, -100), (2, 121)]))) == pytest.approx(0.10, abs=1e-9)
     assert one(spark, xirr(flows([(0, 100), (1, 110)]))) is None
     assert math.isclose(one(spark, xirr(flows([(0, -100), (1, 50)]))), -0.5, abs_tol=1e-9)
+
+
+def test_t_probability_for_any_degrees_of_freedom(spark):
+    import math
+
+    from tickloom.functions.distributions import t_two_sided_p
+
+    known = [(1.0, 1, 0.5), (12.706204736432095, 1, 0.05), (2.2281388519649385, 10, 0.05), (0.0, 7, 1.0)]
+    known += [(t, 10**k, math.erfc(t / math.sqrt(2))) for t in (0.5, 2.0, 4.0) for k in (7, 10)]
+    df = spark.createDataFrame([(t, v, p) for t, v, p in known], "t double, v long, want double")
+    for r in df.withColumn("p", t_two_sided_p("t", "v")).collect():
+        assert abs(r["p"] - r["want"]) < (1e-7 if r["v"] > 1000 else 1e-11)

@@ -277,9 +277,13 @@ SELECT symbol, CAST(least(floor(20 * (confidence - lo) / (hi - lo)) + 1, 20) AS
 QUERIES["all_trading_dates"] = lambda spark, d: tb.bars_daily(spark, d).select("date").union(tb.benchmark_daily(spark, d).select("date")).distinct()
 SQL["all_trading_dates"] = "WITH " + LINE + " SELECT DISTINCT date FROM line"
 QUERIES["missing_symbol_dates"] = lambda spark, d: (
-    tb.benchmark_daily(spark, d).select("date").join(tb.bars_daily(spark, d).filter(F.col("symbol") == "Brand#3"), "date", "left_anti")
+    tb.bars_daily(spark, d).groupBy("symbol").agg(F.collect_set("date").alias("have"), F.lit(1).alias("k"))
+    .join(tb.benchmark_daily(spark, d).agg(F.collect_set("date").alias("calendar"), F.lit(1).alias("k")), "k")
+    .select("symbol", F.explode(F.array_except("calendar", "have")).alias("date"))
+)
+SQL["missing_symbol_dates"] = (
+    "WITH " + DAILY + " SELECT s.symbol, c.date FROM (SELECT DISTINCT symbol FROM bars) s, (SELECT DISTINCT date FROM line) c EXCEPT SELECT symbol, date FROM bars"
 )
-SQL["missing_symbol_dates"] = "WITH " + DAILY + " SELECT date FROM line EXCEPT SELECT date FROM bars WHERE symbol = 'Brand#3'"
 QUERIES["latest_price"] = lambda spark, d: rounded(tb.bars_daily(spark, d).groupBy("symbol").agg(F.max_by("close", "date").alias("close"), F.max("date").alias("date")))
 SQL["latest_price"] = final(DAILY, "SELECT symbol, arg_max(close, date) AS close, max(date) AS date FROM bars GROUP BY symbol", "symbol, date")
 QUERIES["event_properties"] = lambda spark, d: (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom import jobs
 from tickloom.catalog.features_cat import _RET
 from tickloom.catalog.flow_cat import _index, wide
 from tickloom.catalog.sqltext import final
@@ -18,19 +19,16 @@ from tickloom.sources import tables as tb
 
 QUERIES, SQL = {}, {}
 CAPITAL = 1_000_000.0
-COLS = ["returns", "returns_5d", "returns_10d", "returns_20d", "volatility_5d", "volatility_20d", "close_to_sma_20", "close_to_sma_50", "rsi_14", "atr_pct"]
 
 
 def matrix(spark, d):
-    """Labelled model rows with a compact feature set, stored once for the several passes of training."""
-    f = ft.add_families(tb.bars_daily(spark, d), ["returns", "averages", "rsi", "atr"], min_rows=ft.MIN_ROWS)
-    f = ft.forward_labels(f, periods=10, dead_zone=0.01)
-    return cut_lineage(f.select("symbol", "date", "close", *COLS, "future_return", "label").dropna(subset=COLS))
+    """Labelled model rows with the whole feature library and the names of the features, stored once."""
+    return jobs.model_rows(tb.bars_daily(spark, d))
 
 
 GENES = [
-    gn.Gene("returns_5d", "volatility_20d", "ratio"), gn.Gene("returns", "returns_10d", "diff"), gn.Gene("returns_5d", "returns_20d", "product"),
-    gn.Gene("returns", None, "rolling_mean_5"), gn.Gene("returns_5d", None, "rolling_std_5"),
+    gn.Recipe("ratio", "returns_5d", "volatility_20d"), gn.Recipe("diff", "returns", "returns_10d"), gn.Recipe("product", "returns_5d", "returns_20d"),
+    gn.Recipe("rolling_mean_5", "returns"), gn.Recipe("rolling_std_5", "returns_5d"),
 ]
 
 
@@ -58,44 +56,56 @@ k AS (SELECT gene, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OV
 
 
 def _search(spark, d):
-    best = gn.Evolver(population=10, generations=3).evolve(matrix(spark, d), COLS)
-    return spark.createDataFrame([(g.name(), g.op, float(s)) for g, s in best], "gene string, op string, fitness double")
+    rows, cols = matrix(spark, d)
+    best = gn.Evolver().evolve(rows, cols)
+    return spark.createDataFrame([(g.label, g.op, float(s)) for g, s in best], "gene string, op string, fitness double")
 
 
 QUERIES["gene_search"] = _search
 
 
 def _split_matrix(spark, d):
-    return ml.with_split(matrix(spark, d))
+    rows, cols = matrix(spark, d)
+    return ml.with_split(rows), cols
 
 
-QUERIES["training_split"] = lambda spark, d: _split_matrix(spark, d).groupBy("split").agg(
+QUERIES["training_split"] = lambda spark, d: _split_matrix(spark, d)[0].groupBy("split").agg(
     F.count(F.lit(1)).alias("n"), F.count("label").alias("n_labelled"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
 )
-_FAST = {"max_iter": 5, "max_depth": 3}
 
 
 def _baseline(spark, d):
-    m = _split_matrix(spark, d)
-    model = ml.fit_classifier(m.filter(F.col("split") == "train"), COLS, ml.gbt(**_FAST))
-    scored = ml.score(model, m.filter(F.col("split") != "train"), COLS)
-    return model, scored
+    """The model fitted on train rows with early stopping, all rows scored, and the feature names."""
+    rows, cols = _split_matrix(spark, d)
+    model = ml.fit_split(rows, cols)
+    return model, ml.score(model, rows, cols), cols
+
+
+def _importance(spark, d):
+    model, _, cols = _baseline(spark, d)
+    return rounded(ml.feature_importance(model, cols, spark))
+
+
+def _oos_report(spark, d):
+    trades = cut_lineage(ml.oos_trades(_baseline(spark, d)[1].filter("split = 'oos'"), True))
+    return rounded(performance_report(trades, ["symbol"], "date", ["action"], CAPITAL))
 
 
 QUERIES["boosted_baseline_metrics"] = lambda spark, d: rounded(ml.classification_metrics(_baseline(spark, d)[1], ["split"]))
-QUERIES["boosted_feature_importance"] = lambda spark, d: rounded(ml.feature_importance(_baseline(spark, d)[0], COLS, spark))
-QUERIES["boosted_oos_report"] = lambda spark, d: rounded(
-    performance_report(cut_lineage(ml.oos_trades(_baseline(spark, d)[1], True, 0.55)), ["symbol"], "date", ["action"], CAPITAL)
-)
+QUERIES["boosted_feature_importance"] = _importance
+QUERIES["boosted_oos_report"] = _oos_report
+
+
+def _labelled(rows):
+    """Regimes of all rows, with thresholds from the rows before the traded ones."""
+    return rg.label_regimes(rows, rg.regime_thresholds(rows.filter("split <> 'oos'")))
 
 
 def _gated(spark, d):
-    """Out-of-sample trades only in trending regimes, thresholds from the training rows."""
-    m = _split_matrix(spark, d)
-    train, oos = m.filter(F.col("split") == "train"), m.filter(F.col("split") != "train")
-    labelled = rg.label_regimes(oos, rg.regime_thresholds(train)).filter(F.col("regime").isin("bull_trend", "bear_trend"))
-    model = ml.fit_classifier(train, COLS, ml.gbt(**_FAST))
-    t = cut_lineage(ml.oos_trades(ml.score(model, labelled, COLS), True, 0.5))
+    """Out-of-sample trades only in trending regimes."""
+    rows, cols = _split_matrix(spark, d)
+    oos = _labelled(rows).filter(F.col("regime").isin("bull_trend", "bear_trend") & (F.col("split") == "oos"))
+    t = cut_lineage(ml.oos_trades(ml.score(ml.fit_split(rows, cols), oos, cols), True))
     return rounded(performance_report(t, ["regime"], "date", ["symbol"], CAPITAL))
 
 
@@ -103,26 +113,25 @@ QUERIES["regime_gated_report"] = _gated
 
 
 def _regime_models(spark, d):
-    m = _split_matrix(spark, d)
-    train = m.filter(F.col("split") == "train")
-    thr = rg.regime_thresholds(train)
-    train, oos = cut_lineage(rg.label_regimes(train, thr)), cut_lineage(rg.label_regimes(m.filter(F.col("split") != "train"), thr))
+    rows, cols = _split_matrix(spark, d)
+    rows = cut_lineage(_labelled(rows))
     out = None
-    for regime, model in ml.regime_models(train, COLS, 100, ml.gbt(**_FAST)).items():
-        r = ml.classification_metrics(ml.score(model, oos.filter(F.col("regime") == regime), COLS)).withColumn("regime", F.lit(regime))
+    for regime, model in ml.regime_models(rows.filter("split = 'train'"), cols).items():
+        oos = rows.filter((F.col("regime") == regime) & (F.col("split") == "oos"))
+        r = ml.classification_metrics(ml.score(model, oos, cols)).withColumn("regime", F.lit(regime))
         out = r if out is None else out.unionByName(r)
     return rounded(out)
 
 
 QUERIES["regime_submodels"] = _regime_models
-QUERIES["time_series_cv"] = lambda spark, d: rounded(ml.time_series_cv(matrix(spark, d), COLS, 3, ml.gbt(**_FAST)))
-QUERIES["walk_forward"] = lambda spark, d: rounded(ml.walk_forward(matrix(spark, d), COLS, 3, ml.gbt(**_FAST)))
-QUERIES["walk_forward_summary"] = lambda spark, d: rounded(ml.fold_summary(ml.walk_forward(matrix(spark, d), COLS, 3, ml.gbt(**_FAST))))
+QUERIES["time_series_cv"] = lambda spark, d: rounded(ml.time_series_cv(*matrix(spark, d)))
+QUERIES["walk_forward"] = lambda spark, d: rounded(ml.walk_forward(*matrix(spark, d)))
+QUERIES["walk_forward_summary"] = lambda spark, d: rounded(ml.fold_summary(ml.walk_forward(*matrix(spark, d))))
 QUERIES["flow_classical_ml"] = lambda spark, d: rounded(
-    ml.flow_ml_backtest(cut_lineage(_index(spark, d)), cut_lineage(wide(spark, d)), evolver=gn.Evolver(population=6, generations=2, pooled=False))
+    ml.flow_ml_backtest(cut_lineage(_index(spark, d)), cut_lineage(wide(spark, d)), evolver=gn.Evolver(pooled=False))
 )
 QUERIES["flow_pooled_classical_ml"] = lambda spark, d: rounded(
-    ml.flow_ml_backtest(cut_lineage(tb.bars_daily(spark, d)), cut_lineage(wide(spark, d)))
+    ml.flow_ml_backtest(cut_lineage(tb.bars_daily(spark, d)), cut_lineage(wide(spark, d)), evolver=gn.Evolver())
 )
 
 # --- ensembles over sub-model probabilities derived from order lines
@@ -160,8 +169,10 @@ SQL["ensemble_combine"] = final(
 
 
 def _stack(spark, d):
+    """Fitted on the even orders and scored on the odd ones, which it has not seen."""
     s = cut_lineage(_sub(spark, d))
-    out = ml.stacker(s, MODELS).transform(s)
+    held = F.col("l_orderkey") % 2 == 1
+    out = ml.stacker(s.filter(~held), MODELS).transform(s.filter(held))
     return rounded(out.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -179,7 +190,7 @@ def _listing(spark, d):
             "p_partkey", F.col("p_size").cast("double").alias("size"), *LISTING[1:], ((F.col("px") / F.col("p_retailprice") - 1)).alias("listing_return_pct")
         )
     )
-    model = ml.listing_return_model(t, LISTING, "listing_return_pct", 5)
+    model = ml.listing_return_model(t, LISTING, "listing_return_pct")
     return rounded(ml.predict_listing_return(model, t, LISTING))
 
 

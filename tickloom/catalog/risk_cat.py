@@ -143,7 +143,7 @@ t AS (SELECT symbol, min(close / top - 1) AS max_drawdown, arg_min(date, (close
 
 # --- regimes
 def index_bars(spark, d):
-    return tb.bars_from_ticks(tb._line_ticks(spark, d), ["date"], "px", "qty", tb._SEQ, "value").withColumn("symbol", F.lit("index"))
+    return tb.bars_from_ticks(tb._line_ticks(spark, d), ["date"], "px", "qty", turnover="value").withColumn("symbol", F.lit("index"))
 
 
 def vix(spark, d):
@@ -347,6 +347,6 @@ SQL["stress_worst_case"] = final(
     _ST, """SELECT bool_or(data_available) AS data_available, arg_min(symbol, (worst_day_return_pct, scenario, symbol)) FILTER (data_available) AS worst_symbol,
   arg_min(scenario, (worst_day_return_pct, scenario, symbol)) FILTER (data_available) AS worst_scenario, min(worst_day_return_pct) FILTER (data_available) AS worst_return_pct,
   bool_or(data_available AND would_breach_daily_loss_limit) AS any_breach_daily_loss_limit, bool_or(data_available AND would_breach_max_drawdown) AS any_breach_max_drawdown,
-  string_agg(DISTINCT symbol, ',' ORDER BY symbol) FILTER (NOT data_available) AS symbols_with_no_data FROM res""",
-    "data_available, worst_symbol, worst_scenario, any_breach_daily_loss_limit, any_breach_max_drawdown, symbols_with_no_data",
+  count(DISTINCT symbol) FILTER (NOT data_available) AS n_symbols_with_no_data FROM res""",
+    "data_available, worst_symbol, worst_scenario, any_breach_daily_loss_limit, any_breach_max_drawdown, n_symbols_with_no_data",
 )

@@ -39,7 +39,7 @@ SQL["stream_hourly_bars"] = final(
 )
 QUERIES["stream_session_vwap"] = lambda spark, d: rounded(runner.drain(sb.stream_session_vwap(_ticks(spark, d))))
 SQL["stream_session_vwap"] = final(
-    "b AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS session_date, avg(value) AS session_vwap, count(*) AS n_ticks FROM events GROUP BY ALL)",
+    "b AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS session_date, sum(value * (user_id % 7 + 1)) / sum(user_id % 7 + 1) AS session_vwap, count(*) AS n_ticks FROM events GROUP BY ALL)",
     "SELECT * FROM b WHERE session_date + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     "symbol, session_date, n_ticks",
 )

@@ -9,16 +9,20 @@ is used, except where a job stores a table it reads several times.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.costs import CONFIGURED_COSTS, round_trip_cost_pct
+from tickloom.functions.costs import CONFIGURED_COSTS, DEFAULT_COSTS, round_trip_cost_pct
+from tickloom.operators.genes import Evolver
 from tickloom.operators import events, factors, features, flow, learning, orb, pairs, quality, regimes, reports, risk, savings, significance
 from tickloom.session import cut_lineage
 from tickloom.streaming import stateful
 
 CAPITAL = 1_000_000.0
+#: Smaller companies move against an order: 0.6 % of slippage a side.
+MIDCAP_COSTS = replace(DEFAULT_COSTS, slippage_pct=0.006)
 Frames = dict[str, DataFrame]
 
 
@@ -36,10 +40,9 @@ def model_rows(bars: DataFrame, periods: int = 10, session: str | None = None) -
 
 def swing_test(t: Frames) -> Frames:
     rows, cols = model_rows(t["bars"])
-    rows = cut_lineage(learning.with_split(rows))
-    model = learning.fit_classifier(rows.filter("split = 'train'"), cols)
-    scored = learning.score(model, rows.filter("split <> 'train'"), cols)
-    trades = cut_lineage(learning.oos_trades(scored, delivery=True))
+    rows = learning.with_split(rows)
+    scored = cut_lineage(learning.score(learning.fit_split(rows, cols), rows, cols))
+    trades = cut_lineage(learning.oos_trades(scored.filter("split = 'oos'"), delivery=True))
     return {
         "metrics": learning.classification_metrics(scored, ["split"]),
         "reports": reports.performance_report(trades, ["symbol"], "date", ["action"], CAPITAL),
@@ -64,12 +67,27 @@ def swing_walk_forward(t: Frames) -> Frames:
     return {"folds": folds, "summary": learning.fold_summary(folds)}
 
 
+def intraday_baseline(t: Frames) -> Frames:
+    """Session labels, intraday costs, prices on the tick, nothing traded at or beyond the previous session's circuit limits."""
+    rows, cols = model_rows(t["intraday"], periods=1, session="session_date")
+    rows = learning.with_split(rows)
+    day = Window.partitionBy("symbol").orderBy("session_date")
+    closes = t["intraday"].groupBy("symbol", "session_date").agg(F.max_by("close", "date").alias("_close"))
+    closes = closes.select("symbol", "session_date", F.lag("_close").over(day).alias("prev_close"))
+    scored = cut_lineage(learning.score(learning.fit_split(rows, cols), rows, cols))
+    oos = scored.filter("split = 'oos'").join(closes, ["symbol", "session_date"])
+    trades = cut_lineage(learning.oos_trades(oos, delivery=False, prev_close="prev_close"))
+    return {
+        "metrics": learning.classification_metrics(scored, ["split"]),
+        "reports": reports.performance_report(trades, ["symbol"], "date", ["action"], CAPITAL),
+    }
+
+
 def regime_gated_test(t: Frames) -> Frames:
     rows, cols = model_rows(t["bars"])
-    rows = cut_lineage(learning.with_split(rows))
-    tr = rows.filter("split = 'train'")
-    oos = regimes.label_regimes(rows.filter("split <> 'train'"), regimes.regime_thresholds(tr))
-    model = learning.fit_classifier(tr, cols)
+    rows = learning.with_split(rows)
+    oos = regimes.label_regimes(rows.filter("split = 'oos'"), regimes.regime_thresholds(rows.filter("split <> 'oos'")))
+    model = learning.fit_split(rows, cols)
     scored = learning.score(model, oos.filter(F.col("regime").isin("bull_trend", "bear_trend")), cols)
     trades = cut_lineage(learning.oos_trades(scored, delivery=True))
     return {"reports": reports.performance_report(trades, ["regime"], "date", ["symbol"], CAPITAL)}
@@ -124,13 +142,13 @@ def liquid_bars(bars: DataFrame, floor_cr: float = 10.0) -> DataFrame:
 
 
 def midcap_momentum_test(t: Frames) -> Frames:
-    return {"summary": factors.staggered_backtest(liquid_bars(t["bars"]))}
+    return {"summary": factors.staggered_backtest(liquid_bars(t["bars"]), costs=MIDCAP_COSTS)}
 
 
 def midcap_momentum_stress_test(t: Frames) -> Frames:
     bars = liquid_bars(t["bars"])
-    grid = factors.staggered_backtest(bars, target_ns=(3, 6, 9), lookbacks=(63, 126, 189, 252))
-    return _momentum_tests(factors.staggered_periods(bars), grid)
+    grid = factors.staggered_backtest(bars, costs=MIDCAP_COSTS, target_ns=(3, 6, 9), lookbacks=(63, 126, 189, 252))
+    return _momentum_tests(factors.staggered_periods(bars, costs=MIDCAP_COSTS), grid)
 
 
 def flow_test(t: Frames) -> Frames:
@@ -149,8 +167,15 @@ def flow_stress_test(t: Frames) -> Frames:
     }
 
 
-def flow_classical_ml_test(t: Frames, evolver=None) -> Frames:
-    return {"comparison": learning.flow_ml_backtest(t["bars"], cut_lineage(flow.net_positioning(t["oi"])), evolver=evolver)}
+def flow_classical_ml_test(t: Frames, evolver: Evolver | None = None) -> Frames:
+    """One instrument: its rows are searched for derived features as one series."""
+    search = evolver or Evolver(pooled=False)
+    return {"comparison": learning.flow_ml_backtest(t["index_bars"], cut_lineage(flow.net_positioning(t["oi"])), evolver=search)}
+
+
+def flow_pooled_ml_test(t: Frames, evolver: Evolver | None = None) -> Frames:
+    """All instruments pooled, the derived features searched and tested over the pool."""
+    return {"comparison": learning.flow_ml_backtest(t["bars"], cut_lineage(flow.net_positioning(t["oi"])), evolver=evolver or Evolver())}
 
 
 def flow_recalibration_check(t: Frames, current: str = "dii_net_index_future_diff5") -> Frames:
@@ -197,7 +222,7 @@ JOBS: dict[str, Callable[[Frames], Frames]] = {
     "stress-test": stress_test,
     "swing-test": swing_test,
     "swing-walk-forward": swing_walk_forward,
-    "xgboost-baseline": swing_test,
+    "xgboost-baseline": intraday_baseline,
     "regime-gated-test": regime_gated_test,
     "pairs-trading-test": pairs_trading_test,
     "event-drift-test": event_drift_test,
@@ -210,6 +235,6 @@ JOBS: dict[str, Callable[[Frames], Frames]] = {
     "fii-dii-flow-stress-test": flow_stress_test,
     "fii-dii-flow-paper": flow_paper,
     "fii-dii-flow-classical-ml-test": flow_classical_ml_test,
-    "fii-dii-flow-pooled-classical-ml-test": flow_classical_ml_test,
+    "fii-dii-flow-pooled-classical-ml-test": flow_pooled_ml_test,
     "fii-dii-flow-recalibration-check": flow_recalibration_check,
 }

@@ -4,10 +4,11 @@ Every family is a set of columns assigned to levels. A level only reads columns
 of any selection of families merge and are planned as one short chain of Window nodes over a single shuffle on
 the series key: all windows share (key; chunk, date) order, which Catalyst recognises and sorts once.
 
-Recursive smoothing y_t = a*x_t + (1-a)*y_{t-1} is a scaled prefix sum inside chunks of CHUNK rows plus the
-decayed end value of the previous chunk. With CHUNK = 1024 the weight of anything older is below 2e-18 for
-the longest span used (50), i.e. under double rounding, and the largest scale factor is 1.5^1024, far from
-overflow; so it equals the row-by-row recursion to rounding and needs no per-key array.
+Recursive smoothing y_t = a*x_t + (1-a)*y_{t-1} is a scaled prefix sum inside chunks of rows plus the decayed end
+value of the previous chunk. The chunk length follows from alpha: the scale factor (1-a)^-length stays below 1e290, and
+what lies more than one whole chunk back has a weight under 1e-17, i.e. under double rounding. CHUNK rows satisfy both
+for the usual spans, which then share one sort; any other alpha gets a length of its own. So smoothing equals the
+row-by-row recursion to rounding for every alpha and needs no per-key array.
 """
 
 from __future__ import annotations
@@ -73,19 +74,32 @@ def merge_layers(*parts: Layers) -> Layers:
     return out
 
 
+def chunk_length(alpha: float) -> int:
+    """Rows per chunk: CHUNK where its decay lies between 1e-290 and 1e-17, else as many as decay to 1e-290."""
+    digits = -math.log10(1.0 - alpha)
+    return CHUNK if 17.5 <= CHUNK * digits <= 290 else max(1, int(290 / digits))
+
+
 def smooth(s: SeriesSpec, level: int, wanted: dict[str, tuple[str, float]]) -> Layers:
     """Exponential smoothing {output: (input, alpha)}; inputs live below `level`, outputs at `level` + 2."""
     local, carry, total = {}, {}, {}
     for out, (x, a) in wanted.items():
-        q = 1.0 - a
+        if not 0.0 < a <= 1.0:
+            raise ValueError(f"alpha {a} is not in (0, 1]")
+        if a == 1.0:
+            total[out] = F.col(x)
+            continue
+        q, length = 1.0 - a, chunk_length(a)
+        pos, window = F.col("_pos"), s.in_chunk
+        if length != CHUNK:
+            pos = (F.col("_rn") - 1) % length
+            window = Window.partitionBy(*s.keys, F.floor((F.col("_rn") - 1) / length)).orderBy(s.order)
         weight = F.when(F.col("_rn") == 1, F.lit(1.0)).otherwise(F.lit(a))
-        scaled = F.sum(F.col(x) * weight * F.pow(F.lit(q), -F.col("_pos"))).over(s.in_chunk.rowsBetween(UNB, CUR))
-        local[f"_l_{out}"] = scaled * F.pow(F.lit(q), F.col("_pos"))
-        ended = F.when(F.col("_pos") == CHUNK - 1, F.col(f"_l_{out}"))
+        scaled = F.sum(F.col(x) * weight * F.pow(F.lit(q), -pos)).over(window.rowsBetween(UNB, CUR))
+        local[f"_l_{out}"] = scaled * F.pow(F.lit(q), pos)
+        ended = F.when(pos == length - 1, F.col(f"_l_{out}"))
         carry[f"_k_{out}"] = F.last(ended, ignorenulls=True).over(s.w.rowsBetween(UNB, -1))
-        total[out] = F.col(f"_l_{out}") + F.coalesce(
-            F.col(f"_k_{out}") * F.pow(F.lit(q), F.col("_pos") + 1), F.lit(0.0)
-        )
+        total[out] = F.col(f"_l_{out}") + F.coalesce(F.col(f"_k_{out}") * F.pow(F.lit(q), pos + 1), F.lit(0.0))
     return {level: local, level + 1: carry, level + 2: total}
 
 

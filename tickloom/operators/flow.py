@@ -284,13 +284,15 @@ def ic_scan(
 def compare_to_benchmark(model: DataFrame, bench: DataFrame, on: Sequence[str]) -> DataFrame:
     """Adoption gate: a model must have the higher Sharpe and be at least as significant as the rule.
 
+    An instrument that only one of them trades has a row too, and the model is not adopted for it.
+
     Both inputs carry sharpe_ratio and p_value of their out-of-sample trades.
     """
     m = model.select(*on, F.col("sharpe_ratio").alias("model_oos_sharpe"), F.col("p_value").alias("model_p_value"))
     b = bench.select(*on, F.col("sharpe_ratio").alias("benchmark_oos_sharpe"), F.col("p_value").alias("benchmark_p_value"))
     better = F.coalesce(F.col("model_oos_sharpe") > F.col("benchmark_oos_sharpe"), F.lit(False))
     sig = F.coalesce(F.col("model_p_value") <= F.col("benchmark_p_value"), F.lit(False))
-    return m.join(b, list(on)).withColumns(
+    return m.join(b, list(on), "full").withColumns(
         {
             "beats_sharpe": better,
             "beats_significance": sig,

@@ -6,8 +6,9 @@ The only values that reach the driver are fold cut-off dates, row counts and fit
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -35,10 +36,12 @@ def date_cuts(df: DataFrame, fractions: Sequence[float], date: str = "date") ->
     return [by.get(i) for i in at]
 
 
-def with_split(df: DataFrame, train: float = 0.8, val: float = 0.9, date: str = "date") -> DataFrame:
-    """`split` in train / es / meta by date quantile."""
-    a, b = date_cuts(df, (train, val), date)
-    return df.withColumn("split", F.when(F.col(date) < F.lit(a), "train").when(F.col(date) < F.lit(b), "es").otherwise("meta"))
+def with_split(df: DataFrame, cuts: Sequence[float] = (0.8, 0.85, 0.9), date: str = "date") -> DataFrame:
+    """`split` by date quantile: train, es (early stopping), meta (for models over models), oos (traded, never fitted)."""
+    a, b, c = date_cuts(df, cuts, date)
+    day = F.col(date)
+    split = F.when(day < F.lit(a), "train").when(day < F.lit(b), "es").when(day < F.lit(c), "meta").otherwise("oos")
+    return df.withColumn("split", split)
 
 
 def scaling_stages(cols: Sequence[str]) -> list:
@@ -68,9 +71,23 @@ def gbt(max_iter: int = 20, max_depth: int = 4, seed: int = 42) -> GBTClassifier
     )
 
 
-def fit_classifier(train: DataFrame, cols: Sequence[str], estimator=None):
-    data = class_weight(fill(train.filter(F.col("label").isNotNull()), cols).withColumn("label", F.col("label").cast("double")))
-    return Pipeline(stages=[*scaling_stages(cols), estimator or gbt()]).fit(data)
+def fit_classifier(train: DataFrame, cols: Sequence[str], estimator=None, early_stop: DataFrame | None = None) -> PipelineModel:
+    """Scaling fitted on `train` alone, then the estimator; boosted trees stop when `early_stop` rows no longer improve."""
+    ready = lambda d: fill(d.filter(F.col("label").isNotNull()), cols).withColumn("label", F.col("label").cast("double"))
+    data, est = class_weight(ready(train)), estimator or gbt()
+    scaling = Pipeline(stages=scaling_stages(cols)).fit(data)
+    data = scaling.transform(data).select("label", "weight", "features")
+    if early_stop is not None and est.hasParam("validationIndicatorCol"):
+        held = scaling.transform(ready(early_stop)).select("label", F.lit(1.0).alias("weight"), "features")
+        data = data.withColumn("_held", F.lit(False)).unionByName(held.withColumn("_held", F.lit(True)))
+        est = est.copy({est.getParam("validationIndicatorCol"): "_held"})
+    return PipelineModel([*scaling.stages, est.fit(data)])
+
+
+def fit_split(rows: DataFrame, cols: Sequence[str], estimator=None) -> PipelineModel:
+    """Train on the train rows of `with_split`, stop early on its es rows."""
+    part = lambda name: rows.filter(F.col("split") == name)
+    return fit_classifier(part("train"), cols, estimator, part("es"))
 
 
 def score(model, df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -198,8 +215,8 @@ def flow_model_frame(prices: DataFrame, wide: DataFrame, hold: int = 5, lookback
 
 def flow_ml_backtest(
     prices: DataFrame, wide: DataFrame, n_folds: int = 3, hold: int = 5, max_positions: int = 5, quantile: float = 0.8,
-    capital: float = 1_000_000.0, evolver: Evolver | None = None, classifier=None, inner_val: float = 0.3, c_inverse_reg: float = 0.1,
-    n_permutations: int = 200,
+    capital: float = 1_000_000.0, evolver: Evolver | None = None, classifier=None, inner_val: float = 0.25, c_inverse_reg: float = 0.1,
+    n_permutations: int = 1000,
 ) -> DataFrame:
     """Nested walk-forward classifier, pooled over the given instruments, against the flow rule on the same window.
 
@@ -227,8 +244,9 @@ def flow_ml_backtest(
             cut = int(bounds[i] * (1 - inner_val))
             inner = train.filter(F.col("date") < F.lit(days[max(cut - hold, 0)]))  # embargo of one holding period
             val = train.filter(F.col("date") >= F.lit(days[cut]))
-            genes = [g for g, _, _ in evolver.validated(inner, val, cols, n_permutations=n_permutations, block_size=hold)]
-        names = [*cols, *[g.name() for g in genes]]
+            search = replace(evolver, seed=evolver.seed + i)  # every fold searches anew
+            genes = [g for g, _, _ in search.validated(inner, val, cols, n_permutations=n_permutations, block_size=hold)]
+        names = [*cols, *[g.label for g in genes]]
         train = apply_genes(train, genes).withColumn("label", (F.col("future_return") > 0).cast("double"))
         n, ups = train.agg(F.count(F.lit(1)), F.sum("label")).first()
         if not n or ups in (0, n):
@@ -242,7 +260,8 @@ def flow_ml_backtest(
         e = scored.select("symbol", "date", (F.col("p_up") >= threshold).alias("enter"))
         entries = e if entries is None else entries.unionByName(e)
     base = df.select("symbol", "date", "close")
-    signals = base.join(entries, ["symbol", "date"], "left")
+    none = base.limit(0).select("symbol", "date", F.lit(False).alias("enter"))  # every fold may have had one class only
+    signals = base.join(none if entries is None else entries, ["symbol", "date"], "left")
     trades = cut_lineage(concurrent_trades(signals, ["symbol"], "enter", hold, (hold,), max_positions, capital))
     rule = cut_lineage(flow_trades(prices, wide, holds=(hold,), thresholds=(quantile,), max_positions=max_positions, capital=capital, start_date=days[start]))
 
@@ -252,7 +271,7 @@ def flow_ml_backtest(
 
     model_rep = tested(trades)
     verdict = compare_to_benchmark(model_rep, tested(rule), ["symbol"])
-    return model_rep.select("symbol", "total_trades", "win_rate", "avg_trade_return_pct").join(verdict, "symbol")
+    return verdict.join(model_rep.select("symbol", "total_trades", "win_rate", "avg_trade_return_pct"), "symbol", "left")
 
 
 # --------------------------------------------------------------------------------------------------
@@ -290,23 +309,26 @@ def stacker(train: DataFrame, models: Sequence[str]):
     ).fit(data)
 
 
-def listing_return_model(df: DataFrame, cols: Sequence[str], target: str, max_iter: int = 20):
+def listing_return_model(df: DataFrame, cols: Sequence[str], target: str, max_iter: int = 200) -> PipelineModel:
     return Pipeline(
         stages=[*scaling_stages(cols), GBTRegressor(labelCol=target, featuresCol="features", maxIter=max_iter, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, seed=42)]
     ).fit(fill(df, cols))
 
 
-def predict_listing_return(model, df: DataFrame, cols: Sequence[str], min_confidence: float = 0.7) -> DataFrame:
-    """Prediction, confidence 1/(1 + spread of the trees' predictions) and an actionable flag."""
+def predict_listing_return(model, df: DataFrame, cols: Sequence[str], min_confidence: float = 0.65) -> DataFrame:
+    """Prediction, confidence 1/(1 + spread of the residual trees' predictions) and an actionable flag.
+
+    The first tree predicts the target itself and the later ones what is left of it, so it is no part of the spread.
+    """
     out = model.transform(fill(df, cols)).withColumnRenamed("prediction", "predicted_return_pct")
-    names = []
-    for i, tree in enumerate(model.stages[-1].trees):
-        out = tree.setPredictionCol(f"_t{i}").transform(out)
-        names.append(f"_t{i}")
-    n = float(len(names))
-    mean = sum((F.col(x) for x in names), F.lit(0.0)) / n
-    var = sum(((F.col(x) - mean) * (F.col(x) - mean) for x in names), F.lit(0.0)) / n
-    conf = 1.0 / (1.0 + F.sqrt(var))
-    return out.withColumn("prediction_confidence", conf).drop("_raw", "features", *names).withColumn(
+    kept = out.columns
+    trees = model.stages[-1].trees[1:]
+    out = out.withColumns({"_s": F.lit(0.0), "_q": F.lit(0.0)})
+    for tree in trees:
+        out = tree.setPredictionCol("_t").transform(out)
+        out = out.withColumns({"_s": F.col("_s") + F.col("_t"), "_q": F.col("_q") + F.col("_t") * F.col("_t")}).drop("_t")
+    n = float(max(1, len(trees)))
+    spread = F.sqrt(F.greatest(F.col("_q") / n - F.pow(F.col("_s") / n, 2), F.lit(0.0)))
+    return out.select(*kept, (1.0 / (1.0 + spread)).alias("prediction_confidence")).drop("_raw", "features").withColumn(
         "actionable", F.col("prediction_confidence") >= min_confidence
     )

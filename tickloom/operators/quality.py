@@ -11,8 +11,9 @@ CRORE = 1e7
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: str, keep: str = "last") -> DataFrame:
-    """One row per key: the one with the highest (or lowest) load order. A hash aggregate, so duplicates of a hot
-    key are reduced on the map side and never meet in one window."""
+    """One row per key: the one with the highest (or lowest) load order. Duplicates of a hot key are reduced on the
+    map side and never meet in one window. The row travels as a struct, so Spark aggregates over sorted rows: the
+    input is deduplicated once when it is loaded, and every column is needed."""
     keys = list(keys)
     rest = [x for x in df.columns if x not in keys]
     pick = (F.max_by if keep == "last" else F.min_by)(F.struct(*rest), F.col(order))

@@ -211,9 +211,14 @@ def worst_case(results: DataFrame) -> DataFrame:
         worst.alias("w"),
         F.bool_or(ok & F.col("would_breach_daily_loss_limit")).alias("any_breach_daily_loss_limit"),
         F.bool_or(ok & F.col("would_breach_max_drawdown")).alias("any_breach_max_drawdown"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~ok, F.col("symbol")))), ",").alias("symbols_with_no_data"),
+        F.count_distinct(F.when(~ok, F.col("symbol"))).alias("n_symbols_with_no_data"),
     ).select(
         "data_available", F.col("w.symbol").alias("worst_symbol"), F.col("w.scenario").alias("worst_scenario"),
         F.col("w.worst_day_return_pct").alias("worst_return_pct"), "any_breach_daily_loss_limit", "any_breach_max_drawdown",
-        "symbols_with_no_data",
+        "n_symbols_with_no_data",
     )
+
+
+def symbols_without_data(results: DataFrame) -> DataFrame:
+    """(symbol, scenario) rows that no bar covers."""
+    return results.filter(~F.col("data_available")).select("symbol", "scenario").distinct()

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.distributions import t_two_sided_p
 from tickloom.functions.scalar import div
@@ -232,3 +233,49 @@ def permutation_p(
     p = F.when(F.max("obs") > 0, (F.sum("hits") + 1) / (n_perm + 1.0)).otherwise(1.0)
     found = per.groupBy(*keys).agg(p.alias("p_value"))
     return arrays.select(*keys, F.size("rx").alias("n")).join(found, keys, "left").na.fill(1.0, ["p_value"])
+
+
+def pooled_permutation_p(
+    df: DataFrame, keys: Sequence[str], series: Sequence[str], order: str, x: str, y: str,
+    n_perm: int = 1000, block_size: int = 1, seed: int = 42, min_points: int = 10,
+) -> DataFrame:
+    """p_value per key when its rows are pooled over many series: labels are shuffled inside each series.
+
+    Ranks are taken over the pool. A series ships its two rank arrays and gives, per replicate, its share of the sum
+    of products; the shares of all series are added per replicate, so no task sees more than one series.
+    """
+    keys, series = list(keys), list(series)
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = cut_lineage(pooled_rank(pooled_rank(d, keys, x, "_rx"), keys, y, "_ry"))
+    pool = d.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("_rx").alias("_mx"), F.avg("_ry").alias("_my"),
+        (F.stddev_pop("_rx") * F.stddev_pop("_ry") * F.count(F.lit(1))).alias("_scale"),
+    )
+    arrays = d.groupBy(*keys, *series).agg(F.array_sort(F.collect_list(F.struct(order, "_rx", "_ry"))).alias("s")).join(pool, keys)
+    slices = arrays.filter(F.col("_n") >= min_points).select(
+        *keys, *series, F.col("s._rx").alias("rx"), F.col("s._ry").alias("ry"), "_mx", "_my",
+        F.explode(F.sequence(F.lit(0), F.lit(n_perm), F.lit(REPS_PER_TASK_ROW))).alias("first_rep"),
+    )
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Replicate 0 is the order as it is."""
+        for pdf in batches:
+            out = []
+            for rx, ry, mx, my, first in zip(pdf["rx"], pdf["ry"], pdf["_mx"], pdf["_my"], pdf["first_rep"], strict=True):
+                a, b = np.asarray(rx) - mx, np.asarray(ry) - my
+                reps = np.arange(first, min(first + REPS_PER_TASK_ROW, n_perm + 1), dtype=np.int64)
+                blocks = np.arange(-(-len(a) // block_size), dtype=np.int64)
+                turn = np.argsort(hash_grid(reps[:, None], blocks[None, :], seed), axis=1, kind="stable")
+                turn[reps == 0] = blocks
+                pos = (turn[:, :, None] * block_size + np.arange(block_size)).reshape(len(reps), -1)
+                out.append((b[pos[pos < len(a)].reshape(len(reps), len(a))] @ a).tolist())
+            yield pdf[[*keys, "first_rep"]].assign(part=out)
+
+    ship_package()
+    parts = spread(slices, *keys, *series, "first_rep").mapInPandas(shares, slices.select(*keys, "first_rep").schema.add("part", T.ArrayType(T.DoubleType())))
+    sums = parts.select(*keys, "first_rep", F.posexplode("part").alias("i", "v")).groupBy(*keys, (F.col("first_rep") + F.col("i")).alias("rep")).agg(F.sum("v").alias("v"))
+    seen = sums.where("rep = 0").select(*keys, F.abs("v").alias("_seen"))
+    reached = F.count_if((F.col("rep") > 0) & (F.abs("v") >= F.col("_seen") - F.col("_scale") * 1e-12))
+    share = sums.join(seen, keys).join(pool, keys).groupBy(*keys).agg(reached.alias("_hits"), F.first("_scale").alias("_scale"))
+    p = F.when(F.col("_scale") > 0, (F.col("_hits") + 1) / (n_perm + 1.0)).otherwise(1.0)
+    return pool.select(*keys).join(share.select(*keys, p.alias("p_value")), keys, "left").na.fill(1.0, ["p_value"])

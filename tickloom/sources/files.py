@@ -154,9 +154,10 @@ def normalise_provider(df: DataFrame, rename: dict[str, str], zone: str | None =
     if zone:
         d = d.withColumn("date", F.from_utc_timestamp("date", zone))
     d = d.withColumn("turnover", F.col("close") * F.col("volume"))
+    if "load_order" not in d.columns:
+        raise ValueError("provider rows need a load_order: the last loaded of two rows for one bar is kept")
     keep = F.struct("open", "high", "low", "close", "volume", "turnover")
-    order = F.col("load_order") if "load_order" in d.columns else F.col("close")
-    return d.groupBy("symbol", "date").agg(F.max_by(keep, order).alias("b")).select("symbol", "date", "b.*")
+    return d.groupBy("symbol", "date").agg(F.max_by(keep, F.col("load_order")).alias("b")).select("symbol", "date", "b.*")
 
 
 def with_ticker(df: DataFrame, dictionary: DataFrame, suffix: str = ".NS") -> DataFrame:
@@ -175,13 +176,18 @@ def ipo_calendar(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Saved job state; a corrupt document gives NULL fields, not an error."""
+    """Saved job state: the two fields that jobs ask for and the whole document as it is written.
+
+    A corrupt document gives NULL fields, not an error.
+    """
     d = spark.read.text(path, wholetext=True)
-    return d.select(F.get_json_object("value", "$.last_run").alias("last_run"), F.get_json_object("value", "$.verdict").alias("verdict"))
+    field = lambda n: F.get_json_object("value", f"$.{n}").alias(n)
+    return d.select(field("last_run"), field("verdict"), F.col("value").alias("document"))
 
 
 def write_state(df: DataFrame, path: str) -> None:
-    df.select("last_run", "verdict").write.mode("overwrite").json(path)
+    """Writes every column of the state as a field of its document."""
+    df.coalesce(1).write.mode("overwrite").json(path)
 
 
 def is_due(state: DataFrame, as_of: str, every_days: int = 30) -> DataFrame:

@@ -13,13 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars_from_ticks(
-    ticks: DataFrame, keys: Sequence[str], price: str, volume: str, sequence: Sequence[str], turnover: str | None = None
+    ticks: DataFrame, keys: Sequence[str], price: str, volume: str, seq: str = "seq", turnover: str | None = None
 ) -> DataFrame:
     """OHLCV bars: one hash aggregate with map-side combine, so a hot symbol is reduced before the shuffle.
 
-    The output holds at most one row per key, which bounds every later per-symbol window by the calendar.
+    `seq` is a BIGINT that orders the ticks of a key. With it and the price as primitives the buffers of open and
+    close are updated in place; a struct there would make Spark sort all ticks first. The output holds at most one
+    row per key, which bounds every later per-symbol window by the calendar.
     """
-    seq = F.struct(*sequence)
     return ticks.groupBy(*keys).agg(
         F.min_by(price, seq).alias("open"),
         F.max(price).alias("high"),
@@ -33,7 +34,7 @@ def bars_from_ticks(
 def _line_ticks(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
-        "l_linenumber",
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("seq"),
         "l_partkey",
         F.col("l_shipdate").cast("date").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
@@ -42,13 +43,10 @@ def _line_ticks(spark, sf_dir):
     )
 
 
-_SEQ = ("l_orderkey", "l_linenumber", "px")
-
-
 def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     ticks = _line_ticks(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return bars_from_ticks(ticks, ["symbol", "date"], "px", "qty", _SEQ, "value")
+    return bars_from_ticks(ticks, ["symbol", "date"], "px", "qty", turnover="value")
 
 
 def bars_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +57,7 @@ def bars_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(cust, F.col("o_custkey") == F.col("c_custkey"))
     )
-    return bars_from_ticks(ticks, ["symbol", "date"], "px", "qty", _SEQ, "value")
+    return bars_from_ticks(ticks, ["symbol", "date"], "px", "qty", turnover="value")
 
 
 def benchmark_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +70,15 @@ def bars_intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("symbol"),
         F.col("ts").cast("date").alias("session_date"),
         F.hour("ts").alias("hour"),
-        "ts",
-        "event_id",
+        # microseconds within the hour, then the event's number
+        (
+            (F.minute("ts") * 60_000_000 + (F.expr("extract(SECOND FROM ts)") * 1_000_000)).cast("long") * (1 << 31)
+            + F.pmod("event_id", F.lit(1 << 31))
+        ).alias("seq"),
         "value",
         F.lit(1.0).alias("one"),
     )
-    bars = bars_from_ticks(ev, ["symbol", "session_date", "hour"], "value", "one", ("ts", "event_id"), "value")
+    bars = bars_from_ticks(ev, ["symbol", "session_date", "hour"], "value", "one", turnover="value")
     at = F.col("session_date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("hour"))
     return bars.withColumn("date", at)
 

@@ -9,34 +9,36 @@ TICK_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STR
 
 
 def ticks(stream: DataFrame) -> DataFrame:
-    return stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"), "value")
+    """symbol, ts, value, size, and seq: the order inside any window of up to a day as one BIGINT."""
+    ts = F.col("ts").cast("timestamp")
+    seq = (F.unix_micros(ts) % 86_400_000_000) * (1 << 26) + F.pmod("event_id", F.lit(1 << 26))
+    size = (F.col("user_id") % 7 + 1).cast("double")
+    return stream.select(ts.alias("ts"), F.col("event_type").alias("symbol"), "value", size.alias("size"), seq.alias("seq"))
 
 
 def stream_bars(stream: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """OHLC per symbol and window; state per open window is five numbers."""
-    seq = F.struct("ts", "event_id")
     return (
         ticks(stream)
         .withWatermark("ts", lateness)
         .groupBy("symbol", F.window("ts", width).alias("w"))
         .agg(
-            F.min_by("value", seq).alias("open"),
+            F.min_by("value", "seq").alias("open"),
             F.max("value").alias("high"),
             F.min("value").alias("low"),
-            F.max_by("value", seq).alias("close"),
+            F.max_by("value", "seq").alias("close"),
             F.count(F.lit(1)).cast("double").alias("volume"),
         )
         .select("symbol", F.col("w.start").alias("date"), "open", "high", "low", "close", "volume")
     )
 
 
-def stream_session_vwap(stream: DataFrame, size: str = "value", lateness: str = "10 minutes") -> DataFrame:
-    """Volume-weighted price per symbol and calendar session, emitted when the session is over."""
-    weight = F.length("symbol").cast("double")
+def stream_session_vwap(stream: DataFrame, price: str = "value", size: str = "size", lateness: str = "10 minutes") -> DataFrame:
+    """Price weighted by traded size per symbol and calendar session, emitted when the session is over."""
     return (
         ticks(stream)
         .withWatermark("ts", lateness)
         .groupBy("symbol", F.window("ts", "1 day").alias("w"))
-        .agg((F.sum(F.col("value") * weight) / F.sum(weight)).alias("session_vwap"), F.count(F.lit(1)).alias("n_ticks"))
+        .agg((F.sum(F.col(price) * F.col(size)) / F.nullif(F.sum(size), F.lit(0.0))).alias("session_vwap"), F.count(F.lit(1)).alias("n_ticks"))
         .select("symbol", F.to_date("w.start").alias("session_date"), "session_vwap", "n_ticks")
     )
