@@ -72,7 +72,7 @@ def bars_intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.hour("ts").alias("hour"),
         # microseconds within the hour, then the event's number
         (
-            (F.minute("ts") * 60_000_000 + (F.expr("extract(SECOND FROM ts)") * 1_000_000)).cast("long") * (1 << 31)
+            (F.minute("ts").cast("long") * 60_000_000 + (F.expr("extract(SECOND FROM ts)") * 1_000_000)).cast("long") * (1 << 31)
             + F.pmod("event_id", F.lit(1 << 31))
         ).alias("seq"),
         "value",
