@@ -317,8 +317,9 @@ def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     joined = connected_components(links_of(cut_lineage(sets)))
     least = classes.join(joined, F.col("key") == F.col("node")).groupBy("component").agg(F.min("least_id").alias("c"))
     by_node = joined.join(least, "component").select(F.col("node").alias("key"), "c")
-    named = classes.join(by_node, "key", "left").select(
-        F.col("key").alias("_key"), F.coalesce("c", "least_id").alias("component_id")
+    # written, so that the join below is one that adaptive execution splits where many rows have one set
+    named = cut_lineage(
+        classes.join(by_node, "key", "left").select(F.col("key").alias("_key"), F.coalesce("c", "least_id").alias("component_id"))
     )
     sized = rows.withColumn("_of", F.when(F.col("n") > 0, F.col("key")))
     found = sized.join(named, F.col("_of") == F.col("_key"), "left")
