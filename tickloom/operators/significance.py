@@ -138,10 +138,14 @@ def pooled_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, n_bloc
     return df.join(ranks, [*keys, value])
 
 
-def pooled_ic(df: DataFrame, keys: Sequence[str], x: str, y: str, min_points: int = 10) -> DataFrame:
-    """Rank correlation per key when a key's rows are pooled over many series and have no size bound."""
+def pooled_ic(df: DataFrame, keys: Sequence[str], x: str, y: str, min_points: int = 10, y_is_rank: bool = False) -> DataFrame:
+    """Rank correlation per key when a key's rows are pooled over many series and have no size bound.
+
+    Where many keys share one y, its rank can be given instead (`y_is_rank`), taken once over all rows that have y.
+    """
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = pooled_rank(pooled_rank(d, keys, x, "_rx"), keys, y, "_ry")
+    d = pooled_rank(d, keys, x, "_rx")
+    d = d.withColumn("_ry", F.col(y)) if y_is_rank else pooled_rank(d, keys, y, "_ry")
     ic = div(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
     return (
         d.groupBy(*keys)
