@@ -31,4 +31,5 @@ SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op3_chat_formatting": chat.SQL,
     "op5_source_mixing": mixing.SQL,
+    "op10_ngram_jaccard": ngram_join.SQL,
 }

@@ -335,3 +335,26 @@ def keep_one_of_group(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, len(w) AS m, unnest(w) AS a, unnest(range(1, len(w) + 1)) AS i FROM d),
+y AS (SELECT doc_id, m, i, concat_ws(' ', a, lead(a, 1) OVER q, lead(a, 2) OVER q, lead(a, 3) OVER q, lead(a, 4) OVER q) AS sh
+      FROM x WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+z AS (SELECT doc_id, list_sort(list(DISTINCT hash(sh))) AS sh FROM y WHERE i <= greatest(m - 4, 1) GROUP BY doc_id),
+s AS (SELECT d.doc_id, coalesce(z.sh, []) AS sh FROM d LEFT JOIN z USING (doc_id)),
+g AS (SELECT min(doc_id) AS rep, len(sh) AS n, sh FROM s WHERE len(sh) > 0 GROUP BY sh),
+t AS (SELECT rep, n, unnest(sh) AS x FROM g),
+r AS (SELECT t.* FROM t JOIN (SELECT x FROM t GROUP BY x HAVING count(*) > 1) USING (x)),
+-- a set that shares less than four fifths of its shingles with any others has no partner
+k AS (SELECT r.* FROM r JOIN (SELECT rep FROM r GROUP BY rep, n HAVING 100 * count(*) >= 80 * n) USING (rep)),
+p AS (SELECT a.rep AS a, b.rep AS b FROM k a JOIN k b ON a.x = b.x AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n
+        HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT rep, rep FROM g UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
+c AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN g ON g.sh = s.sh LEFT JOIN c USING (rep)
+"""
