@@ -4,7 +4,8 @@ A string of LENGTH bytes that stands twice is found where it stands second, and
 
 1. *Candidates.* In every window of LENGTH bytes the least hashed K-gram is its anchor. Equal windows have equal
    anchors at equal offsets, so windows whose anchor is nowhere else are settled. Neighbouring windows with one anchor
-   form a run; the runs' anchors are dealt to buckets, counted, and those found once are dropped.
+   form a run; the runs' anchors are dealt to buckets, counted, and those found once are dropped. What travels of a
+   run is its anchor's hash and its number in the document; runs are found again where the text is at hand.
 2. *Segments.* The text of each run that is left (its windows, LENGTH - 1 bytes longer) goes to the task of its
    anchor. Equal segments are one string with several places, before the shuffle and after it.
 3. *Columns.* The strings of an anchor are aligned at it and read from the last column to the first. Each round inserts
@@ -31,7 +32,7 @@ from tickloom.llm.grams import Texts, mix64, slices
 from tickloom.llm.text import or_empty, table
 from tickloom.session import cut_lineage
 
-LENGTH, K = 100, 16
+LENGTH, K = 100, 24
 DEAL_BYTES = 4 << 20
 #: Strings whose columns are built together; all strings of an anchor are.
 COLLECTION = 20_000
@@ -48,7 +49,7 @@ def runs_of(t: Texts, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     prefix = t.prefix()
     at = np.arange(total - k + 1)
     hashes = t.hashes(prefix, at, at + k)
-    bits = _U(max(1, int(total).bit_length()))
+    bits = _U(max(28, int(total).bit_length()))  # the same for a document however texts are sliced
     packed = ((hashes >> bits) << bits) | at.astype(np.uint64)
     least, size = packed, 1
     while size * 2 <= w:
@@ -79,68 +80,81 @@ def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _deal(buckets: int, length: int, k: int):
+    """Anchors dealt to buckets: per document and bucket their hashes (6 bytes each) and the numbers of their runs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch["text"], DEAL_BYTES):
                 part = batch.slice(a, b - a)
-                doc, runs = runs_of(Texts(part["text"]), length, k)
-                bucket = (mix64(runs["key"].view(np.uint64) if len(runs) else np.empty(0, np.uint64)) % _U(buckets)).astype(np.int32)
+                t = Texts(part["text"])
+                doc, runs = runs_of(t, length, k)
+                number = (np.arange(len(doc)) - np.searchsorted(doc, doc)).astype("<u4")
+                key = mix64(np.ascontiguousarray(runs["key"]).view(np.uint64))
+                bucket, key = (key % _U(buckets)).astype(np.int32), (key // _U(buckets)).astype("<u8")
                 order = np.argsort(bucket, kind="stable")
-                bucket, runs = bucket[order], runs[order]
-                ids = np.asarray(part["doc_id"])[doc[order]]
+                bucket, doc, number = bucket[order], doc[order], number[order]
+                six = np.ascontiguousarray(key[order].view(np.uint8).reshape(-1, 8)[:, :6])
+                held = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])])[: len(doc)])
+                ids, counts = np.asarray(part["doc_id"])[doc[held]], np.diff(np.append(held, len(doc))).astype("<u4")
                 begin, end = _grouped(bucket)
+                lo, hi = np.searchsorted(held, begin), np.searchsorted(held, end)
+                cut = lambda v, x, y: pa.array([v[i:j].tobytes() for i, j in zip(x, y, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket[begin]),
-                        pa.array([ids[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary()),
-                        pa.array([runs[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary()),
-                    ],
-                    names=["bucket", "ids", "runs"],
+                    [pa.array(bucket[begin]), cut(ids, lo, hi), cut(counts, lo, hi), cut(six, begin, end), cut(number, begin, end)],
+                    names=["bucket", "ids", "counts", "keys", "numbers"],
                 )
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document the runs whose anchor is found more than once."""
-    held: dict[int, list[tuple[bytes, bytes]]] = {}
+    """Per document the numbers of the runs whose anchor is found more than once."""
+    names = ("ids", "counts", "keys", "numbers")
+    held: dict[int, list[tuple[bytes, ...]]] = {}
     for batch in batches:
-        for bucket, ids, runs in zip(*(batch[c].to_pylist() for c in ("bucket", "ids", "runs")), strict=True):
-            held.setdefault(bucket, []).append((ids, runs))
+        for bucket, *row in zip(*(batch[c].to_pylist() for c in ("bucket", *names)), strict=True):
+            held.setdefault(bucket, []).append(tuple(row))
     for bucket in list(held):
-        rows = held.pop(bucket)
-        ids, runs = np.frombuffer(b"".join(r[0] for r in rows), np.int64), np.frombuffer(b"".join(r[1] for r in rows), _RUN)
-        order = np.argsort(runs["key"], kind="stable")
-        key = runs["key"][order]
-        same = key[1:] == key[:-1]
-        again = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(key) else order
+        ids, counts, six, number = (b"".join(v) for v in zip(*held.pop(bucket), strict=True))
+        ids = np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, "<u4"))
+        number = np.frombuffer(number, "<u4")
+        key = np.zeros((len(number), 8), np.uint8)
+        key[:, :6] = np.frombuffer(six, np.uint8).reshape(-1, 6)
+        key = key.view("<u8").ravel()
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        again = order[(np.concatenate([same, [False]]) | np.concatenate([[False], same]))[: len(order)]]
         again = again[np.argsort(ids[again], kind="stable")]
-        ids, runs = ids[again], runs[again]
+        ids, number = ids[again], number[again]
         begin, end = _grouped(ids)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[begin]), pa.array([runs[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary())],
-            names=["doc_id", "runs"],
+            [pa.array(ids[begin]), pa.array([number[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary())],
+            names=["doc_id", "numbers"],
         )
 
 
-def _segments(length: int):
+def _segments(length: int, k: int):
     """The text of the candidate runs; equal segments of a batch are one row with several places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch["text"], DEAL_BYTES):
                 part = batch.slice(a, b - a)
+                t = Texts(part["text"])
+                doc, runs = runs_of(t, length, k)
+                first, raw = np.searchsorted(doc, np.arange(t.n)), t.bytes.tobytes()
                 found: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
-                for doc_id, text, lists in zip(*(part[c].to_pylist() for c in ("doc_id", "text", "runs")), strict=True):
-                    raw = text.encode()
-                    for key, start, n, anchor in np.frombuffer(b"".join(lists), _RUN).tolist():
-                        found.setdefault((key, anchor, raw[start : start + n + length - 1]), []).append((doc_id, start))
+                for i, (doc_id, lists) in enumerate(zip(part["doc_id"].to_pylist(), part["numbers"].to_pylist(), strict=True)):
+                    at = int(t.offsets[i])
+                    for key, start, n, anchor in runs[first[i] + np.frombuffer(b"".join(lists), "<u4")].tolist():
+                        segment = raw[at + start : at + start + n + length - 1]
+                        found.setdefault((key, anchor, segment), []).append((doc_id, start))
                 places = [np.array(v, np.int64) for v in found.values()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([k[0] for k in found], pa.int64()),
-                        pa.array([k[1] for k in found], pa.int32()),
-                        pa.array([k[2] for k in found], pa.binary()),
+                        pa.array([x[0] for x in found], pa.int64()),
+                        pa.array([x[1] for x in found], pa.int32()),
+                        pa.array([x[2] for x in found], pa.binary()),
                         pa.array([v.tobytes() for v in places], pa.binary()),
                     ],
                     names=["key", "anchor", "bytes", "places"],
@@ -243,11 +257,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     doc_id must be unique and not null; text must not be null.
     """
     parts = max(1, docs.rdd.getNumPartitions())
-    dealt = docs.mapInArrow(_deal(parts, length, k), "bucket int, ids binary, runs binary").repartition(parts, "bucket")
-    candidates = cut_lineage(dealt.mapInArrow(_repeated, "doc_id long, runs binary"))
-    lists = candidates.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
-    texts = docs.join(lists, "doc_id").select("doc_id", "text", "runs")
-    segments = texts.mapInArrow(_segments(length), "key long, anchor int, bytes binary, places binary")
+    dealt = docs.mapInArrow(_deal(parts, length, k), "bucket int, ids binary, counts binary, keys binary, numbers binary")
+    candidates = cut_lineage(dealt.repartition(parts, "bucket").mapInArrow(_repeated, "doc_id long, numbers binary"))
+    lists = candidates.groupBy("doc_id").agg(F.collect_list("numbers").alias("numbers"))
+    texts = docs.join(lists, "doc_id").select("doc_id", "text", "numbers")
+    segments = texts.mapInArrow(_segments(length, k), "key long, anchor int, bytes binary, places binary")
     return segments.repartition(4 * parts, "key").mapInArrow(_by_columns(length), "doc_id long, begin long, end long")
 
 
@@ -290,10 +304,11 @@ def with_unique_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty("text").cast("string").alias("text"))
     if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR doc_id IS NULL").isEmpty():
-        return rows, None
+        # said again, so that both joins on the texts read one exchange of them
+        return rows.where("doc_id IS NOT NULL"), None
     ordered = rows.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("_row", F.monotonically_increasing_id())
     numbered = cut_lineage(ordered)
-    return numbered.select(F.col("_row").alias("doc_id"), "text"), numbered.select("_row", F.col("doc_id").alias("_given"))
+    return numbered.select(F.col("_row").alias("doc_id"), "text").where("doc_id IS NOT NULL"), numbered.select("_row", F.col("doc_id").alias("_given"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
