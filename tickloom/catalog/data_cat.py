@@ -8,6 +8,7 @@ from tickloom.catalog.sqltext import DAILY, INTRADAY, LINE, TRADES, final, pnl_s
 from tickloom.functions import costs as co
 from tickloom.functions import scalar as sc
 from tickloom.functions.scalar import rounded
+from tickloom.operators.asof import asof_join
 from tickloom.operators import journal as jn
 from tickloom.operators import quality as ql
 from tickloom.operators import reports as rp
@@ -140,19 +141,16 @@ pv AS (SELECT symbol, session_date, lag(last) OVER (PARTITION BY symbol ORDER BY
 
 
 def _forward_asof(spark, d):
+    """To every bar the first bar of its symbol at least sixty days later."""
     bars = tb.bars_daily(spark, d).select("symbol", "date")
-    # Day 60 of each year: answered inside the year if any later bar exists, else by the first bar of a later year.
-    t = bars.groupBy("symbol", F.year("date").alias("year")).agg(F.min(F.when(F.dayofyear("date") >= 60, F.col("date"))).alias("in_year"), F.min("date").alias("first"))
-    from pyspark.sql import Window
-
-    nxt = F.min("first").over(Window.partitionBy("symbol").orderBy("year").rowsBetween(1, Window.unboundedFollowing))
-    return t.select("symbol", "year", F.coalesce("in_year", nxt).alias("first_on_or_after"))
+    due = bars.select("symbol", F.col("date").alias("from_date"), F.date_add("date", 60).alias("date"))
+    later = asof_join(due, bars.withColumn("first_on_or_after", F.col("date")), ["symbol"], "date", ["first_on_or_after"], "forward")
+    return later.select("symbol", F.col("from_date").alias("date"), "first_on_or_after")
 
 
 QUERIES["asof_forward"] = _forward_asof
 SQL["asof_forward"] = "WITH " + DAILY + """
-SELECT t.symbol, t.year, (SELECT min(date) FROM bars b WHERE b.symbol = t.symbol AND b.date >= make_date(t.year, 1, 1) + 59) AS first_on_or_after
-FROM (SELECT DISTINCT symbol, CAST(year(date) AS INTEGER) AS year FROM bars) t"""
+SELECT b.symbol, b.date, n.date AS first_on_or_after FROM bars b ASOF LEFT JOIN bars n ON n.symbol = b.symbol AND b.date + 60 <= n.date"""
 
 
 # --- costs
