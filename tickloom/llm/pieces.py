@@ -28,8 +28,10 @@ from tickloom.llm.text import table
 #: A vocabulary file; every function takes the path as a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct words are indexed in batches of about so many bytes.
-INDEX_BYTES = 400_000
+INDEX_BYTES = 250_000
 MARK = "▁"
+#: A worker remembers which pairs of pieces may follow each other: in so many slots, and behind them so many pairs.
+SLOTS, MOST_PAIRS = 1 << 20, 400_000
 
 _WORDS = re.compile(" *[^ \n]+| +|\n")
 
@@ -91,21 +93,31 @@ class Encoder:
         self.high = full.view(">u8").astype(np.uint64)
         self.n = n
         self.may: dict[int, bool] = {}
+        self.slot_key, self.slot_may = np.full(SLOTS, -1), np.zeros(SLOTS, bool)
 
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For pieces a and b: is the string ab encoded as a, b?"""
-        keys, at = np.unique(a * self.n + b, return_inverse=True)
-        may, text, rank = self.may, self.v.text, self.v.rank
-        if len(may) > 4_000_000:
-            may.clear()
-        out = np.empty(len(keys), bool)
-        for i, k in enumerate(keys.tolist()):
-            known = may.get(k)
-            if known is None:
-                x, y = text[k // self.n].decode(), text[k % self.n].decode()
-                known = may[k] = merge(x + y, rank) == [x, y]
-            out[i] = known
-        return out[at]
+        pair = a * self.n + b
+        slot = (pair * 0x9E3779B1 >> 7) & (SLOTS - 1)
+        out = self.slot_may[slot]
+        new = np.flatnonzero(self.slot_key[slot] != pair)
+        if len(new):
+            keys, at = np.unique(pair[new], return_inverse=True)
+            found = np.fromiter(map(self.may_follow, keys.tolist()), bool, len(keys))
+            out[new] = found[at]
+            slot = (keys * 0x9E3779B1 >> 7) & (SLOTS - 1)
+            slot, last = np.unique(slot, return_index=True)  # one key for each slot
+            self.slot_key[slot], self.slot_may[slot] = keys[last], found[last]
+        return out
+
+    def may_follow(self, pair: int) -> bool:
+        known = self.may.get(pair)
+        if known is None:
+            x, y = (self.v.text[k].decode() for k in divmod(pair, self.n))
+            if len(self.may) >= MOST_PAIRS:
+                self.may.clear()
+            known = self.may[pair] = merge(x + y, self.v.rank) == [x, y]
+        return known
 
     def edges(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every occurrence of every piece: its first byte and its number. `first` are the first bytes of characters."""
@@ -139,15 +151,15 @@ class Encoder:
         # characters that no piece covers stand for themselves
         alone = np.zeros(len(data), bool)
         alone[first] = True
-        single = self.size[piece] == np.diff(np.append(first, len(data)))[np.searchsorted(first, at)]
-        alone[at[single]] = False
+        char_end = np.zeros(len(data), np.int64)
+        char_end[first] = np.append(first[1:], len(data))
+        end = at + self.size[piece]
+        alone[at[end == char_end[at]]] = False
         alone[begin + size] = False
         lone = np.flatnonzero(alone)
-        lone_end = np.append(first, len(data))[np.searchsorted(first, lone) + 1]
-        start = np.concatenate([at, lone])
-        end = np.concatenate([at + self.size[piece], lone_end])
+        start, end = np.concatenate([at, lone]), np.concatenate([end, char_end[lone]])
         token = np.concatenate([piece, np.full(len(lone), self.n)])
-        offset = end - begin[np.searchsorted(begin, start, "right") - 1]
+        offset = end - np.repeat(begin, size + 1)[start]
         order = np.argsort(offset, kind="stable")
         start, end, token, offset = start[order], end[order], token[order], offset[order]
         last = np.full(len(data) + 1, -2)
@@ -253,7 +265,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker.setdefault(path, Encoder(vocabulary))
         for batch in batches:
-            for a, b in slices(batch["text"], 8 << 20):
+            for a, b in slices(batch["text"], 6 << 20):
                 part = batch.slice(a, b - a)
                 texts = part["text"].to_pylist()
                 ids, cut = encoder.texts(texts)
