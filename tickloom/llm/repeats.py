@@ -33,7 +33,7 @@ from tickloom.llm.text import or_empty, table
 from tickloom.session import cut_lineage
 
 LENGTH, K = 100, 24
-DEAL_BYTES = 4 << 20
+DEAL_BYTES = 1 << 20
 #: Strings whose columns are built together; all strings of an anchor are.
 COLLECTION = 20_000
 
