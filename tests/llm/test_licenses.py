@@ -57,3 +57,39 @@ def test_cue_words_lose_nothing():
     for t in WORDS.values():
         cues = L.cue_words(t, {w: -len(w) for w in t}, 0.8)
         assert sum(w not in cues for w in t) / len(t) < 0.8
+
+
+def places_of(text):
+    return [(n, text[a:b]) for n, _, a, b in L.scan(text, WORDS, L.COVERAGE)]
+
+
+def test_repeated_licenses_are_all_found():
+    notice, mit = L.TEMPLATES["mit-notice"], L.TEMPLATES["mit"].rstrip(".")
+    assert places_of(f"Foo bar. {notice}. Some text here. {notice}. More text") == [("mit-notice", notice)] * 2
+    assert places_of(f"{notice}. " * 5) == [("mit-notice", notice)] * 5
+    assert places_of(f"{mit}\n\nint main() {{}}\n\n{mit} {mit}") == [("mit", mit)] * 3
+    cut = mit.replace("merge, ", "")
+    assert [t for _, t in places_of(f"{cut} x {mit} y {cut}")] == [cut, mit, cut]
+    assert all(s == 1 for _, s, _, _ in L.scan(f"{mit}\n{mit}", WORDS, L.COVERAGE))
+
+
+def test_nested_licenses_are_found():
+    isc, notice = L.TEMPLATES["isc"].rstrip("."), L.TEMPLATES["mit-notice"]
+    a, b = isc[: isc.index("hereby")], isc[isc.index("hereby") :]
+    got = places_of(f"{notice}. {a}{notice} {b} {isc}")
+    assert got == [("isc", f"{a}{notice} {b}"), ("isc", isc), ("mit-notice", notice), ("mit-notice", notice)]
+
+
+def test_steps_are_longest_alignments():
+    draw = random.Random(3)
+    for _ in range(300):
+        text, t = ([draw.choice("abcd") for _ in range(draw.randrange(1, 12))] for _ in range(2))
+        best = [[0] * (len(t) + 1)]
+        for w in text:
+            row = [0]
+            for j, v in enumerate(t):
+                row.append(best[-1][j] + 1 if v == w else max(row[j], best[-1][j + 1]))
+            best.append(row)
+        tpl = L.Template(t, 0.8)
+        got = [k for _, k in L.steps(text, range(len(text)), tpl.ahead, len(t))]
+        assert max(got, default=0) == best[-1][-1] == len(L.align_gap(text, t))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,6 +56,8 @@ TEMPLATES: dict[str, str] = {
     ),
 }
 COVERAGE = 0.8
+#: A place has at most so many times the words of its template.
+REACH = 2
 
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.'/-][A-Za-z0-9]+)*")
 
@@ -82,7 +85,7 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     """Pairs of equal words (index in text, index in template), rising in both.
 
     Words that stand once in both stretches anchor them; the longest rising run of anchors holds, and the gaps between
-    are aligned in the same way, after equal words at their ends.
+    are aligned in the same way, after equal words at their ends. A gap without anchors is aligned word by word.
     """
     pairs, todo = [], [(0, len(text), 0, len(template))]
     while todo:
@@ -100,6 +103,7 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
         met = [(i, place[w]) for i, w in enumerate(text[a:b], a) if w in place]
         anchors = [met[k] for k in rising([j for _, j in met])]
         if not anchors:
+            pairs += [(a + i, c + j) for i, j in align_gap(text[a:b], template[c:d])]
             continue
         pairs += anchors
         ends = [(a - 1, c - 1), *anchors, (b, d)]
@@ -107,6 +111,28 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def align_gap(text: list[str], template: list[str]) -> list[tuple[int, int]]:
+    """A longest alignment, for stretches in which words repeat: from the last equal words back to the first."""
+    own = set(template)
+    kept = [i for i, w in enumerate(text) if w in own]
+    best = [[0] * (len(template) + 1)]
+    for i in kept:
+        row, last = [0], best[-1]
+        for j, w in enumerate(template):
+            row.append(last[j] + 1 if w == text[i] else max(row[j], last[j + 1]))
+        best.append(row)
+    pairs, r, j = [], len(kept), len(template)
+    while r and j:
+        if text[kept[r - 1]] == template[j - 1]:
+            r, j = r - 1, j - 1
+            pairs.append((kept[r], j))
+        elif best[r - 1][j] >= best[r][j - 1]:
+            r -= 1
+        else:
+            j -= 1
+    return pairs
+
+
 def cue_words(template: list[str], often: Mapping[str, float], coverage: float) -> set[str]:
     """Words of which at least one stands in every text that covers the template: those that come least often."""
     n, left = Counter(template), (1 - coverage) * len(template)
@@ -119,27 +145,81 @@ def cue_words(template: list[str], often: Mapping[str, float], coverage: float)
     return chosen
 
 
+class Template:
+    """The words of a template, and masks of the places of each word for row-wise bits of the alignment."""
+
+    def __init__(self, words: list[str], coverage: float):
+        n = len(words)
+        self.words, self.need, self.reach = words, max(1, math.ceil(coverage * n - 1e-9)), REACH * n
+        self.ahead: dict[str, int] = {}
+        self.back: dict[str, int] = {}
+        for j, w in enumerate(words):
+            self.ahead[w] = self.ahead.get(w, 0) | 1 << j
+            self.back[w] = self.back.get(w, 0) | 1 << (n - 1 - j)
+
+
+def steps(words: list[str], at: Iterable[int], masks: Mapping[str, int], n: int) -> Iterator[tuple[int, int]]:
+    """(i, aligned): the places, in the order of `at`, at which a longest alignment with the template grows, and its length.
+
+    One row of the alignment is one integer: bit j is unset where the template's word j makes it longer.
+    """
+    full = (1 << n) - 1
+    row, aligned = full, 0
+    for i in at:
+        mask = masks.get(words[i])
+        if mask:
+            met = row & mask
+            row = ((row + met) | (row - met)) & full
+            if n - row.bit_count() > aligned:
+                aligned += 1
+                yield i, aligned
+
+
+def covered_stretch(words: list[str], t: Template, a: int, b: int) -> tuple[int, int] | None:
+    """The stretch of words[a:b] that covers the template, is within its reach, ends first and starts last."""
+    n = len(t.words)
+    while (end := next((i for i, k in steps(words, range(a, b), t.ahead, n) if k >= t.need), None)) is not None:
+        start = next(i for i, k in steps(words, range(end, a - 1, -1), t.back, n) if k >= t.need)
+        if end + 1 - start <= t.reach:
+            return start, end + 1
+        a = start + 1  # what starts earlier ends no sooner, and is longer still
+    return None
+
+
+def places(words: list[str], t: Template, a: int, b: int) -> Iterator[tuple[float, int, int]]:
+    """(coverage, start, end) in words of each place in words[a:b] that covers the template; none overlaps another.
+
+    A stretch grows to the right and then to the left by the words that lengthen its alignment, up to its neighbours.
+    """
+    n, free, here = len(t.words), a, covered_stretch(words, t, a, b)
+    while here:
+        after = covered_stretch(words, t, here[1], b)
+        start, end = here
+        for i, _ in steps(words, range(start, min(after[0] if after else b, start + t.reach)), t.ahead, n):
+            end = max(end, i + 1)
+        for i, _ in steps(words, range(end - 1, max(free, end - t.reach) - 1, -1), t.back, n):
+            start = min(start, i)
+        aligned = len(align(words[start:end], t.words))
+        yield (aligned if aligned >= t.need else len(align_gap(words[start:end], t.words))) / n, start, end
+        free, here = end, after
+
+
 def scan(text: str, templates: Mapping[str, list[str]], coverage: float) -> list[tuple[str, float, int, int]]:
-    """(template, coverage, start, end) of the best place of each template that is covered, in order of names."""
+    """(template, coverage, start, end) of every place that covers a template, in order of names and starts."""
     words, spans = words_of(text)
     often = Counter(words)
     found = []
     for name in sorted(templates):
-        t = templates[name]
-        cues, reach = cue_words(t, often, coverage), 2 * len(t)
-        best = (0.0, 0, 0)
+        t = Template(templates[name], coverage)
+        cues = cue_words(t.words, often, coverage)
         windows: list[list[int]] = []
         for i in (i for i, w in enumerate(words) if w in cues):
-            if windows and i - reach <= windows[-1][1]:
-                windows[-1][1] = i + reach
+            if windows and i - t.reach <= windows[-1][1]:
+                windows[-1][1] = min(len(words), i + t.reach)
             else:
-                windows.append([max(0, i - reach), i + reach])
+                windows.append([max(0, i - t.reach), min(len(words), i + t.reach)])
         for a, b in windows:
-            pairs = align(words[a:b], t)
-            if pairs and len(pairs) / len(t) > best[0]:
-                best = (len(pairs) / len(t), spans[a + pairs[0][0]][0], spans[a + pairs[-1][0]][1])
-        if best[0] >= coverage:
-            found.append((name, *best))
+            found += [(name, share, spans[start][0], spans[end - 1][1]) for share, start, end in places(words, t, a, b)]
     return found
 
 
@@ -149,8 +229,8 @@ SCHEMA = "doc_id long, license string, coverage double, start long, end long, li
 def scan_documents(docs: DataFrame, templates: Mapping[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, coverage, start, end, licenses: one row per input row.
 
-    license is the template with most of its words covered, then the longest, then the first name; start and end are
-    code points; licenses lists all covered templates as name:start:end. All are null where none is covered. A null
+    license is the place with most of its template's words covered, then of the longest, then of the first name, then the first; start and end are
+    code points; licenses lists every place that covers a template as name:start:end. All are null where none is covered. A null
     text has none. Repeated rows are scanned one by one; an empty table gives an empty result; other columns are
     ignored. Texts without any cue word of any template (one of which a covered template must hold) skip the scan.
     """
@@ -167,7 +247,7 @@ def scan_documents(docs: DataFrame, templates: Mapping[str, str] | None = None,
                 for text, w in zip(part["text"].to_pylist(), worth.to_pylist(), strict=True):
                     found = scan(text, words, coverage) if w else []
                     if found:
-                        best = min(found, key=lambda f: (-f[1], -len(words[f[0]]), f[0]))
+                        best = min(found, key=lambda f: (-f[1], -len(words[f[0]]), f[0], f[2]))
                         rows.append((*best, ",".join(f"{n}:{s}:{e}" for n, _, s, e in found)))
                     else:
                         rows.append((None,) * 5)
