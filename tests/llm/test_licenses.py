@@ -93,3 +93,42 @@ def test_steps_are_longest_alignments():
         tpl = L.Template(t, 0.8)
         got = [k for _, k in L.steps(text, range(len(text)), tpl.ahead, len(t))]
         assert max(got, default=0) == best[-1][-1] == len(L.align_gap(text, t))
+
+
+def names_of(text):
+    return {n for n, *_ in L.scan(text, WORDS, L.COVERAGE)}
+
+
+def test_only_the_named_license_is_reported(spark):
+    texts = {
+        "Released under the BSD License": "bsd-notice",
+        "Licensed under CC BY-SA 4.0": "cc-by-sa-4.0-notice",
+        "Licensed under CC BY 4.0": "cc-by-4.0-notice",
+        "Licensed under CC BY-NC-ND 4.0": None,
+        "Released under CC0 1.0": "cc0-1.0-notice",
+        "The record was released in May under a label with the usual license of that time": None,
+        "This work is licensed under the GNU General Public License, version 2": "gpl-2.0-notice",
+        "This work is licensed under the GNU General Public License, version 3.0": "gpl-notice",
+        "This work is licensed under the GNU Lesser General Public License, version 3": "lgpl-3.0-notice",
+        "This work is licensed under the GNU Affero General Public License, version 3": None,
+        "This work is licensed under version 3 of the GNU General Public License": "gpl-unversioned-notice",
+        "Licensed under CC BY-NC 3.0": "cc-by-nc-unversioned-notice",
+        "Licensed under contract by 4 companies": None,
+        "Licensed under the Apache License 2.0": "apache-2.0-notice",
+        "Licensed under the Apache License, Version 1.1": None,
+        "Licensed under the MIT License": "mit-notice",
+        "released under " + "word " * 9 + "the MIT License": None,
+    }
+    got = L.scan_documents(docs_of(spark, list(enumerate(texts)))).collect()
+    assert {list(texts)[r["doc_id"]]: r["license"] for r in got} == texts
+
+
+def test_each_template_is_its_own(spark):
+    """A template's text is found as that template and as nothing else."""
+    got = L.scan_documents(docs_of(spark, list(enumerate(L.TEMPLATES.values())))).collect()
+    assert {list(L.TEMPLATES)[r["doc_id"]]: (r["license"], r["coverage"], r["licenses"].count(",")) for r in got} == {n: (n, 1.0, 0) for n in L.TEMPLATES}
+
+
+def test_two_licenses_of_one_sentence():
+    assert names_of("Licensed under the MIT License or the Apache License, Version 2.0") == {"mit-notice", "apache-2.0-notice"}
+    assert names_of("Released under the BSD License. Released under the MIT License.") == {"bsd-notice", "mit-notice"}

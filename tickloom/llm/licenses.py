@@ -6,7 +6,8 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from itertools import product
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,6 +55,55 @@ TEMPLATES: dict[str, str] = {
         " option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY"
         " WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
     ),
+    "bsd-notice": "Released under the BSD License",
+    "cc-by-4.0-notice": "Licensed under CC BY 4.0",
+    "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0",
+    "cc0-1.0-notice": "Released under CC0 1.0",
+    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2",
+    "gpl-unversioned-notice": "This work is licensed under the GNU General Public License",
+    "cc-by-nc-unversioned-notice": "Licensed under CC BY-NC",
+    "lgpl-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was"
+        " not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "cc0-1.0-dedication": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to"
+        " this work."
+    ),
+}
+TEMPLATES["bsd-3-clause"] = TEMPLATES["bsd-2-clause"] + (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+    " products derived from this software without specific prior written permission."
+)
+TEMPLATES["gpl-unversioned-header"] = TEMPLATES["gpl-3.0-header"].replace(" either version 3 of the License, or (at your option) any later version.", "")
+TEMPLATES["gpl-2.0-header"] = TEMPLATES["gpl-3.0-header"].replace("version 3", "version 2")
+TEMPLATES["lgpl-3.0-header"] = TEMPLATES["gpl-3.0-header"].replace("General Public", "Lesser General Public")
+TEMPLATES["lgpl-2.1-header"] = TEMPLATES["lgpl-3.0-header"].replace("version 3", "version 2.1")
+TEMPLATES["agpl-3.0-header"] = TEMPLATES["gpl-3.0-header"].replace("General Public", "Affero General Public")
+
+#: Runs of words that name a licence: all of a template's must stand in a place, unbroken and in this order.
+NAMES: dict[str, tuple[str, ...]] = {
+    "apache-2.0-notice": ("apache", "2"),
+    "apache-2.0-header": ("apache", "2"),
+    "mit-notice": ("mit",),
+    "bsd-notice": ("bsd",),
+    "bsd-3-clause": ("neither the name",),
+    "cc-by-4.0-notice": ("cc by", "4"),
+    "cc-by-sa-4.0-notice": ("by-sa", "4"),
+    "cc-by-nc-4.0-notice": ("by-nc", "4"),
+    "cc0-1.0-notice": ("cc0", "1"),
+    "cc0-1.0-dedication": ("waived all copyright",),
+    "cc-by-nc-unversioned-notice": ("by-nc",),
+    "gpl-unversioned-notice": ("gnu general public license",),
+    "gpl-unversioned-header": ("gnu general public license",),
+    "mpl-2.0-header": ("mozilla", "2"),
+} | {
+    f"{who}-{version}": (f"gnu {kind}general public license", number)
+    for who, kind in (("gpl", ""), ("lgpl", "lesser "), ("agpl", "affero "))
+    for version, number in (("notice", "3"), ("2.0-notice", "2"), ("2.1-notice", "2.1"), ("3.0-notice", "3"), ("2.0-header", "2"), ("2.1-header", "2.1"), ("3.0-header", "3"))
+    if f"{who}-{version}" in TEMPLATES
 }
 COVERAGE = 0.8
 #: A place has at most so many times the words of its template.
@@ -62,9 +112,14 @@ REACH = 2
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.'/-][A-Za-z0-9]+)*")
 
 
+_VERSION = re.compile(r"v?([0-9]+)(?:\.0)?")
+
+
 def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """Words in lower case and where they stand; v3, 3.0 and 3 are one word."""
     found = list(_WORD.finditer(text))
-    return [m[0].lower() for m in found], [m.span() for m in found]
+    words = [m[0].lower() for m in found]
+    return [v[1] if (v := _VERSION.fullmatch(w)) else w for w in words], [m.span() for m in found]
 
 
 def rising(values: list[int]) -> list[int]:
@@ -148,8 +203,12 @@ def cue_words(template: list[str], often: Mapping[str, float], coverage: float)
 class Template:
     """The words of a template, and masks of the places of each word for row-wise bits of the alignment."""
 
-    def __init__(self, words: list[str], coverage: float):
+    def __init__(self, words: list[str], coverage: float, names: Sequence[str] = ()):
         n = len(words)
+        self.names: list[tuple[list[str], int]] = []  # the words of a name, and where it stands in the template
+        for name in map(str.split, names):
+            after = sum(self.names[-1][1:], len(self.names[-1][0])) if self.names else 0
+            self.names.append((name, next(j for j in range(after, n) if words[j : j + len(name)] == name)))
         self.words, self.need, self.reach = words, max(1, math.ceil(coverage * n - 1e-9)), REACH * n
         self.ahead: dict[str, int] = {}
         self.back: dict[str, int] = {}
@@ -186,6 +245,24 @@ def covered_stretch(words: list[str], t: Template, a: int, b: int) -> tuple[int,
     return None
 
 
+def pinned(words: list[str], t: Template) -> list[tuple[int, int]]:
+    """The longest alignment of words with the template in which each of its names is aligned; none without them."""
+    where = [[i for i in range(len(words)) if words[i : i + len(name)] == name] for name, _ in t.names]
+    best: list[tuple[int, int]] = []
+    for chosen in product(*where):
+        pairs, a, c = [], 0, 0
+        for i, (name, j) in zip((*chosen, len(words)), (*t.names, ([], len(t.words))), strict=True):
+            if i < a:
+                break
+            part = align(words[a:i], t.words[c:j])
+            pairs += [(a + x, c + y) for x, y in part] + [(i + k, j + k) for k in range(len(name))]
+            a, c = i + len(name), j + len(name)
+        else:
+            if len(pairs) > len(best):
+                best = pairs
+    return best
+
+
 def places(words: list[str], t: Template, a: int, b: int) -> Iterator[tuple[float, int, int]]:
     """(coverage, start, end) in words of each place in words[a:b] that covers the template; none overlaps another.
 
@@ -199,18 +276,29 @@ def places(words: list[str], t: Template, a: int, b: int) -> Iterator[tuple[floa
             end = max(end, i + 1)
         for i, _ in steps(words, range(end - 1, max(free, end - t.reach) - 1, -1), t.back, n):
             start = min(start, i)
-        aligned = len(align(words[start:end], t.words))
-        yield (aligned if aligned >= t.need else len(align_gap(words[start:end], t.words))) / n, start, end
-        free, here = end, after
+        pairs = pinned(words[start:end], t)
+        if len(pairs) < t.need and not t.names:
+            pairs = align_gap(words[start:end], t.words)
+        if len(pairs) >= t.need:
+            pairs.sort()
+            yield len(pairs) / n, start + pairs[0][0], start + pairs[-1][0] + 1
+            free, here = end, after
+        else:
+            here = covered_stretch(words, t, here[0] + 1, b)
 
 
-def scan(text: str, templates: Mapping[str, list[str]], coverage: float) -> list[tuple[str, float, int, int]]:
+def scan(
+    text: str, templates: Mapping[str, list[str]], coverage: float, names: Mapping[str, Sequence[str]] = NAMES
+) -> list[tuple[str, float, int, int]]:
     """(template, coverage, start, end) of every place that covers a template, in order of names and starts."""
     words, spans = words_of(text)
     often = Counter(words)
     found = []
     for name in sorted(templates):
-        t = Template(templates[name], coverage)
+        named = names.get(name, ())
+        if any(often[w] == 0 for phrase in named for w in phrase.split()):
+            continue
+        t = Template(templates[name], coverage, named)
         cues = cue_words(t.words, often, coverage)
         windows: list[list[int]] = []
         for i in (i for i, w in enumerate(words) if w in cues):
@@ -223,6 +311,11 @@ def scan(text: str, templates: Mapping[str, list[str]], coverage: float) -> list
     return found
 
 
+def outermost(found: list[tuple[str, float, int, int]], within: Mapping[str, set[str]]) -> list[tuple[str, float, int, int]]:
+    """Without the places that are only part of a place of a template that holds theirs (a notice in its header)."""
+    return [f for f in found if not any(f[0] in within[g[0]] and g[2] <= f[2] and f[3] <= g[3] for g in found)]
+
+
 SCHEMA = "doc_id long, license string, coverage double, start long, end long, licenses string"
 
 
@@ -235,6 +328,8 @@ def scan_documents(docs: DataFrame, templates: Mapping[str, str] | None = None,
     ignored. Texts without any cue word of any template (one of which a covered template must hold) skip the scan.
     """
     words = {name: words_of(t)[0] for name, t in (TEMPLATES if templates is None else templates).items()}
+    names = NAMES if templates is None else {}
+    within = {name: {f[0] for f in scan(" ".join(t), words, coverage, names) if f[0] != name} for name, t in words.items()}
     cues = sorted({c for t in words.values() for c in cue_words(t, {w: -len(w) for w in t}, coverage)})
     pattern = "|".join(map(re.escape, cues)) or r"[^\s\S]"
 
@@ -245,7 +340,7 @@ def scan_documents(docs: DataFrame, templates: Mapping[str, str] | None = None,
                 worth = pc.fill_null(pc.match_substring_regex(part["text"], pattern, ignore_case=True), False)
                 rows = []
                 for text, w in zip(part["text"].to_pylist(), worth.to_pylist(), strict=True):
-                    found = scan(text, words, coverage) if w else []
+                    found = outermost(scan(text, words, coverage, names), within) if w else []
                     if found:
                         best = min(found, key=lambda f: (-f[1], -len(words[f[0]]), f[0], f[2]))
                         rows.append((*best, ",".join(f"{n}:{s}:{e}" for n, _, s, e in found)))
