@@ -68,3 +68,18 @@ def test_long_repeated_url_does_not_blow_up(spark):
 
 def test_empty(spark):
     assert U.judge(pages(spark, []).where("false"), spark.createDataFrame([], LABELS)).count() == 0
+
+
+def test_chance_mines_nothing(spark):
+    """Labels that do not depend on the URL: small counts of bad pages make no rule."""
+    urls = [f"http://h{i * 7 % 90}.net/a{i * 11 % 130}/b{i * 13 % 170}" for i in range(900)]
+    labels = spark.createDataFrame([(i, int(i * 7919 % 1009 % 4 > 0), 0) for i in range(900)], LABELS)
+    assert U.mine_rules(pages(spark, urls), labels).count() == 0
+
+
+def test_a_bad_host_is_mined_at_any_size(spark):
+    """30 bad pages of one host, among 300 and among 30,000 labelled pages."""
+    for n in (300, 30_000):
+        urls = [f"http://{'pills' if i < 30 else f'h{i % 97}'}.net/p{i}" for i in range(n)]
+        labels = spark.createDataFrame([(i, int(i >= 30), 0) for i in range(n)], LABELS)
+        assert [(r["tokens"], r["confidence"]) for r in U.mine_rules(pages(spark, urls), labels).collect()] == [(["h:pills"], 1.0)]

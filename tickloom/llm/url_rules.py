@@ -30,6 +30,9 @@ LISTED = (
     Listed("com", "/de/", "block"),
 )
 
+#: A mined rule holds on at least so many bad pages, and its confidence is above the base rate by so many standard errors.
+MIN_BAD, Z = 20, 3.0
+
 #: Mined rules up to this many postings go to every executor; beyond, postings and tokens meet in a shuffle.
 BROADCAST_POSTINGS = 50_000
 
@@ -64,15 +67,23 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(words(host, "h:"), words(path, "p:"), words(query, "q:")))
 
 
+def lower_bound(hits: Column, share: Column, z: float) -> Column:
+    """Wilson's lower bound of a share, of which the hits are counted."""
+    n = hits / share
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def mine_rules(
-    pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.5
+    pages: DataFrame, labels: DataFrame, min_bad: int = MIN_BAD, min_confidence: float = 0.6, min_lift: float = 1.5, z: float = Z
 ) -> DataFrame:
     """rule (id), tokens, support, confidence: URL token combinations that mark bad pages.
 
     A page is bad if its label has quality 0 or toxic 1; a page with several labels counts once, as bad if one is.
     Tokens that stand in exactly the same labelled pages (same count and same two checksums of page hashes) are one
-    item, so a long URL that repeats can not blow the item sets up; the smallest token stands for them. A rule whose
-    token subset has a rule of at least its confidence is dropped.
+    item, so a long URL that repeats can not blow the item sets up; the smallest token stands for them. A rule holds on
+    min_bad bad pages or more, at any number of labelled pages, and the lower bound of its confidence (z standard errors)
+    lies above the share of bad pages. A rule whose token subset has a rule of at least its confidence is dropped.
+    Support and lift are shares of all labelled pages.
     """
     bad = F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int"))
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(bad.alias("bad"))
@@ -82,17 +93,21 @@ def mine_rules(
             F.xxhash64("doc_id", "url").alias("page"), "bad", F.explode_outer(url_tokens(F.col("url"))).alias("token")
         )
     )
-    n = rows.select(F.count_distinct("page")).first()[0]
-    least = max(2, int(min_support * n))
+    total = rows.select(F.count_distinct("page").alias("n"), F.count_distinct(F.when(F.col("bad") == 1, F.col("page"))).alias("bad")).first()
     tokens = rows.where("token IS NOT NULL").groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor("page").alias("x"), F.bit_xor(F.xxhash64("page")).alias("y")
+        F.count(F.lit(1)).alias("n"), F.sum("bad").alias("marked"), F.bit_xor("page").alias("x"), F.bit_xor(F.xxhash64("page")).alias("y")
     )
-    items = tokens.where(F.col("n") >= least).groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")
+    items = tokens.where(F.col("marked") >= min_bad).groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")
     chosen = rows.join(items, "token", "left_semi").select("page", "token")
     marked = rows.where("bad = 1").select("page", F.lit(BAD).alias("token"))
-    baskets = chosen.unionByName(marked).groupBy("page").agg(F.collect_set("token").alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(n, 1)), minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift))
+    baskets = cut_lineage(chosen.unionByName(marked).groupBy("page").agg(F.collect_set("token").alias("items")))
+    n = max(baskets.count(), 1)
+    # half a page less than min_bad: the learner rounds up
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_bad - 0.5) / n), minConfidence=min_confidence).fit(baskets)
+    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).withColumn("bad", F.round(F.col("support") * n))
+    base = F.lit(total["bad"] / max(total["n"], 1))
+    found = found.where((F.col("bad") >= min_bad) & (F.col("confidence") >= min_lift * base) & (lower_bound(F.col("bad"), F.col("confidence"), z) > base))
+    found = found.withColumn("support", F.col("bad") / F.lit(max(total["n"], 1)))
     rules = cut_lineage(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule", F.xxhash64("tokens")))
     # pruned: a shorter rule inside it is at least as sure
     anchors = rules.select(F.explode("tokens").alias("t"), F.struct("rule", "tokens", "confidence").alias("long"))
