@@ -91,3 +91,34 @@ def test_held_out_plants(spark):
             found[good][0] += any(s < b and a < e for s, e, _ in spans)
             found[good][1] += 1
     assert found[True][0] / found[True][1] > 0.85 and found[False][0] / found[False][1] < 0.08
+
+
+def test_long_secrets_are_proposed_whole():
+    key = "Ab" * 60 + "7" + "xY+/" * 500
+    assert (4, 4 + len(key), "secret") in P.propose(f"key {key} end")
+    assert (0, 9 + len(key), "secret") in P.propose(f"password={key} end")
+    mail = "a" * 90 + " (at) " + "b" * 90 + " (dot) org"
+    assert (0, len(mail), "email") in P.propose(mail + " 1")
+    assert P.propose("x" * 300_000) == [] and len(P.propose("token=" * 50_000 + "1")) == 2
+
+
+class Sure:
+    def probabilities(self, x):
+        return np.ones(len(x))
+
+
+def test_the_rest_of_a_secret_around_a_fixed_span_is_kept():
+    text = "secret=abcdefgh4111111111111111ijklmnop end"
+    base, spans = P.all_spans(text, Sure(), 0.9)
+    assert base == [(15, 31, "card")]
+    assert {(0, 15, "secret"), (31, 39, "secret")} <= set(spans)
+    assert list(P.uncovered(0, 10, [(2, 4), (3, 5), (9, 12)])) == [(0, 2), (5, 9)]
+
+
+def test_long_secrets_are_redacted(spark):
+    draw = np.random.default_rng(9)
+    key = "".join(draw.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 1600))
+    plain = "der and the erheit von in thonder " * 20
+    docs = docs_of(spark, [(i, plain) for i in range(100)] + [(200, f"{plain}{key} more"), (201, f"{plain}password={key} more")])
+    hidden = {r["doc_id"]: r["text"] for r in P.redact(docs).where("doc_id >= 200").collect()}
+    assert all(h == f"{plain}<secret> more" for h in hidden.values()) and len(hidden) == 2

@@ -83,14 +83,15 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-#: High-recall generators: kind of the span they propose, what a text must contain, pattern. They may overlap.
+#: High-recall generators: kind of the span they propose, what a text must contain, pattern. They may overlap. Runs
+#: without a length of their own are possessive and unbounded, so that a long one is proposed whole in linear time.
 GENERATORS: tuple[tuple[str, str, re.Pattern], ...] = (
-    ("email", "", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63})+")),
+    ("email", "", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)+")),
     ("phone", "0", re.compile(r"(?<![0-9A-Za-z])(?:\+|\()?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])")),
     ("card", "0", re.compile(r"(?<![0-9A-Za-z])[0-9](?:[\x20.-]?[0-9]){11,18}(?![0-9A-Za-z])")),
     ("ip", "0", re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:[.][0-9]{1,3}){3}(?![0-9A-Za-z])")),
-    ("secret", "", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,200}")),
-    ("secret", "0", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,63}[0-9])[A-Za-z0-9+/_=-]{16,200}(?![A-Za-z0-9+/_=-])")),
+    ("secret", "", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}+")),
+    ("secret", "0", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+")),
 )
 ALL_KINDS = KINDS + ("secret",)
 _WORTH = re.compile(r"[0-9@=:]|\(at\)|\[at\]")
@@ -194,6 +195,7 @@ def _plants(rng: np.random.Generator) -> tuple[str, bool]:
     w = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
     x = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
     up = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), n))
+    b64 = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), n))
     card = lambda: next(c for c in (body + str(k) for body in [str(rng.integers(3, 7)) + d(14)] for k in range(10)) if luhn(c))
     four = lambda c, sep: sep.join(c[i : i + 4] for i in range(0, 16, 4))
     real: tuple[Callable[[], str], ...] = (
@@ -212,6 +214,8 @@ def _plants(rng: np.random.Generator) -> tuple[str, bool]:
         lambda: f"api_key: {up(24)}",
         lambda: f"AKIA{up(16)}",
         lambda: f"secret={w(4)}{d(6)}",
+        lambda: b64(int(rng.integers(100, 2000))),
+        lambda: f"token={b64(int(rng.integers(100, 2000)))}",
     )
     alike: tuple[Callable[[], str], ...] = (
         lambda: f"order {d(9)}",
@@ -229,6 +233,8 @@ def _plants(rng: np.random.Generator) -> tuple[str, bool]:
         lambda: f"token: {w(5)} {w(4)}",
         lambda: f"{d(1)}.{d(6)}{d(6)}",
         lambda: f"{w(12)}-{w(4)}{d(1)}-{w(6)}",
+        lambda: "/".join(w(int(k)) for k in rng.integers(3, 9, rng.integers(20, 200))) + f"/{d(2)}",
+        lambda: "-" * int(rng.integers(60, 400)) + d(1),
     )
     good = bool(rng.integers(0, 2))
     chosen = real if good else alike
@@ -284,19 +290,33 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS, rounds: int = 12, depth: i
     return trees._replace(slope=slope, offset=offset)
 
 
+def uncovered(a: int, b: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The stretches of a:b outside of all taken ones."""
+    for x, y in sorted(t for t in taken if t[0] < b and a < t[1]):
+        if a < x:
+            yield a, x
+        a = max(a, y)
+    if a < b:
+        yield a, b
+
+
 def all_spans(text: str, trees: Trees | None, keep_from: float) -> tuple[list[Span], list[Span]]:
-    """The fixed spans, and all spans: those and the proposals that the trees select, none overlapping another added one."""
+    """The fixed spans, and all spans: those and what the proposals that the trees select have outside of them.
+
+    The surest proposal comes first; one that meets a taken span adds only its rest, if a letter or digit is in it.
+    """
     base = base_spans(text)
     if trees is None or not (found := propose(text)):
         return base, base
     p = trees.probabilities(np.array([features(text, s) for s in found]))
     taken = [s[:2] for s in base]
-    added = []
+    added: list[Span] = []
     for i in np.argsort(-p, kind="stable"):
-        a, b, kind = found[i]
-        if p[i] >= keep_from and not any(a < y and x < b for x, y in taken):
-            taken.append((a, b))
-            added.append((a, b, kind))
+        if p[i] >= keep_from:
+            a, b, kind = found[i]
+            rest = [(x, y) for x, y in uncovered(a, b, taken) if any(map(str.isalnum, text[x:y]))]
+            taken += rest
+            added += [(x, y, kind) for x, y in rest]
     return base, sorted(base + added, key=lambda s: (s[0], ALL_KINDS.index(s[2])))
 
 
