@@ -122,3 +122,22 @@ def test_long_secrets_are_redacted(spark):
     docs = docs_of(spark, [(i, plain) for i in range(100)] + [(200, f"{plain}{key} more"), (201, f"{plain}password={key} more")])
     hidden = {r["doc_id"]: r["text"] for r in P.redact(docs).where("doc_id >= 200").collect()}
     assert all(h == f"{plain}<secret> more" for h in hidden.values()) and len(hidden) == 2
+
+
+def test_thousands_of_leading_zeros():
+    text = "0" * 5000 + "1.2.3.4"
+    assert P.base_spans(text) == [(0, len(text), "ip")]
+    assert P.base_spans("0" * 5000 + "256.2.3.4") == []
+    assert P.base_spans("0.0.0.000") == [(0, 9, "ip")]
+
+
+def test_plants_stand_anywhere_with_their_white_space():
+    text = "".join(f"w{i}\n\t" for i in range(5000))
+    seen = set()
+    for seed in range(20):
+        made, where = P.planted(text, seed)
+        assert "\n\t" in made and all(made[a:b].strip() for a, b, _ in where)
+        seen |= {int(w) for w in re.findall(r"w(\d{1,4})\n\t", made)}
+    assert max(seen) > 2500
+    assert len(re.findall(r"w\d+\n\t", P.planted(text, 1, words=60)[0])) == 60
+    assert P.planted("", 1)[1] and P.planted("one", 1)[0].count("one") >= 1

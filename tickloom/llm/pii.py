@@ -27,6 +27,8 @@ from tickloom.llm.text import or_empty, table
 from tickloom.session import cut_lineage
 
 SAMPLE_DOCS = 400
+#: Words of each sampled document that the plants stand between; the stretch is drawn from anywhere in the text.
+TRAIN_WORDS = 480
 CONTEXT = 24
 
 #: The kinds and patterns of the contract. The email's local part is found from its @ leftwards, and the
@@ -71,7 +73,7 @@ def base_spans(text: str) -> list[Span]:
     found: list[Span] = [(a, b, "email") for a, b in _emails(text)] if "@" in text else []
     if _ANY_DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
                 found.append((m.start(), m.end(), "ip"))
         for m in _CARD.finditer(text):
             if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -241,15 +243,20 @@ def _plants(rng: np.random.Generator) -> tuple[str, bool]:
     return chosen[int(rng.integers(0, len(chosen)))](), good
 
 
-def planted(text: str, seed: int, n: int = 12) -> tuple[str, list[tuple[int, int, bool]]]:
-    """The first words of a text with strings planted between them, and where those stand."""
+_WORDS = re.compile(r"\S+\s*")
+
+
+def planted(text: str, seed: int, n: int = 12, words: int = TRAIN_WORDS) -> tuple[str, list[tuple[int, int, bool]]]:
+    """A stretch of so many words from anywhere in a text, with strings planted between them, and where those stand."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    words = text.split()[: 40 * n] or ["text"]
+    ends = [0, *(m.end() for m in _WORDS.finditer(text))]
+    first = int(rng.integers(0, max(1, len(ends) - words)))
+    ends = ends[first : first + words + 1]
     out, where, at = [], [], 0
     for i in range(n):
-        share = words[i * len(words) // n : (i + 1) * len(words) // n]
+        lead = text[ends[i * (len(ends) - 1) // n] : ends[(i + 1) * (len(ends) - 1) // n]]
+        lead += " " if lead and not lead[-1].isspace() else ""
         s, good = _plants(rng)
-        lead = " ".join(share) + (" " if share else "")
         where.append((at + len(lead), at + len(lead) + len(s), good))
         out.append(lead + s + rng.choice([" ", ". ", ", "]))
         at += len(out[-1])
