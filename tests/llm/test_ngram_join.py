@@ -105,3 +105,10 @@ def test_connected_components(spark):
     linked = {v for a, b in edges if a != b for v in (a, b)}
     assert got == {v: label[v] for v in linked}
     assert C.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_repeated_ids_stay_or_go_by_their_own_texts(spark):
+    text, clean, pair = (" ".join(f"{c}{i}" for i in range(40)) for c in "tcp")
+    rows = [(1, text), (5, text + " end"), (5, clean), (6, pair), (6, pair + " end"), (7, "x y"), (7, "x y")]
+    kept = sorted((r["doc_id"], r["text"]) for r in J.keep_one_of_group(docs_of(spark, rows)).collect())
+    assert [(i, t.removesuffix(" end")) for i, t in kept] == [(1, text), (5, clean), (6, pair), (7, "x y")]

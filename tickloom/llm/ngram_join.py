@@ -328,9 +328,19 @@ def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 
 def keep_one_of_group(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their component's: one of each group, with all its columns."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """One document of each group, with all its columns: the row with the smallest id.
+
+    Rows are told apart by a number of their own, so rows that repeat an id stay or go by their own texts. Rows with a
+    null id all stay.
+    """
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))  # written, so that the numbers hold
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("_id")).where("_id IS NOT NULL")
+    known = cut_lineage(groups.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row"))
+    keepers = known.groupBy("component_id").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_keep"), F.count(F.lit(1)).alias("_n"))
+    keepers = cut_lineage(keepers.where("_n > 1").select("component_id", "_keep"))  # written, as in near_duplicates
+    gone = known.join(keepers, "component_id").where("_row <> _keep").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
