@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import chat, exact_dedup, licenses, mixing, ngram_join, pieces, pii, quality, repeats, url_rules
+from tickloom.llm import chat, collocations, exact_dedup, licenses, mixing, ngram_join, pieces, pii, quality, repeats, url_rules
 from tickloom.llm.text import table
 
 
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": licenses.query,
     "op9_personal_data": pii.query,
     "op10_ngram_jaccard": ngram_join.query,
+    "op11_collocations": collocations.query,
 }
 
 SQL: dict[str, str] = {
@@ -32,4 +33,5 @@ SQL: dict[str, str] = {
     "op3_chat_formatting": chat.SQL,
     "op5_source_mixing": mixing.SQL,
     "op10_ngram_jaccard": ngram_join.SQL,
+    "op11_collocations": collocations.SQL,
 }
