@@ -30,8 +30,8 @@ from tickloom.llm.text import or_empty, table
 from tickloom.session import cut_lineage, ship_package
 
 LEAST, TOP, PERCENT = 10, 2000, 50
-#: Texts are counted in slices of about so many bytes.
-COUNT_BYTES = 8 << 20
+#: Texts are counted in slices of about so many bytes, and their words numbered in smaller ones.
+COUNT_BYTES, HASH_BYTES = 4 << 20, 1 << 20
 #: Ranges per input partition; sampled documents and phrases of each that place the cuts.
 RANGES_PER_PARTITION, SAMPLE_DOCS, SAMPLE_PHRASES = 4, 2000, 256
 
@@ -55,27 +55,33 @@ def _lang_seed(lang: str, seed: int) -> int:
 
 
 class Words:
-    """The words of a slice: number, language, piece; and where they stand in the bytes."""
+    """The words of a slice: number, language, whether the piece goes on after them; and where they stand in the bytes."""
 
     def __init__(self, texts: pa.Array, langs: pa.Array, seed: int):
-        t = Texts(texts, lower=True)
-        gap, first = _GAP[t.bytes], t.starts_doc
-        begins, ends = ~gap, ~gap
-        begins[1:] &= gap[:-1] | first[1:-1]
-        ends[:-1] &= gap[1:] | first[1:-1]
-        self.begin, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        self.bytes = t.bytes
-        doc = t.document_of(self.begin)
         encoded = langs.dictionary_encode()
         self.langs = encoded.dictionary.to_pylist()
-        self.lang = np.asarray(encoded.indices)[doc] if len(doc) else np.empty(0, np.int32)
         seeds = np.array([_lang_seed(x, seed) for x in self.langs], np.uint64)
-        h = mix64(t.hashes(t.prefix(), self.begin, self.end) + seeds[self.lang]) if len(doc) else np.empty(0, np.uint64)
-        self.number = np.maximum((h >> _U(1)).astype(np.int64), 1)
-        piece = np.cumsum(_END[t.bytes])
-        piece = piece[self.begin] if len(doc) else piece
-        #: the next word continues the piece
-        self.goes_on = (doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1])
+        lang_of, raw, parts, at = np.asarray(encoded.indices), [], [], 0
+        for a, b in slices(texts, HASH_BYTES):
+            t = Texts(texts.slice(a, b - a), lower=True)
+            gap, first = _GAP[t.bytes], t.starts_doc
+            begins, ends = ~gap, ~gap
+            begins[1:] &= gap[:-1] | first[1:-1]
+            ends[:-1] &= gap[1:] | first[1:-1]
+            begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+            if len(begin):
+                doc = t.document_of(begin)
+                lang = lang_of[a + doc]
+                number = np.maximum((mix64(t.hashes(t.prefix(), begin, end) + seeds[lang]) >> _U(1)).astype(np.int64), 1)
+                piece = np.cumsum(_END[t.bytes], dtype=np.int32)[begin]
+                goes_on = np.append((doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1]), False)
+                parts.append((number, lang, goes_on, begin + at, end + at))
+            raw.append(t.bytes)
+            at += len(t.bytes)
+        self.bytes = np.concatenate(raw) if raw else np.empty(0, np.uint8)
+        none = tuple(np.empty(0, d) for d in (np.int64, np.int32, bool, np.int64, np.int64))
+        self.number, self.lang, goes_on, self.begin, self.end = (np.concatenate(v) for v in zip(*(parts or [none]), strict=True))
+        self.goes_on = goes_on[:-1]
 
     def word(self, i: int) -> bytes:
         return self.bytes[self.begin[i] : self.end[i]].tobytes()
