@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import chat, collocations, exact_dedup, licenses, mixing, ngram_join, pieces, pii, quality, repeats, url_rules
+from tickloom.llm import automata, chat, collocations, exact_dedup, licenses, mixing, ngram_join, pieces, pii, quality, repeats, token_links, url_rules
 from tickloom.llm.text import table
 
 
@@ -26,6 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": pii.query,
     "op10_ngram_jaccard": ngram_join.query,
     "op11_collocations": collocations.query,
+    "op12_token_links": token_links.query,
+    "op13_repeated_passages": automata.query,
 }
 
 SQL: dict[str, str] = {
@@ -34,4 +36,5 @@ SQL: dict[str, str] = {
     "op5_source_mixing": mixing.SQL,
     "op10_ngram_jaccard": ngram_join.SQL,
     "op11_collocations": collocations.SQL,
+    "op13_repeated_passages": automata.SQL,
 }
