@@ -31,9 +31,9 @@ from tickloom.session import cut_lineage, ship_package
 
 LEAST, TOP, PERCENT = 10, 2000, 50
 #: Texts are counted in slices of about so many bytes, and their words numbered in smaller ones.
-COUNT_BYTES, HASH_BYTES = 4 << 20, 1 << 20
+COUNT_BYTES, HASH_BYTES = 2 << 20, 1 << 19
 #: Ranges per input partition; sampled documents and phrases of each that place the cuts.
-RANGES_PER_PARTITION, SAMPLE_DOCS, SAMPLE_PHRASES = 4, 2000, 256
+RANGES_PER_PARTITION, SAMPLE_DOCS, SAMPLE_PHRASES = 8, 2000, 64
 
 _U = np.uint64
 _END = np.zeros(256, bool)
