@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.grams import Texts, combine, mix64, slices
 from tickloom.llm.text import SPACE_CHARS, or_empty, table
+from tickloom.session import cut_lineage
 
 #: The symbols that n_symbols counts, and the limits of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -188,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     sample = F.broadcast(draw(0).unionByName(draw(1)))  # at most 2 * per_class rows
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).alias("fold")
     texts = docs.select("doc_id", "text").join(sample, "doc_id").select("good", fold, or_empty("text").alias("text"))
-    features = texts.mapInArrow(_features, "good int, fold int, buckets binary, shares binary")
+    # written first: all tasks read the texts, and only the bounded features meet in one
+    features = cut_lineage(texts.mapInArrow(_features, "good int, fold int, buckets binary, shares binary"))
     found = features.coalesce(1).mapInArrow(_train, "weights binary, bias double, slope double, offset double").take(1)
     if not found:
         return None
