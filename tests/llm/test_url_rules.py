@@ -1,3 +1,6 @@
+import itertools
+import math
+
 from pyspark.sql import functions as F
 
 from tickloom.llm import url_rules as U
@@ -83,3 +86,55 @@ def test_a_bad_host_is_mined_at_any_size(spark):
         urls = [f"http://{'pills' if i < 30 else f'h{i % 97}'}.net/p{i}" for i in range(n)]
         labels = spark.createDataFrame([(i, int(i >= 30), 0) for i in range(n)], LABELS)
         assert [(r["tokens"], r["confidence"]) for r in U.mine_rules(pages(spark, urls), labels).collect()] == [(["h:pills"], 1.0)]
+
+
+def test_mining_equals_brute_force(spark):
+    """Rules of the planted pages, by counting all sets of the tokens that stand on enough bad pages."""
+    p, labels = planted(spark)
+    bad = {r["doc_id"]: r["quality"] == 0 or r["toxic"] == 1 for r in labels.collect()}
+    tokens = {r["page_id"]: set(r["t"]) for r in p.select("page_id", U.url_tokens(F.col("url")).alias("t")).collect()}
+    where: dict[frozenset, list[str]] = {}
+    for t in set().union(*tokens.values()):
+        on = frozenset(i for i, x in tokens.items() if t in x)
+        if sum(bad[i] for i in on) >= U.MIN_BAD:
+            where.setdefault(on, []).append(t)
+    items, base, found = {min(v): on for on, v in where.items()}, sum(bad.values()) / len(bad), {}
+    for size in range(1, len(items) + 1):
+        for chosen in itertools.combinations(sorted(items), size):
+            on = frozenset.intersection(*(items[t] for t in chosen))
+            hits = sum(bad[i] for i in on)
+            if hits < U.MIN_BAD or hits / len(on) < max(0.6, 1.5 * base):
+                continue
+            share, n, z = hits / len(on), len(on), U.Z
+            low = (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            if low > base:
+                found[chosen] = share
+    want = {k: v for k, v in found.items() if not any(set(x) < set(k) and c >= v for x, c in found.items())}
+    got = {tuple(r["tokens"]): r["confidence"] for r in U.mine_rules(p, labels).collect()}
+    assert got == want and got
+
+
+def test_planted_combination_among_64000_pages(spark):
+    """A bad combination is mined from the sample too, and all pages that hold it are blocked."""
+    n = 64_000
+    url = F.concat(
+        F.lit("http://h"), F.col("id") % 89, F.when(F.col("id") % 40 == 0, ".pills").otherwise(".shop"),
+        F.when(F.col("id") % 3 == 0, ".cheap").otherwise(".good"), F.lit(".net/p"), F.col("id"),
+    )
+    rows = spark.range(n).select(F.col("id").alias("page_id"), url.alias("url"), F.lit("").alias("html"))
+    spam = (F.col("id") % 120 == 0).cast("int")
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (1 - spam).alias("quality"), F.lit(0).alias("toxic"))
+    for most in (U.MOST_LABELLED, 16_000):
+        rules = U.mine_rules(rows, labels, most_labelled=most)
+        assert [r["tokens"] for r in rules.collect()] == [["h:cheap", "h:pills"]]
+        blocked = {r["page_id"] for r in U.judge(rows, labels, most_labelled=most).where("verdict = 'block'").collect()}
+        assert blocked == set(range(0, n, 120))
+
+
+def test_very_long_url_and_equal_confidence(spark):
+    long = "http://h.net/" + "a/" * 500_000
+    got = U.judge(pages(spark, [long, None, long]), spark.createDataFrame([], LABELS)).collect()
+    assert sorted((r["page_id"], len(r["path"])) for r in got) == [(0, 1_000_001), (1, 0), (2, 1_000_001)]
+    urls = [f"http://{'pills' if i % 2 else 'casino'}.net/p{i}" if i < 60 else f"http://ok{i}.net/" for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i >= 60), 0) for i in range(300)], LABELS)
+    assert sorted(r["tokens"] for r in U.mine_rules(pages(spark, urls), labels).collect()) == [["h:casino"], ["h:pills"]]

@@ -33,6 +33,10 @@ LISTED = (
 #: A mined rule holds on at least so many bad pages, and its confidence is above the base rate by so many standard errors.
 MIN_BAD, Z = 20, 3.0
 
+#: Rules are mined from about so many labelled URLs (a sample by hash where there are more), which bounds the item sets
+#: that the learner collects: an item stands on MIN_BAD of them at least.
+MOST_LABELLED = 200_000
+
 #: Mined rules up to this many postings go to every executor; beyond, postings and tokens meet in a shuffle.
 BROADCAST_POSTINGS = 50_000
 
@@ -74,8 +78,9 @@ def lower_bound(hits: Column, share: Column, z: float) -> Column:
 
 
 def mine_rules(
-    pages: DataFrame, labels: DataFrame, min_bad: int = MIN_BAD, min_confidence: float = 0.6, min_lift: float = 1.5, z: float = Z
-) -> DataFrame:
+    pages: DataFrame, labels: DataFrame, min_bad: int = MIN_BAD, min_confidence: float = 0.6, min_lift: float = 1.5, z: float = Z,
+    most_labelled: int = MOST_LABELLED,
+) -> DataFrame:
     """rule (id), tokens, support, confidence: URL token combinations that mark bad pages.
 
     A page is bad if its label has quality 0 or toxic 1; a page with several labels counts once, as bad if one is.
@@ -83,16 +88,17 @@ def mine_rules(
     item, so a long URL that repeats can not blow the item sets up; the smallest token stands for them. A rule holds on
     min_bad bad pages or more, at any number of labelled pages, and the lower bound of its confidence (z standard errors)
     lies above the share of bad pages. A rule whose token subset has a rule of at least its confidence is dropped.
-    Support and lift are shares of all labelled pages.
+    Support and lift are shares of all labelled pages mined. Of more than most_labelled labelled URLs a sample by hash is
+    mined, so the learner's item sets are bounded at any size of the labels.
     """
     bad = F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int"))
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(bad.alias("bad"))
     urls = pages.select(F.col("page_id").alias("doc_id"), "url").dropDuplicates(["doc_id", "url"])
-    rows = cut_lineage(
-        urls.join(known, "doc_id").select(
-            F.xxhash64("doc_id", "url").alias("page"), "bad", F.explode_outer(url_tokens(F.col("url"))).alias("token")
-        )
-    )
+    labelled = cut_lineage(urls.join(known, "doc_id").select(F.xxhash64("doc_id", "url").alias("page"), "url", "bad"))
+    parts = 1 << 30
+    share = most_labelled / max(labelled.count(), most_labelled)
+    mined = labelled.where(F.pmod(F.xxhash64("page"), F.lit(parts)) < int(share * parts))
+    rows = cut_lineage(mined.select("page", "bad", F.explode_outer(url_tokens(F.col("url"))).alias("token")))
     total = rows.select(F.count_distinct("page").alias("n"), F.count_distinct(F.when(F.col("bad") == 1, F.col("page"))).alias("bad")).first()
     tokens = rows.where("token IS NOT NULL").groupBy("token").agg(
         F.count(F.lit(1)).alias("n"), F.sum("bad").alias("marked"), F.bit_xor("page").alias("x"), F.bit_xor(F.xxhash64("page")).alias("y")
