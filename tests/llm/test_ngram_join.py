@@ -112,3 +112,12 @@ def test_repeated_ids_stay_or_go_by_their_own_texts(spark):
     rows = [(1, text), (5, text + " end"), (5, clean), (6, pair), (6, pair + " end"), (7, "x y"), (7, "x y")]
     kept = sorted((r["doc_id"], r["text"]) for r in J.keep_one_of_group(docs_of(spark, rows)).collect())
     assert [(i, t.removesuffix(" end")) for i, t in kept] == [(1, text), (5, clean), (6, pair), (7, "x y")]
+
+
+def test_columns_of_any_name_come_through(spark):
+    text = " ".join(f"t{i}" for i in range(40))
+    docs = docs_of(spark, [(1, text), (2, text + " end"), (3, "other")])
+    docs = docs.withColumns({"_row": F.lit("x"), "ROW": F.lit("y"), "given": F.lit("z"), "keep": F.lit(1), "id": F.lit(2), "a.b": F.lit("dot")})
+    kept = J.keep_one_of_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["_row"], r["ROW"], r["given"], r["a.b"]) for r in kept.collect()) == [(1, "x", "y", "z", "dot"), (3, "x", "y", "z", "dot")]

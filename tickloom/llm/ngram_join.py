@@ -331,16 +331,17 @@ def keep_one_of_group(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns: the row with the smallest id.
 
     Rows are told apart by a number of their own, so rows that repeat an id stay or go by their own texts. Rows with a
-    null id all stay.
+    null id all stay. Columns of any name come through: the row travels as one struct beside its number.
     """
-    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))  # written, so that the numbers hold
-    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
-    ids = rows.select("_row", F.col("doc_id").cast("long").alias("_id")).where("_id IS NOT NULL")
-    known = cut_lineage(groups.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row"))
-    keepers = known.groupBy("component_id").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    keepers = cut_lineage(keepers.where("_n > 1").select("component_id", "_keep"))  # written, as in near_duplicates
-    gone = known.join(keepers, "component_id").where("_row <> _keep").select("_row")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    given = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given")
+    rows = cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"), given))  # written, so that the numbers hold
+    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "given.text"))
+    ids = rows.select("row", F.col("given.doc_id").cast("long").alias("id")).where("id IS NOT NULL")
+    known = cut_lineage(groups.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row"))
+    keepers = known.groupBy("component_id").agg(F.min(F.struct("id", "row"))["row"].alias("keep"), F.count(F.lit(1)).alias("n"))
+    keepers = cut_lineage(keepers.where("n > 1").select("component_id", "keep"))  # written, as in near_duplicates
+    gone = known.join(keepers, "component_id").where("row <> keep").select("row")
+    return rows.join(gone, "row", "left_anti").select("given.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
