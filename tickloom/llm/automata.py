@@ -242,11 +242,11 @@ def _cut_windows(window: int):
 def _of_hot(segments: DataFrame, window: int, parts: int) -> DataFrame:
     """Spans of segments with hot anchors."""
     named = cut_lineage(segments.mapInArrow(_windows(window), "w1 long, w2 long, h1 long, h2 long, begin int, n int"))
-    again = named.groupBy("w1", "w2").agg(F.sum("n").alias("_times")).where("_times > 1").select("w1", "w2")
+    again = cut_lineage(named.groupBy("w1", "w2").agg(F.sum("n").alias("_times")).where("_times > 1").select("w1", "w2"))
     kept = cut_lineage(named.join(again, ["w1", "w2"]).select("w1", "w2", "h1", "h2", "begin").distinct())
     lists = kept.groupBy("h1", "h2").agg(F.collect_list("begin").alias("at"))
     texts = segments.join(lists, ["h1", "h2"]).select("words", "n", "at").mapInArrow(_cut_windows(window), "key long, words binary, n int")
-    told = texts.repartition(parts, "key").mapInArrow(_shards(window), _SPANS).select(F.col("h1").alias("w1"), F.col("h2").alias("w2"))
+    told = cut_lineage(texts.repartition(parts, "key").mapInArrow(_shards(window), _SPANS).select(F.col("h1").alias("w1"), F.col("h2").alias("w2")))
     return kept.join(told, ["w1", "w2"]).select("h1", "h2", "begin", (F.col("begin") + window).alias("end"))
 
 
@@ -267,7 +267,8 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     """
     parts = 4 * max(1, docs.rdd.getNumPartitions())
     runs = cut_lineage(docs.mapInArrow(_runs(window, gram), "doc_id long, key long, first int, n int"))
-    again = runs.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("key")
+    # written, as below: a join of two written tables is one that adaptive execution splits where an anchor is hot
+    again = cut_lineage(runs.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("key"))
     chosen = cut_lineage(runs.join(again, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "n")).alias("runs")))
     texts = docs.join(chosen, "doc_id").select("doc_id", "text", "runs")
     segments = cut_lineage(texts.mapInArrow(_segments(window), _SEGMENTS))
