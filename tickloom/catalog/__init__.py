@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("features_cat", "data_cat", "backtest_cat", "flow_cat", "risk_cat", "learning_cat", "streaming_cat", "sources_cat")
+MODULES = ("features_cat", "data_cat", "backtest_cat", "flow_cat", "risk_cat", "learning_cat", "streaming_cat", "trading_cat", "sources_cat")
 
 
 def collect(attr: str) -> dict:

@@ -307,6 +307,41 @@ t AS (SELECT *, CASE WHEN -daily_pnl / 1000000 >= 0.03 THEN 'daily_loss_limit_br
 )
 
 
+# --- open positions at every order; closed trades are held for one to nine days
+def _held(spark, d):
+    closed = F.when(F.col("status") == "CLOSED", F.date_add("date", (F.col("order_ref") % 9 + 1).cast("int")))
+    return journal(spark, d).withColumn("pnl", F.col("pnl") / 40).withColumn("exit_date", closed)
+
+
+def _counts(spark, d):
+    held = cut_lineage(_held(spark, d))
+    order = ["order_ref", "entry_price"]
+    state = rk.risk_state(held.where("exit_date IS NOT NULL"), "symbol", "exit_date", order)
+    halts = state.groupBy("symbol", F.col("exit_date").alias("date")).agg(F.bool_or("halted").alias("halted"))
+    # only the first two years' trades are still open at their end, so the count moves around the limit
+    some = held.where("exit_date IS NOT NULL OR date < DATE '1995-03-01'")
+    out = rk.open_position_counts(some, "symbol", "date", "exit_date", order, rk.RiskLimits(max_open_positions=8), halts)
+    return out.select("symbol", "date", "order_ref", "entry_price", "open_before", "halted", "can_open")
+
+
+QUERIES["open_position_counts"] = lambda spark, d: rounded(_counts(spark, d), 3)
+SQL["open_position_counts"] = final(
+    _J + """,
+h AS (SELECT *, pnl / 40 AS p, CASE WHEN status = 'CLOSED' THEN date + CAST(order_ref % 9 + 1 AS INTEGER) END AS exit_date FROM j),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY exit_date, order_ref, entry_price) AS rn FROM h WHERE exit_date IS NOT NULL),
+a AS (SELECT *, sum(p) OVER (PARTITION BY symbol, exit_date ORDER BY rn ROWS UNBOUNDED PRECEDING) AS daily_pnl,
+  1000000 + sum(p) OVER (PARTITION BY symbol ORDER BY rn ROWS UNBOUNDED PRECEDING) AS capital FROM k),
+b AS (SELECT *, greatest(1000000.0, max(capital) OVER (PARTITION BY symbol ORDER BY rn ROWS UNBOUNDED PRECEDING)) AS peak FROM a),
+t AS (SELECT symbol, exit_date AS date, bool_or(-daily_pnl / 1000000 >= 0.03 OR (peak - capital) / peak >= 0.12) AS halted FROM b GROUP BY ALL),
+o AS (SELECT * FROM h WHERE exit_date IS NOT NULL OR date < DATE '1995-03-01'),
+e AS (SELECT symbol, date AS happened, 1 AS step, order_ref, entry_price FROM o UNION ALL SELECT symbol, exit_date, -1, order_ref, entry_price FROM o WHERE exit_date IS NOT NULL),
+s AS (SELECT *, sum(step) OVER (PARTITION BY symbol ORDER BY happened, step, order_ref, entry_price ROWS UNBOUNDED PRECEDING) - 1 AS open_before FROM e)""",
+    """SELECT s.symbol, s.happened AS date, order_ref, entry_price, CAST(open_before AS BIGINT) AS open_before, coalesce(halted, false) AS halted,
+  NOT coalesce(halted, false) AND open_before < 8 AS can_open FROM s LEFT JOIN t ON t.symbol = s.symbol AND t.date = s.happened WHERE step = 1""",
+    "symbol, date, order_ref, open_before, halted, can_open", 3,
+)
+
+
 def _exits(spark, d):
     opened = tb.trades(spark, d).filter(F.col("status") == "OPEN")
     latest = tb.bars_daily(spark, d).groupBy("symbol").agg(F.max_by("close", "date").alias("close"))

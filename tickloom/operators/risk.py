@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.costs import DEFAULT_COSTS, CostParams, net_pnl
 from tickloom.functions.scalar import clip, div, kelly_fraction, round_to_tick
-from tickloom.plans.ordered import UNB
+from tickloom.plans.ordered import UNB, running_sum
 
 
 @dataclass(frozen=True)
@@ -118,6 +118,27 @@ def risk_state(trades: DataFrame, account: str, day: str, order: list[str], lim:
     return d.drop("_high", "_open", "_peak", "_i", "_trip")
 
 
+def open_position_counts(
+    trades: DataFrame, account: str, entry: str, exit_: str, order: list[str], lim: RiskLimits = RiskLimits(), halts: DataFrame | None = None
+) -> DataFrame:
+    """Every order with the positions open just before it, and whether the account may open one more.
+
+    A sweep over the ends of the holding intervals: an entry counts 1, an exit takes 1 away, and on one day exits come
+    first. The running sum is scanned by (account, day), so an account of any length is no single task. `halts`
+    (account, day, halted) stops entries of a day. A trade without an exit stays open.
+    """
+    ends = trades.select("*", F.explode(F.array(F.lit(-1), F.lit(1))).alias("_step"))
+    ends = ends.withColumn("_at", F.when(F.col("_step") == 1, F.col(entry)).otherwise(F.col(exit_))).where("_at IS NOT NULL")
+    swept = running_sum(ends, [account], "_at", ["_step", *order], "_step", "_open").where("_step = 1")
+    d = swept.withColumn("open_before", (F.col("_open") - 1).cast("long"))
+    if halts is None:
+        d = d.withColumn("halted", F.lit(False))
+    else:
+        h = halts.select(F.col(account), F.col(entry), "halted")
+        d = d.join(h, [account, entry], "left").withColumn("halted", F.coalesce("halted", F.lit(False)))
+    return d.withColumn("can_open", ~F.col("halted") & (F.col("open_before") < lim.max_open_positions)).drop("_step", "_at", "_open")
+
+
 def evaluate_exits(
     positions: DataFrame, latest: DataFrame, profit_target: float = 0.015, stop_loss: float = 0.008, halted: Column | bool = False,
     costs: CostParams = DEFAULT_COSTS,
