@@ -60,6 +60,12 @@ SQL["reaction_events"] = final(
   volume_z, CAST(idx AS INTEGER) AS idx, CASE WHEN excess_return_z > 0 THEN 'positive' ELSE 'negative' END AS direction FROM evs""",
     "symbol, date, idx, direction",
 )
+QUERIES["event_split_counts"] = lambda spark, d: ev.event_counts(cut_lineage(_excess(spark, d)))
+SQL["event_split_counts"] = (
+    "WITH " + _SCORE + """,
+hit AS (SELECT *, coalesce(abs(excess_return_z) > 2.5 AND volume_z > 2, false) AS hit, idx >= floor(n * 0.7::DOUBLE) AS late FROM f WHERE n >= 150)
+SELECT symbol, min(date) FILTER (late) AS split_date, count(*) FILTER (hit AND NOT late) AS train_events, count(*) FILTER (hit AND late) AS oos_events FROM hit GROUP BY symbol"""
+)
 
 
 def _event_trades(spark, d):

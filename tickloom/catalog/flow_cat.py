@@ -8,6 +8,9 @@ from tickloom.catalog.backtest_cat import log_scaled, log_scaled_sql
 from tickloom.catalog.sqltext import BENCH, DAILY, LINE, OI, REPORT_KEYS, final, pnl_sql, report_sql, t_p_sql
 from tickloom.functions.scalar import rounded
 from tickloom.operators import flow as fl
+from tickloom.operators import learning as ml
+from tickloom.operators.significance import spearman_ic
+from tickloom.session import cut_lineage
 from tickloom.sources import tables as tb
 
 QUERIES, SQL = {}, {}
@@ -125,3 +128,49 @@ rx AS (SELECT feature, segment, rank() OVER (PARTITION BY feature, segment ORDER
     "symbol, feature, segment, n",
 )
 QUERIES["flow_ic_scan"] = lambda spark, d: rounded(fl.ic_scan(_index(spark, d), wide(spark, d)))
+
+
+# --- all instruments as one account, and features over calendar folds
+def _pooled_rules(spark, d):
+    """The rule at a threshold of 0.9 against the rule at 0.8, over two months: over all years both p-values are zero."""
+    t = fl.flow_trades(tb.bars_daily(spark, d), wide(spark, d), thresholds=(0.8, 0.9))
+    t = cut_lineage(t.where("exit_date BETWEEN DATE '1998-01-01' AND DATE '1998-02-28'"))
+    part = lambda q: t.where(F.col("quantile_threshold") == q)
+    return ml.pooled_comparison(part(0.9), part(0.8))
+
+
+QUERIES["flow_pooled_comparison"] = lambda spark, d: rounded(_pooled_rules(spark, d))
+SQL["flow_pooled_comparison"] = final(
+    _rule_sql((0.8, 0.9)) + """,
+ag AS (SELECT quantile_threshold AS q, count(*) AS n, avg(pnl_pct) AS m, stddev_samp(pnl_pct) AS s, date_diff('day', min(exit_date), max(exit_date)) AS span FROM tr
+  WHERE exit_date BETWEEN DATE '1998-01-01' AND DATE '1998-02-28' GROUP BY 1),
+ra AS (SELECT *, CASE WHEN span > 0 THEN n / (span / 365.25) ELSE CAST(n AS DOUBLE) END AS tpy, m * 100 / nullif(s * 100 / sqrt(n), 0) AS t, CAST(n - 1 AS DOUBLE) AS df FROM ag),
+pp AS MATERIALIZED (SELECT *, CASE WHEN coalesce(s, 0) > 1e-12 THEN m / s * sqrt(tpy) ELSE 0.0 END AS sharpe, """ + t_p_sql("t", "df") + """ AS p FROM ra),
+ab AS (SELECT a.n AS an, a.m AS am, a.tpy AS atp, a.sharpe AS ash, a.p AS ap, b.n AS bn, b.m AS bm, b.tpy AS btp, b.sharpe AS bsh, b.p AS bp FROM pp a, pp b WHERE a.q > 0.85 AND b.q < 0.85)""",
+    """SELECT 'all' AS portfolio, ash AS model_oos_sharpe, ap AS model_p_value, bsh AS benchmark_oos_sharpe, bp AS benchmark_p_value, ash > bsh AS beats_sharpe,
+  ap <= bp AS beats_significance, CASE WHEN ash > bsh AND ap <= bp THEN 'beats_benchmark' ELSE 'does_not_beat_benchmark' END AS verdict,
+  an AS model_total_trades, am AS model_avg_trade_return_pct, atp AS model_trades_per_year, bn AS benchmark_total_trades, bm AS benchmark_avg_trade_return_pct,
+  btp AS benchmark_trades_per_year FROM ab""",
+    "portfolio, beats_sharpe, beats_significance, verdict, model_total_trades, benchmark_total_trades", recursive=True,
+)
+
+
+def _recurring(spark, d):
+    """Per instrument the features with a rank correlation of 0.08 or more in a third of its rows, over the thirds."""
+    rows = fl.labelled_flow(tb.bars_daily(spark, d), wide(spark, d), lookbacks=(1, 5)).where("value IS NOT NULL AND label IS NOT NULL")
+    rows = rows.withColumn("fold", F.floor(F.col("row") * 3 / F.col("n_rows")).cast("int"))
+    ic = spearman_ic(cut_lineage(rows), ["symbol", "feature", "fold"], "value", "label")
+    return ml.feature_recurrence(ic.where("abs(ic) >= 0.08"), ["symbol"]).withColumn("folds", F.concat_ws(",", F.transform("folds", lambda x: x.cast("string"))))
+
+
+QUERIES["flow_feature_recurrence"] = _recurring
+SQL["flow_feature_recurrence"] = "WITH " + DAILY + ",\n" + _WIDE + ",\nfeat AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT date, '{c}_diff{k}' AS feature, {c} - lag({c}, {k}) OVER (ORDER BY date) AS value FROM wide" for c in _COLS for k in (1, 5)
+) + """),
+lb AS (SELECT symbol, date, lead(close, 6) OVER w / lead(close, 1) OVER w - 1 AS label, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars
+  WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+sg AS (SELECT symbol, feature, value, label, CAST(floor(i * 3 / n) AS INTEGER) AS fold FROM lb JOIN feat USING (date) WHERE value IS NOT NULL AND label IS NOT NULL),
+rx AS (SELECT symbol, feature, fold, rank() OVER (PARTITION BY symbol, feature, fold ORDER BY value) + (count(*) OVER (PARTITION BY symbol, feature, fold, value) - 1) / 2.0 AS a,
+  rank() OVER (PARTITION BY symbol, feature, fold ORDER BY label) + (count(*) OVER (PARTITION BY symbol, feature, fold, label) - 1) / 2.0 AS b FROM sg),
+ic AS (SELECT symbol, feature, fold, CASE WHEN count(*) >= 10 THEN corr(a, b) END AS ic FROM rx GROUP BY ALL)
+SELECT symbol, feature, count(*) AS n_folds, string_agg(CAST(fold AS VARCHAR), ',' ORDER BY fold) AS folds, count(*) >= 2 AS recurring FROM ic WHERE abs(ic) >= 0.08 GROUP BY ALL"""

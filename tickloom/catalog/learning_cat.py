@@ -74,6 +74,17 @@ QUERIES["training_split"] = lambda spark, d: _split_matrix(spark, d)[0].groupBy(
 )
 
 
+def _regime_matrix(spark, d):
+    """Rows per split and regime of the training matrix, with thresholds from its train rows."""
+    rows, _ = _split_matrix(spark, d)
+    rows = cut_lineage(rows)
+    labelled = rg.label_regimes(rows, rg.regime_thresholds(rows.filter("split = 'train'")))
+    return labelled.groupBy("split", "regime").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("n_up"))
+
+
+QUERIES["training_regimes"] = _regime_matrix
+
+
 def _baseline(spark, d):
     """The model fitted on train rows with early stopping, all rows scored, and the feature names."""
     rows, cols = _split_matrix(spark, d)
@@ -195,3 +206,32 @@ def _listing(spark, d):
 
 
 QUERIES["listing_return_model"] = _listing
+
+
+# --- the ensemble over a score table: sub-model probabilities of order lines, split by order number
+_PART = "CASE l_orderkey % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'es' WHEN 2 THEN 'meta' ELSE 'oos' END"
+
+
+def _score_rows(spark, d):
+    rows = _sub(spark, d).dropDuplicates(["l_orderkey", "l_linenumber"]).withColumn("split", F.expr(_PART))
+    return cut_lineage(ml.score_table(rows, {m: m for m in MODELS}, ["l_orderkey", "l_linenumber"]))
+
+
+def _voted(spark, d):
+    out = ml.ensemble(_score_rows(spark, d), MODELS, ["l_orderkey", "l_linenumber"]).scored
+    return out.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("p_weighted").alias("p_weighted"), F.avg("p_vote").alias("p_vote"), F.avg("p_mean").alias("p_mean"),
+        F.avg(((F.col("p_weighted") > 0.5).cast("int") == F.col("label")).cast("double")).alias("accuracy"),
+    )
+
+
+_UNIQUE = "(SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_orderkey) = 1)"
+QUERIES["ensemble_over_scores"] = lambda spark, d: rounded(_voted(spark, d))
+SQL["ensemble_over_scores"] = final(
+    _SUB.replace("FROM lineitem)", f"FROM {_UNIQUE})").replace("FROM s)", "FROM s WHERE l_orderkey % 4 = 1)", 1) + f""",
+w AS (SELECT model, acc / sum(acc) OVER (PARTITION BY g) * g AS weight FROM b),
+o AS (SELECT *, (SELECT sum(weight * CASE model WHEN 'lstm' THEN lstm WHEN 'xgboost' THEN xgboost WHEN 'qkernel' THEN qkernel ELSE vqc END) / sum(weight) FROM w) AS pw,
+  ((lstm > 0.5)::INT + (xgboost > 0.5)::INT + (qkernel > 0.5)::INT + (vqc > 0.5)::INT) / 4.0 AS pv, (lstm + xgboost + qkernel + vqc) / 4 AS pm FROM s WHERE l_orderkey % 4 = 3)""",
+    "SELECT 'oos' AS split, count(*) AS n, avg(pw) AS p_weighted, avg(pv) AS p_vote, avg(pm) AS p_mean, avg(((pw > 0.5)::INT = label)::INT) AS accuracy FROM o",
+    "split, n",
+)

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.costs import CONFIGURED_COSTS, DEFAULT_COSTS, round_trip_cost_pct
-from tickloom.operators.genes import Evolver
+from tickloom.artifacts import Store, score_by_regime
+from tickloom.operators.genes import Evolver, apply_genes
 from tickloom.operators import events, factors, features, flow, learning, orb, pairs, quality, regimes, reports, risk, savings, significance
 from tickloom.session import cut_lineage
 from tickloom.streaming import stateful
@@ -49,15 +50,51 @@ def swing_test(t: Frames) -> Frames:
     }
 
 
-def train(t: Frames) -> Frames:
-    """Swing model, per-symbol reports, liquidity and the capital allocation."""
-    out = swing_test(t)
-    out["allocation"] = risk.allocate(
-        out["reports"].select("symbol", "total_trades", "expectancy", "sharpe_ratio"),
-        quality.liquidity_daily(t["bars"]),
-        quality.listing_continuity(t["bars"]).filter("is_continuous"),
-        CAPITAL,
+SUB_MODELS = ("xgboost", "linear", "regime")
+
+
+def train(t: Frames, store: Store | None = None, evolver: Evolver | None = None) -> Frames:
+    """General, linear and per-regime models, derived features, the ensemble over them, reports, and the allocation.
+
+    Derived features are searched on train rows and tested on early-stopping rows. Regimes are labelled with thresholds
+    of train rows. Each model scores the rows after train once, into one table, which the ensemble is fitted on. With a
+    store all of it is published as one version.
+    """
+    rows, cols = model_rows(t["bars"])
+    rows = learning.with_split(rows)
+    part = lambda d, name: d.filter(F.col("split") == name)
+    found = (evolver or Evolver(generations=3)).validated(part(rows, "train"), part(rows, "es"), cols, n_permutations=1000)
+    recipes = [g for g, _, _ in found]
+    rows = apply_genes(rows, recipes)
+    rows = cut_lineage(regimes.label_regimes(rows, regimes.regime_thresholds(part(rows, "train"))))
+    cols = [*cols, *[g.label for g in recipes]]
+    models = {"general": learning.fit_split(rows, cols), "linear": learning.fit_split(rows, cols, learning.linear())}
+    by_regime = learning.regime_models(part(rows, "train"), cols)
+    later = rows.filter("split <> 'train'")
+    scored = score_by_regime({"general": models["general"]} | by_regime, later, cols, learning.score)
+    scored = cut_lineage(learning.score(models["linear"], scored.withColumnRenamed("p_up", "p_regime"), cols).withColumnRenamed("p_up", "p_linear"))
+    scores = cut_lineage(learning.score_table(scored, {"xgboost": "p_general", "linear": "p_linear", "regime": "p_regime"}))
+    voted = learning.ensemble(scores, SUB_MODELS)
+    oos = part(scored, "oos").join(cut_lineage(voted.scored.select("symbol", "date", F.col("p_weighted").alias("p_up"))), ["symbol", "date"])
+    trades = cut_lineage(learning.oos_trades(oos, delivery=True))
+    out = {
+        "recipes": t["bars"].sparkSession.createDataFrame([(g.label, g.op, g.a, g.b, float(ic), float(p)) for g, ic, p in found], "gene string, op string, a string, b string, ic double, p_value double"),
+        "scores": scores,
+        "weights": voted.weights,
+        "metrics": learning.classification_metrics(scores, ["model", "split"]),
+        "reports": reports.performance_report(trades, ["symbol"], "date", ["action"], CAPITAL),
+    }
+    out["allocation"] = cut_lineage(
+        risk.allocate(
+            out["reports"].select("symbol", "total_trades", "expectancy", "sharpe_ratio"),
+            quality.liquidity_daily(t["bars"]),
+            quality.listing_continuity(t["bars"]).filter("is_continuous"),
+            CAPITAL,
+        )
     )
+    if store:
+        kept = {k: out[k] for k in ("recipes", "weights", "allocation")}
+        store.publish("swing", models | {f"regime:{r}": m for r, m in by_regime.items()} | {"stacker": voted.stacker}, kept, {"columns": cols})
     return out
 
 
@@ -101,9 +138,11 @@ def pairs_trading_test(t: Frames, session: str = "session_date") -> Frames:
 
 
 def event_drift_test(t: Frames) -> Frames:
-    trades = cut_lineage(events.event_trades(events.excess_returns(t["bars"], t["benchmark"]), capital=CAPITAL))
+    excess = cut_lineage(events.excess_returns(t["bars"], t["benchmark"]))
+    trades = cut_lineage(events.event_trades(excess, capital=CAPITAL))
     keys = ["window", "direction"]
     return {
+        "event_counts": events.event_counts(excess),
         "continuation": events.continuation_summary(trades, keys),
         "reports": reports.performance_report(trades, keys, "exit_date", ["symbol", "idx"], CAPITAL),
     }
@@ -167,15 +206,21 @@ def flow_stress_test(t: Frames) -> Frames:
     }
 
 
+def _model_frames(run: learning.FlowRun) -> Frames:
+    recurrence = learning.feature_recurrence(learning.recipe_features(run.recipes))
+    return {"comparison": learning.flow_comparison(run), "recipes": run.recipes, "recurrence": recurrence, "folds": run.folds}
+
+
 def flow_classical_ml_test(t: Frames, evolver: Evolver | None = None) -> Frames:
     """One instrument: its rows are searched for derived features as one series."""
-    search = evolver or Evolver(pooled=False)
-    return {"comparison": learning.flow_ml_backtest(t["index_bars"], cut_lineage(flow.net_positioning(t["oi"])), evolver=search)}
+    run = learning.flow_ml_run(t["index_bars"], cut_lineage(flow.net_positioning(t["oi"])), evolver=evolver or Evolver(pooled=False))
+    return _model_frames(run)
 
 
 def flow_pooled_ml_test(t: Frames, evolver: Evolver | None = None) -> Frames:
     """All instruments pooled, the derived features searched and tested over the pool."""
-    return {"comparison": learning.flow_ml_backtest(t["bars"], cut_lineage(flow.net_positioning(t["oi"])), evolver=evolver or Evolver())}
+    run = learning.flow_ml_run(t["bars"], cut_lineage(flow.net_positioning(t["oi"])), evolver=evolver or Evolver())
+    return _model_frames(run) | {"pooled": learning.pooled_comparison(run.trades, run.rule_trades)}
 
 
 def flow_recalibration_check(t: Frames, current: str = "dii_net_index_future_diff5") -> Frames:

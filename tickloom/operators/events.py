@@ -109,6 +109,20 @@ def event_trades(
     ).drop("drift")
 
 
+def event_counts(df: DataFrame, train_frac: float = 0.7, min_rows: int = 150, **thresholds) -> DataFrame:
+    """Per symbol how many events stand before and from its split date on; symbols without events have zeros.
+
+    The split date is that of row int(n * train_frac). Symbols with fewer than min_rows rows are left out.
+    """
+    every = Window.partitionBy("symbol")
+    d = reaction_scores(df, thresholds.pop("baseline", 60)).withColumn("_n", F.count(F.lit(1)).over(every)).where(F.col("_n") >= min_rows)
+    late = F.col("idx") >= F.floor(F.col("_n") * train_frac)
+    hit = is_event(**thresholds)
+    return d.groupBy("symbol").agg(
+        F.min(F.when(late, F.col("date"))).alias("split_date"), F.count_if(hit & ~late).alias("train_events"), F.count_if(hit & late).alias("oos_events")
+    )
+
+
 def continuation_summary(trades: DataFrame, keys: Sequence[str], family_alpha: float = 0.05, n_tests: int = 6) -> DataFrame:
     """t-test of pooled continuation per cohort with a Bonferroni verdict."""
     out = one_sample_t(trades, keys, "continuation_pct", with_median=True)

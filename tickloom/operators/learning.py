@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import replace
+from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -20,7 +21,7 @@ from tickloom.functions.costs import DEFAULT_COSTS, CostParams, net_pnl
 from tickloom.functions.scalar import div, is_frozen, round_to_tick
 from tickloom.operators.flow import LOOKBACKS, compare_to_benchmark, concurrent_trades, flow_trades
 from tickloom.operators.genes import Evolver, apply_genes
-from tickloom.operators.reports import performance_report
+from tickloom.operators.reports import performance_report, pooled_report
 from tickloom.operators.significance import one_sample_t
 from tickloom.session import cut_lineage
 
@@ -65,12 +66,32 @@ def class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(counts.withColumn("weight", total / (F.col("_c") * 2.0)).drop("_c"), label)
 
 
-def gbt(max_iter: int = 20, max_depth: int = 4, seed: int = 42) -> GBTClassifier:
+# Fixed defaults of the boosted model: rounds at most, depth, step.
+ROUNDS, DEPTH, STEP = 500, 5, 0.02
+
+
+def gbt(max_iter: int = ROUNDS, max_depth: int = DEPTH, step: float = STEP, seed: int = 42, tolerance: float = 0.0) -> GBTClassifier:
+    """Boosted trees that stop at the first round in which the held rows' error does not fall by `tolerance` of itself."""
     return GBTClassifier(
-        labelCol="label", featuresCol="features", weightCol="weight", maxIter=max_iter, maxDepth=max_depth, stepSize=0.1, seed=seed
+        labelCol="label", featuresCol="features", weightCol="weight", maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed, validationTol=tolerance
     )
 
 
+def hold_out(train: DataFrame, share: float = 0.15, date: str = "date") -> tuple[DataFrame, DataFrame]:
+    """Earlier and later rows: the last `share` of the dates decide when boosting stops."""
+    (cut,) = date_cuts(train, [1 - share], date)
+    return train.filter(F.col(date) < F.lit(cut)), train.filter(F.col(date) >= F.lit(cut))
+
+
+def fit_stopping(train: DataFrame, cols: Sequence[str], estimator=None) -> PipelineModel:
+    """Fitted on the earlier rows, stopped by the later ones; all rows are used where the estimator does not stop early."""
+    est = estimator or gbt()
+    if not est.hasParam("validationIndicatorCol"):
+        return fit_classifier(train, cols, est)
+    early, late = hold_out(train.filter(F.col("label").isNotNull()))
+    return fit_classifier(early, cols, est, late)
+
+
 def fit_classifier(train: DataFrame, cols: Sequence[str], estimator=None, early_stop: DataFrame | None = None) -> PipelineModel:
     """Scaling fitted on `train` alone, then the estimator; boosted trees stop when `early_stop` rows no longer improve."""
     ready = lambda d: fill(d.filter(F.col("label").isNotNull()), cols).withColumn("label", F.col("label").cast("double"))
@@ -153,7 +174,7 @@ def time_series_cv(df: DataFrame, cols: Sequence[str], n_splits: int = 5, estima
     for i, start in enumerate(cuts):
         end = cuts[i + 1] if i + 1 < len(cuts) else None
         test = df.filter((F.col("date") >= F.lit(start)) & (F.lit(True) if end is None else F.col("date") < F.lit(end)))
-        model = fit_classifier(df.filter(F.col("date") < F.lit(start)), cols, estimator)
+        model = fit_stopping(df.filter(F.col("date") < F.lit(start)), cols, estimator)
         m = classification_metrics(score(model, test, cols)).withColumn("fold", F.lit(i))
         out = m if out is None else out.unionByName(m)
     return out
@@ -164,7 +185,7 @@ def regime_models(train: DataFrame, cols: Sequence[str], min_rows: int = 100, es
     labelled = train.filter(F.col("label").isNotNull())
     counts = {r["regime"]: r["n"] for r in labelled.groupBy("regime").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {
-        r: fit_classifier(labelled.filter(F.col("regime") == r), cols, estimator) for r, n in sorted(counts.items()) if n >= min_rows
+        r: fit_stopping(labelled.filter(F.col("regime") == r), cols, estimator) for r, n in sorted(counts.items()) if n >= min_rows
     }
 
 
@@ -179,7 +200,7 @@ def walk_forward(
         test = df.filter(F.col("date") >= F.lit(start))
         if i + 1 < len(cuts):
             test = test.filter(F.col("date") < F.lit(cuts[i + 1]))
-        model = fit_classifier(df.filter(F.col("date") < F.lit(start)), cols, estimator)
+        model = fit_stopping(df.filter(F.col("date") < F.lit(start)), cols, estimator)
         scored = score(model, test, cols)
         t = (score_oos or (lambda s: oos_trades(s, delivery, capital=capital)))(scored)
         t = t.select("symbol", "date", "pnl", "pnl_pct", "confidence").withColumn("fold", F.lit(i))
@@ -213,17 +234,30 @@ def flow_model_frame(prices: DataFrame, wide: DataFrame, hold: int = 5, lookback
     return rows.join(panel, "date", "left"), cols
 
 
-def flow_ml_backtest(
+class FlowRun(NamedTuple):
+    """A nested walk-forward run: its trades, the rule's over the same days, the recipes each fold trusted, and its folds."""
+
+    trades: DataFrame
+    rule_trades: DataFrame
+    recipes: DataFrame
+    folds: DataFrame
+
+
+_RECIPES = "fold int, gene string, op string, a string, b string, validation_ic double, p_value double"
+_FOLDS = "fold int, start_date date, end_date date, n_train long, n_genes int, threshold double, n_signals long"
+
+
+def flow_ml_run(
     prices: DataFrame, wide: DataFrame, n_folds: int = 3, hold: int = 5, max_positions: int = 5, quantile: float = 0.8,
     capital: float = 1_000_000.0, evolver: Evolver | None = None, classifier=None, inner_val: float = 0.25, c_inverse_reg: float = 0.1,
     n_permutations: int = 1000,
-) -> DataFrame:
-    """Nested walk-forward classifier, pooled over the given instruments, against the flow rule on the same window.
+) -> FlowRun:
+    """Nested walk-forward classifier, pooled over the given instruments, and the flow rule on the same window.
 
     Folds are equal ranges of the longest instrument's calendar after the warm-up. A fold's model, genes and decision threshold use
-    earlier rows only; the threshold is the exact quantile over all training rows. Per symbol the result has the
-    model's report, the rule's report and the adoption verdict.
+    earlier rows only; the threshold is the exact quantile over all training rows.
     """
+    spark = prices.sparkSession
     df, cols = flow_model_frame(prices, wide, hold)
     df = cut_lineage(df)
     longest = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "symbol").limit(1)
@@ -234,22 +268,25 @@ def flow_ml_backtest(
     if span < n_folds * 20:
         raise ValueError(f"{span} eligible days, need {n_folds * 20}")
     bounds = [start + span * i // n_folds for i in range(n_folds + 1)]
-    entries = None
+    entries, recipes, folds = None, [], []
     for i in range(n_folds):
         a, b = days[bounds[i]], days[bounds[i + 1]] if bounds[i + 1] < len(days) else None
         train = df.filter((F.col("date") < F.lit(a)) & F.col("future_return").isNotNull())
         fold = df.filter((F.col("date") >= F.lit(a)) & (F.lit(True) if b is None else F.col("date") < F.lit(b)))
-        genes = []
+        found = []
         if evolver:
             cut = int(bounds[i] * (1 - inner_val))
             inner = train.filter(F.col("date") < F.lit(days[max(cut - hold, 0)]))  # embargo of one holding period
             val = train.filter(F.col("date") >= F.lit(days[cut]))
             search = replace(evolver, seed=evolver.seed + i)  # every fold searches anew
-            genes = [g for g, _, _ in search.validated(inner, val, cols, n_permutations=n_permutations, block_size=hold)]
+            found = search.validated(inner, val, cols, n_permutations=n_permutations, block_size=hold)
+        genes = [g for g, _, _ in found]
+        recipes += [(i, g.label, g.op, g.a, g.b, float(ic), float(p)) for g, ic, p in found]
         names = [*cols, *[g.label for g in genes]]
         train = apply_genes(train, genes).withColumn("label", (F.col("future_return") > 0).cast("double"))
         n, ups = train.agg(F.count(F.lit(1)), F.sum("label")).first()
         if not n or ups in (0, n):
+            folds.append((i, a, b, n, len(genes), None, 0))
             continue  # one class only
         clf = classifier or LogisticRegression(
             labelCol="label", featuresCol="features", weightCol="weight", elasticNetParam=1.0, regParam=1.0 / (c_inverse_reg * n), standardization=False, maxIter=30
@@ -257,23 +294,59 @@ def flow_ml_backtest(
         model = fit_classifier(train, names, clf)
         threshold = score(model, train, names).select(F.percentile("p_up", F.lit(quantile))).scalar()
         scored = score(model, apply_genes(fold, genes), names)
-        e = scored.select("symbol", "date", (F.col("p_up") >= threshold).alias("enter"))
+        e = cut_lineage(scored.select("symbol", "date", (F.col("p_up") >= threshold).alias("enter")))
+        folds.append((i, a, b, n, len(genes), threshold, e.where("enter").count()))
         entries = e if entries is None else entries.unionByName(e)
     base = df.select("symbol", "date", "close")
     none = base.limit(0).select("symbol", "date", F.lit(False).alias("enter"))  # every fold may have had one class only
     signals = base.join(none if entries is None else entries, ["symbol", "date"], "left")
     trades = cut_lineage(concurrent_trades(signals, ["symbol"], "enter", hold, (hold,), max_positions, capital))
     rule = cut_lineage(flow_trades(prices, wide, holds=(hold,), thresholds=(quantile,), max_positions=max_positions, capital=capital, start_date=days[start]))
+    return FlowRun(trades, rule, spark.createDataFrame(recipes, _RECIPES), spark.createDataFrame(folds, _FOLDS))
+
+
+def flow_comparison(run: FlowRun, capital: float = 1_000_000.0) -> DataFrame:
+    """Per symbol the model's report, the rule's report and the adoption verdict."""
 
     def tested(t: DataFrame) -> DataFrame:
         rep = performance_report(t, ["symbol"], "exit_date", ["entry_date"], capital, event_time_sharpe=True)
         return rep.join(one_sample_t(t, ["symbol"], "pnl_pct").select("symbol", "p_value"), "symbol")
 
-    model_rep = tested(trades)
-    verdict = compare_to_benchmark(model_rep, tested(rule), ["symbol"])
+    model_rep = tested(run.trades)
+    verdict = compare_to_benchmark(model_rep, tested(run.rule_trades), ["symbol"])
     return verdict.join(model_rep.select("symbol", "total_trades", "win_rate", "avg_trade_return_pct"), "symbol", "left")
 
 
+def pooled_comparison(trades: DataFrame, rule_trades: DataFrame) -> DataFrame:
+    """One row: all instruments' model trades as one account against all rule trades, with the adoption verdict."""
+    one = lambda t: t.withColumn("portfolio", F.lit("all"))
+
+    def tested(t: DataFrame) -> DataFrame:
+        return pooled_report(one(t), ["portfolio"]).join(one_sample_t(one(t), ["portfolio"], "pnl_pct").select("portfolio", "p_value"), "portfolio")
+
+    a, b = tested(trades), tested(rule_trades)
+    out = compare_to_benchmark(a, b, ["portfolio"])
+    counts = lambda d, p: d.select("portfolio", *[F.col(c).alias(f"{p}_{c}") for c in ("total_trades", "avg_trade_return_pct", "trades_per_year")])
+    return out.join(counts(a, "model"), "portfolio", "left").join(counts(b, "benchmark"), "portfolio", "left")
+
+
+def feature_recurrence(chosen: DataFrame, keys: Sequence[str] = (), fold: str = "fold", feature: str = "feature") -> DataFrame:
+    """In how many folds a feature was chosen, and whether it recurs: a real signal does not appear once and vanish."""
+    once = chosen.where(F.col(feature).isNotNull()).select(*keys, fold, feature).distinct()
+    n = F.count(F.lit(1))
+    return once.groupBy(*keys, feature).agg(n.alias("n_folds"), F.array_sort(F.collect_list(fold)).alias("folds"), (n >= 2).alias("recurring"))
+
+
+def recipe_features(recipes: DataFrame) -> DataFrame:
+    """(fold, feature): the raw columns of the recipes that a fold trusted."""
+    return recipes.select("fold", F.explode(F.array("a", "b")).alias("feature")).where("feature IS NOT NULL")
+
+
+def flow_ml_backtest(prices: DataFrame, wide: DataFrame, capital: float = 1_000_000.0, **options) -> DataFrame:
+    """The comparison per symbol of a run with these options of `flow_ml_run`."""
+    return flow_comparison(flow_ml_run(prices, wide, capital=capital, **options), capital)
+
+
 # --------------------------------------------------------------------------------------------------
 # Ensembles and the listing-return model
 
@@ -301,6 +374,43 @@ def combine(df: DataFrame, models: Sequence[str], weights: dict[str, float] | No
     return {"p_weighted": weighted, "p_vote": votes, "p_mean": mean, "signal_confidence": F.greatest(weighted, 1 - weighted)}
 
 
+def linear(max_iter: int = 50, reg: float = 0.01) -> LogisticRegression:
+    return LogisticRegression(labelCol="label", featuresCol="features", weightCol="weight", maxIter=max_iter, regParam=reg)
+
+
+def score_table(rows: DataFrame, probabilities: dict[str, Column | str], key: Sequence[str] = ("symbol", "date")) -> DataFrame:
+    """One row per (row, model) with p_up, label and split: what ensembles are fitted on, stored once for all of them."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (F.col(c) if isinstance(c, str) else c).alias("p_up")) for m, c in probabilities.items()]))
+    return rows.select(*key, "split", "label", each.alias("_s")).select(*key, "split", "label", "_s.*")
+
+
+def side_by_side(scores: DataFrame, models: Sequence[str], key: Sequence[str] = ("symbol", "date")) -> DataFrame:
+    """A score table with one column per model; a model that did not score a row counts as undecided."""
+    wide = scores.groupBy(*key, "split", "label").agg(*[F.max(F.when(F.col("model") == m, F.col("p_up"))).alias(m) for m in models])
+    return wide.na.fill(0.5, list(models))
+
+
+class Ensemble(NamedTuple):
+    """Weights per model from the early-stopping rows, a stacker fitted on the meta rows, and the traded rows' probabilities."""
+
+    weights: DataFrame
+    stacker: PipelineModel
+    scored: DataFrame
+
+
+def ensemble(scores: DataFrame, models: Sequence[str], key: Sequence[str] = ("symbol", "date")) -> Ensemble:
+    """Every step reads rows that no earlier one has fitted: models on train, weights on es, stacker on meta, trades on oos."""
+    wide = cut_lineage(side_by_side(scores, models, key))
+    part = lambda name: wide.where((F.col("split") == name) & F.col("label").isNotNull())
+    weights = cut_lineage(ensemble_weights(part("es"), models))
+    shares = {r["model"]: r["weight"] for r in weights.collect()}  # one row per model
+    stack = stacker(part("meta"), models)
+    out = stack.transform(wide.where("split = 'oos'")).withColumn("p_stacked", vector_to_array("probability")[1])
+    columns = combine(out, models, shares)
+    kept = [*key, "split", "label", *models, "p_stacked"]
+    return Ensemble(weights, stack, out.withColumns(columns).select(*kept, *columns))
+
+
 def stacker(train: DataFrame, models: Sequence[str]):
     """Logistic regression on the sub-models' probabilities; a missing one counts as 0.5."""
     data = train.na.fill(0.5, list(models)).withColumn("label", F.col("label").cast("double"))

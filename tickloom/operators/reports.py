@@ -179,3 +179,19 @@ def confidence_histogram(df: DataFrame, keys: Sequence[str], n_bins: int = 20, c
     b = F.least(F.width_bucket(F.col(confidence), F.col("_lo"), F.col("_hi"), F.lit(n_bins)), F.lit(n_bins))
     b = F.when(F.col("_lo") == F.col("_hi"), F.lit(1)).otherwise(b).cast("int")
     return df.join(rng, keys).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pooled_report(trades: DataFrame, keys: Sequence[str] = (), date: str = "exit_date") -> DataFrame:
+    """Trades of many instruments as one account of trade returns: count, mean and the Sharpe ratio per trade, annualised.
+
+    Trades a year are counted over the span from the first to the last exit of all instruments. One aggregate, so
+    overlapping trades of any number of instruments need no order.
+    """
+    span = F.datediff(F.max(date), F.min(date))
+    n = F.count("pnl_pct")
+    per_year = F.when(span > 0, n / (span / 365.25)).otherwise(n.cast("double"))
+    dev = F.coalesce(F.stddev_samp("pnl_pct"), F.lit(0.0))
+    sharpe = F.when(dev > 1e-12, F.avg("pnl_pct") / dev * F.sqrt(per_year)).otherwise(0.0)
+    return trades.where("pnl_pct IS NOT NULL").groupBy(*keys).agg(
+        n.alias("total_trades"), F.avg("pnl_pct").alias("avg_trade_return_pct"), per_year.alias("trades_per_year"), sharpe.alias("sharpe_ratio")
+    )
