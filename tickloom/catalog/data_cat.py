@@ -274,11 +274,16 @@ SELECT symbol, CAST(least(floor(20 * (confidence - lo) / (hi - lo)) + 1, 20) AS
 # --- sets and latest rows
 QUERIES["all_trading_dates"] = lambda spark, d: tb.bars_daily(spark, d).select("date").union(tb.benchmark_daily(spark, d).select("date")).distinct()
 SQL["all_trading_dates"] = "WITH " + LINE + " SELECT DISTINCT date FROM line"
-QUERIES["missing_symbol_dates"] = lambda spark, d: (
-    tb.bars_daily(spark, d).groupBy("symbol").agg(F.collect_set("date").alias("have"), F.lit(1).alias("k"))
-    .join(tb.benchmark_daily(spark, d).agg(F.collect_set("date").alias("calendar"), F.lit(1).alias("k")), "k")
-    .select("symbol", F.explode(F.array_except("calendar", "have")).alias("date"))
-)
+def _missing_dates(spark, d):
+    """Symbols by calendar years: a symbol meets the dates of each year and drops those that it has."""
+    bars = tb.bars_daily(spark, d).select("symbol", "date")
+    years = tb.benchmark_daily(spark, d).select("date", F.year("date").alias("y"))
+    ys = sorted(r["y"] for r in years.select("y").distinct().collect())  # a number per calendar year
+    want = bars.select("symbol").distinct().select("symbol", F.explode(F.lit(ys)).alias("y")).join(years, "y").select("symbol", "date")
+    return want.join(bars, ["symbol", "date"], "left_anti")
+
+
+QUERIES["missing_symbol_dates"] = _missing_dates
 SQL["missing_symbol_dates"] = (
     "WITH " + DAILY + " SELECT s.symbol, c.date FROM (SELECT DISTINCT symbol FROM bars) s, (SELECT DISTINCT date FROM line) c EXCEPT SELECT symbol, date FROM bars"
 )

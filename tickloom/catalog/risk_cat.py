@@ -30,6 +30,25 @@ SQL["pair_regressions"] = final(
   regr_intercept(ln(a.close), ln(b.close)) AS intercept FROM bars a JOIN bars b ON a.date = b.date AND a.symbol < b.symbol
   GROUP BY 1, 2 HAVING count(*) >= 200""", "symbol_a, symbol_b, n_rows",
 )
+# unit-root t value of every pair's residuals at two lags: least squares of the residual's step on its level and two steps
+QUERIES["pair_unit_root"] = lambda spark, d: rounded(
+    pr.pair_statistics(tb.bars_daily(spark, d), lags=2).select("symbol_a", "symbol_b", "n_rows", F.col("p_value").alias("tau"))
+)
+SQL["pair_unit_root"] = final(
+    DAILY + """,
+pa AS MATERIALIZED (SELECT a.symbol AS sa, b.symbol AS sb, a.date, ln(a.close) AS x, ln(b.close) AS y FROM bars a JOIN bars b ON a.date = b.date AND a.symbol < b.symbol),
+rg AS (SELECT sa, sb, count(*) AS n, regr_slope(x, y) AS m, regr_intercept(x, y) AS c FROM pa GROUP BY ALL HAVING count(*) >= 200),
+rs AS (SELECT sa, sb, n, date, x - c - m * y AS e FROM pa JOIN rg USING (sa, sb)),
+l0 AS (SELECT *, lag(e, 1) OVER w AS e1, lag(e, 2) OVER w AS e2, lag(e, 3) OVER w AS e3 FROM rs WINDOW w AS (PARTITION BY sa, sb ORDER BY date)),
+q AS (SELECT sa, sb, n, e - e1 AS d0, e1 AS u, e1 - e2 AS v, e2 - e3 AS w FROM l0 WHERE e3 IS NOT NULL),
+k AS (SELECT sa, sb, n, count(*) AS t, sum(u * u) AS a, sum(u * v) AS b, sum(u * w) AS c, sum(v * v) AS d, sum(v * w) AS e, sum(w * w) AS f,
+  sum(u * d0) AS p, sum(v * d0) AS q, sum(w * d0) AS r, sum(d0 * d0) AS s FROM q GROUP BY ALL),
+i AS (SELECT *, d * f - e * e AS i11, c * e - b * f AS i12, b * e - c * d AS i13, a * f - c * c AS i22, b * c - a * e AS i23, a * d - b * b AS i33,
+  a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM k),
+z AS (SELECT *, (i11 * p + i12 * q + i13 * r) / det AS b1, (i12 * p + i22 * q + i23 * r) / det AS b2, (i13 * p + i23 * q + i33 * r) / det AS b3 FROM i)""",
+    "SELECT sa AS symbol_a, sb AS symbol_b, n AS n_rows, b1 / sqrt((s - b1 * p - b2 * q - b3 * r) / (t - 3) * i11 / det) AS tau FROM z",
+    "symbol_a, symbol_b, n_rows",
+)
 
 
 def _selected(spark, d):
@@ -182,7 +201,7 @@ SQL["regime_indicators"] = final(_IND, "SELECT date, v20, v50, atr, vix, candida
 
 def _regimes(spark, d):
     c = _indicators(spark, d).withColumn("candidate", rg.match_regime())
-    return rg.with_hysteresis(c, ["symbol"], "date", "candidate", 2)
+    return rg.with_hysteresis(c, ["symbol"], "date", "candidate")
 
 
 QUERIES["regime_hysteresis"] = lambda spark, d: _regimes(spark, d).select(
@@ -196,9 +215,9 @@ h(rn, date, candidate, regime, pending, cnt) AS (
   SELECT rn, date, candidate, candidate, NULL::VARCHAR, 0 FROM n WHERE rn = 1
   UNION ALL
   SELECT n.rn, n.date, n.candidate,
-    CASE WHEN n.candidate <> h.regime AND (CASE WHEN n.candidate IS NOT DISTINCT FROM h.pending THEN h.cnt + 1 ELSE 1 END) >= 2 THEN n.candidate ELSE h.regime END,
-    CASE WHEN n.candidate = h.regime OR (CASE WHEN n.candidate IS NOT DISTINCT FROM h.pending THEN h.cnt + 1 ELSE 1 END) >= 2 THEN NULL ELSE n.candidate END,
-    CASE WHEN n.candidate = h.regime OR (CASE WHEN n.candidate IS NOT DISTINCT FROM h.pending THEN h.cnt + 1 ELSE 1 END) >= 2 THEN 0
+    CASE WHEN n.candidate <> h.regime AND (CASE WHEN n.candidate IS NOT DISTINCT FROM h.pending THEN h.cnt + 1 ELSE 1 END) >= 5 THEN n.candidate ELSE h.regime END,
+    CASE WHEN n.candidate = h.regime OR (CASE WHEN n.candidate IS NOT DISTINCT FROM h.pending THEN h.cnt + 1 ELSE 1 END) >= 5 THEN NULL ELSE n.candidate END,
+    CASE WHEN n.candidate = h.regime OR (CASE WHEN n.candidate IS NOT DISTINCT FROM h.pending THEN h.cnt + 1 ELSE 1 END) >= 5 THEN 0
       WHEN n.candidate IS NOT DISTINCT FROM h.pending THEN h.cnt + 1 ELSE 1 END
   FROM h JOIN n ON n.rn = h.rn + 1)
 SELECT date, candidate, regime, CASE regime WHEN 'bull_trend' THEN 1.0::DOUBLE WHEN 'bear_trend' THEN 0.5 WHEN 'high_volatility' THEN 0.4 ELSE 0.7 END AS multiplier,

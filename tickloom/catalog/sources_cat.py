@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.catalog.data_cat import _ACT, _J, corporate_actions, journal
-from tickloom.catalog.sqltext import DAILY, LINE, BENCH, final
+from tickloom.catalog.sqltext import BENCH, DAILY, LINE, OI, final
 from tickloom.functions.scalar import rounded
+from tickloom.artifacts import Store
+from tickloom.catalog.flow_cat import _WIDE
+from tickloom.operators import flow as fl
 from tickloom.operators import journal as jn
-from tickloom.session import scratch_path
+from tickloom.session import cut_lineage, scratch_path
 from tickloom.sources import files as fs
+from tickloom.sources import ingest as ig
 from tickloom.sources import tables as tb
 
 QUERIES, SQL = {}, {}
@@ -89,3 +93,59 @@ SQL["journal_append_and_update"] = final(
     """SELECT id, symbol, entry_price, pnl, CASE WHEN pnl IS NULL THEN 'OPEN' ELSE 'CLOSED' END AS status, CASE WHEN pnl IS NULL THEN 1 ELSE 2 END::BIGINT AS version FROM q""",
     "id, symbol, status, version",
 )
+
+
+# --- participant files: landed by day, corrected later, and taken into a table month by month
+def _oi_lines(oi):
+    """Lines of the day files, with weekends moved out of the way of the reader's weekday rule, a header and a total."""
+    zero = [F.lit("0")] * 6
+    fields = [F.concat(F.col("client_type"), F.lit(" ")), *[F.format_string("%.4f", c) for c in fs.OI_COLUMNS[1:9]], *zero]
+    body = oi.select(F.date_format("date", "yyyyMMdd").alias("day"), F.concat_ws(",", *fields).alias("value"))
+    head = oi.select(F.date_format("date", "yyyyMMdd").alias("day")).distinct()
+    extra = head.select("day", F.explode(F.array(F.lit("Client Type," + "x," * 13 + "x"), F.lit("TOTAL," + "1," * 13 + "1"))).alias("value"))
+    return body.unionByName(extra)
+
+
+def _land(df, path):
+    df.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").text(path)
+
+
+def _oi_files(spark, d):
+    path = _folder(spark)
+    _land(_oi_lines(tb.participant_oi(spark, d)), path)
+    return rounded(fs.participant_oi_files(spark, path, "1996-01-01", "2000-12-31").select("date", *fs.OI_COLUMNS[:9]), 3)
+
+
+QUERIES["source_participant_oi_csv"] = _oi_files
+SQL["source_participant_oi_csv"] = final(
+    OI, f"SELECT date, {', '.join(fs.OI_COLUMNS[:9])} FROM oi WHERE isodow(date) < 6 AND date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'", "date, client_type", 3
+)
+
+
+def _ingested(spark, d):
+    """Three runs: the first years with one month wrong; the rest and that month's corrected files; nothing new."""
+    folder, table = _folder(spark), _folder(spark)
+    store = Store(spark, _folder(spark))
+    oi = cut_lineage(tb.participant_oi(spark, d))
+    wrong = F.date_format("date", "yyyy-MM") == "1996-05"
+    bad = oi.withColumn("future_index_long", F.when(wrong, F.col("future_index_long") * 2).otherwise(F.col("future_index_long")))
+    read = lambda s, paths: fs.participant_oi_files(s, list(paths))
+    runs = []
+    for part in (bad.where("date < DATE '1998-07-01'"), oi.where(wrong | (F.col("date") >= "1998-07-01")), None):
+        if part is not None:
+            _land(_oi_lines(part), folder)
+        runs.append(ig.ingest(spark, folder, table, store, "oi", read).count())
+    return ig.stored(spark, table), runs
+
+
+def _landed_positioning(spark, d):
+    rows, (_, second, third) = _ingested(spark, d)
+    wide = fl.net_positioning(rows.select("date", *fs.OI_COLUMNS[:9]))
+    return rounded(wide.withColumn("rewritten_later", F.lit(second).cast("long")).withColumn("rewritten_again", F.lit(third).cast("long")), 2)
+
+
+QUERIES["landed_positioning"] = _landed_positioning
+SQL["landed_positioning"] = final(
+    _WIDE, """SELECT w.*, (SELECT count(DISTINCT strftime(date, '%Y-%m')) FROM oi WHERE isodow(date) < 6 AND (strftime(date, '%Y-%m') = '1996-05' OR date >= DATE '1998-07-01')) AS rewritten_later,
+  0::BIGINT AS rewritten_again FROM wide w WHERE isodow(date) < 6""", "date, rewritten_later, rewritten_again", 2,
+)

@@ -43,7 +43,6 @@ SQL["stream_session_vwap"] = final(
     "SELECT * FROM b WHERE session_date + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     "symbol, session_date, n_ticks",
 )
-_DAYS = "symbol string, date date, close double, signal boolean"
 
 
 def _signal_days(spark, d):
@@ -51,15 +50,8 @@ def _signal_days(spark, d):
     return s.select("symbol", "date", "close", F.coalesce(F.col("rank") >= 0.8, F.lit(False)).alias("signal"))
 
 
-def landed(df, schema):
-    """Write rows as landed files, oldest first, and stream them back a few files per micro-batch."""
-    files = cut_lineage(df.repartitionByRange(4, "date").sortWithinPartitions("date"))
-    folder = files.inputFiles()[0].rsplit("/", 1)[0]
-    return runner.file_stream(df.sparkSession, folder, schema)
-
-
 def _paper(spark, d):
-    return rounded(runner.drain(ss.stream_tranches(landed(_signal_days(spark, d), _DAYS))))
+    return rounded(runner.drain_in_turn(_signal_days(spark, d), "date", ss.stream_tranches))
 
 
 _PAPER_SQL = final(
@@ -82,8 +74,7 @@ SQL["paper_tranches_batch"] = _PAPER_SQL
 
 def _stream_regimes(spark, d):
     c = _indicators(spark, d).select("symbol", "date", rg.match_regime().alias("candidate"))
-    s = landed(c, "symbol string, date date, candidate string")
-    return runner.drain(ss.stream_regimes(s, 2)).select("date", "candidate", "regime")
+    return runner.drain_in_turn(c, "date", ss.stream_regimes).select("date", "candidate", "regime")
 
 
 QUERIES["stream_regimes"] = _stream_regimes

@@ -79,6 +79,8 @@ def concurrent_trades(
     capital: float = 1_000_000.0,
     costs: CostParams = DEFAULT_COSTS,
     count_on_entry_day: bool = False,
+    grid: Column | None = None,
+    candidate: Column | None = None,
 ) -> DataFrame:
     """Long trades: in at the close after the signal row, out `hold` rows later, at most `max_positions` at once.
 
@@ -87,6 +89,9 @@ def concurrent_trades(
     folded on its own; the fold reads only signal rows and looks back exactly `max_positions` taken signals.
     With `count_on_entry_day` capacity is counted on the execution day, as a daily stepping account does, so a
     position that closes that day has already freed its slot: the look-back is one row shorter.
+
+    A `grid` (array of structs) makes each of its points a key: the price rows are scanned once, and only rows that are a
+    `candidate` at some point are exploded.
     """
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("date")
@@ -97,6 +102,10 @@ def concurrent_trades(
     for h in holds:
         out = F.when(hold == h, F.col(f"_x{h}")).otherwise(out)
     ok = F.coalesce(F.col(entry_ok) if isinstance(entry_ok, str) else entry_ok, F.lit(False))
+    if grid is not None:
+        d = (d if candidate is None else d.filter(candidate)).select("*", F.inline(grid))
+        keys += [c for c in d.columns if c not in prices.columns and c not in ("idx", "_e", *exits)]
+        w = Window.partitionBy(*keys).orderBy("date")
     d = d.filter(ok).withColumns({"_hold": hold, "_x": out})
     far = F.coalesce(F.col("idx") - F.lag("idx").over(w) > F.col("_hold"), F.lit(True))
     d = d.withColumn("_run", F.sum(far.cast("int")).over(w))
@@ -173,11 +182,10 @@ def flow_trades(
             for h in holds
         ]
     )
-    s = s.select("*", F.inline(grid))
     return concurrent_trades(
-        s, ["symbol", "quantile_threshold", "hold_days"], F.col("rank") >= F.col("quantile_threshold"),
-        F.col("hold_days"), holds, max_positions, capital, costs,
-    )
+        s, ["symbol"], F.col("rank") >= F.col("quantile_threshold"), F.col("hold_days"), holds, max_positions, capital, costs,
+        grid=grid, candidate=F.col("rank") >= float(min(thresholds)),
+    )
 
 
 def split_by_order(trades: DataFrame, keys: Sequence[str], train_frac: float = 0.7) -> DataFrame:

@@ -67,36 +67,122 @@ def unit_root_tau(resid: np.ndarray) -> float:
     return float(beta[0] / math.sqrt(s2 * inv[0, 0]))
 
 
-def _pair_row(a: np.ndarray, b: np.ndarray, with_p: bool) -> tuple[float, float, float | None]:
-    bm, am = b.mean(), a.mean()
-    sbb = float(((b - bm) ** 2).sum())
-    if sbb == 0.0:
-        return math.nan, math.nan, None
-    slope = float(((a - am) * (b - bm)).sum()) / sbb
-    icpt = float(am - slope * bm)
-    if not with_p:
-        return slope, icpt, None
-    resid = a - icpt - slope * b
-    total = float(((a - am) ** 2).sum())
-    if total == 0.0 or float(resid @ resid) / total < 100 * math.sqrt(np.finfo(float).eps):
-        return slope, icpt, 0.0
-    try:
-        return slope, icpt, cointegration_p(unit_root_tau(resid))
-    except np.linalg.LinAlgError:
-        return slope, icpt, None
-
-
-def pair_statistics(prices: DataFrame, tiles: int = 4, with_p: bool = True, min_rows: int = MIN_ROWS) -> DataFrame:
+def unit_root_taus(resid: np.ndarray, lags: int | None = None) -> np.ndarray:
+    """`unit_root_tau` of every row of a matrix of equally long residuals at once; NaN where a system is singular.
+
+    Cross products of all rows are formed for the longest model, and every lag order is one batch of small systems.
+    With `lags` given that order is used, without selection.
+    """
+    count, n = resid.shape
+    longest = max(min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 1), 0) if lags is None else lags
+    step = np.diff(resid, axis=1)
+
+    def design(p: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = step.shape[1] - p
+        cols = [resid[rows, p : p + m]] + [step[rows, p - k : p - k + m] for k in range(1, p + 1)]
+        return np.stack(cols, axis=2), step[rows, p:]
+
+    every = np.arange(count)
+    x, y = design(longest, every)
+    xx, xy, yy, m = np.einsum("pti,ptj->pij", x, x), np.einsum("pti,pt->pi", x, y), np.einsum("pt,pt->p", y, y), y.shape[1]
+
+    def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        try:
+            return np.linalg.solve(a, b[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:  # at least one is singular: one by one
+            out = np.full(b.shape, np.nan)
+            for i in range(len(b)):
+                try:
+                    out[i] = np.linalg.solve(a[i], b[i])
+                except np.linalg.LinAlgError:
+                    continue
+            return out
+
+    chosen = np.full(count, longest)
+    if lags is None:
+        best = np.full(count, math.inf)
+        for k in range(1, longest + 2):
+            beta = solve(xx[:, :k, :k], xy[:, :k])
+            ssr = np.maximum(yy - np.einsum("pi,pi->p", beta, xy[:, :k]), 1e-300)
+            aic = m * (np.log(2 * math.pi * ssr / m) + 1) + 2 * k
+            better = aic < best
+            best[better], chosen[better] = aic[better], k - 1
+    tau = np.full(count, np.nan)
+    for p in np.unique(chosen):
+        rows = np.flatnonzero(chosen == p)
+        x, y = design(int(p), rows)
+        xx = np.einsum("pti,ptj->pij", x, x)
+        beta = solve(xx, np.einsum("pti,pt->pi", x, y))
+        err = y - np.einsum("pti,pi->pt", x, beta)
+        first = np.zeros(beta.shape)
+        first[:, 0] = 1.0
+        with np.errstate(invalid="ignore", divide="ignore"):
+            s2 = np.einsum("pt,pt->p", err, err) / (y.shape[1] - p - 1)
+            tau[rows] = beta[:, 0] / np.sqrt(s2 * solve(xx, first)[:, 0])
+    return tau
+
+
+#: Symbols of a tile's side; residuals of a tile are tested in batches of about so many values.
+SIDE, BATCH_VALUES = 32, 4_000_000
+
+
+def _tile_pairs(names: list[str], t: list[np.ndarray], x: list[np.ndarray], pick: np.ndarray, with_p: bool, min_rows: int, lags: int | None):
+    """Statistics of the picked pairs (rows of two indices) of a tile: slopes of all as matrix products over one calendar."""
+    calendar = np.unique(np.concatenate(t))
+    level, held = np.zeros((len(names), len(calendar))), np.zeros((len(names), len(calendar)))
+    centre = np.array([v.mean() for v in x])
+    for i, (at, v) in enumerate(zip(t, x, strict=True)):
+        where = np.searchsorted(calendar, at)
+        level[i, where], held[i, where] = v - centre[i], 1.0
+    i, j = pick.T
+    product = lambda u, v: (u @ v.T)[i, j]
+    n, sa, sb = product(held, held), product(level, held), product(held, level)
+    sab, sbb, saa = product(level, level), product(held, level**2), product(level**2, held)
+    enough = n >= min_rows
+    i, j, n, sa, sb, sab, sbb, saa = (v[enough] for v in (i, j, n, sa, sb, sab, sbb, saa))
+    var_b, var_a, cov = sbb - sb * sb / n, saa - sa * sa / n, sab - sa * sb / n
+    flat = var_b <= 1e-13 * np.maximum(sbb, 1e-300)
+    i, j, n, sa, sb, cov, var_a, var_b = (v[~flat] for v in (i, j, n, sa, sb, cov, var_a, var_b))
+    slope = cov / var_b
+    icpt = sa / n - slope * sb / n
+    p_value = np.full(len(i), np.nan)
+    if with_p and len(i):
+        # pairs with one set of common dates are tested together
+        common = [np.packbits((held[u] * held[v]).astype(bool)).tobytes() for u, v in zip(i, j, strict=True)]
+        groups: dict[bytes, list[int]] = {}
+        for k, key in enumerate(common):
+            groups.setdefault(key, []).append(k)
+        limit = 100 * math.sqrt(np.finfo(float).eps)
+        for ks in groups.values():
+            size = max(1, BATCH_VALUES // max(1, int(n[ks[0]])))
+            for at in range(0, len(ks), size):
+                part = np.array(ks[at : at + size])
+                days = np.flatnonzero(held[i[part[0]]] * held[j[part[0]]])
+                resid = level[i[part]][:, days] - icpt[part, None] - slope[part, None] * level[j[part]][:, days]
+                total = var_a[part]
+                alike = (total <= 0) | (np.einsum("pt,pt->p", resid, resid) < limit * total)
+                p_value[part[alike]] = 0.0
+                if (~alike).any():
+                    taus = unit_root_taus(resid[~alike], lags)
+                    p_value[part[~alike]] = [math.nan if math.isnan(x) else (x if lags is not None else cointegration_p(x)) for x in taus]
+    intercept = icpt + centre[i] - slope * centre[j]
+    return [(names[u], names[v], int(c), s, o, p) for u, v, c, s, o, p in zip(i, j, n, slope, intercept, p_value, strict=True)]
+
+
+def pair_statistics(prices: DataFrame, tiles: int | None = None, with_p: bool = True, min_rows: int = MIN_ROWS, lags: int | None = None) -> DataFrame:
     """One row per unordered symbol pair with enough common dates: hedge ratio, intercept and cointegration p.
 
     Every pair is an output of the operator, but no (pair, date) row is ever built. A symbol's log prices travel
-    as one calendar-length array; symbols are hashed to `tiles` groups and each unordered pair of groups is one
-    task that holds two groups of series. A series is thus shipped `tiles` times instead of once per partner, and
-    a task's memory is two groups of calendars; choose tiles ~ symbols / (series that fit a task).
+    as one calendar-length array; symbols are dealt to groups of about SIDE by hash and each unordered pair of groups is
+    one task that holds two groups of series, so tasks grow in number with the universe and not in size. Inside a tile
+    all slopes are matrix products over one calendar, and unit-root tests are batches. With `lags` the p_value column
+    holds the test's t value at that lag order instead.
     """
     p = prices.filter(F.col("close") > 0).select(
         "symbol", F.unix_micros(F.col("date").cast("timestamp")).alias("t"), F.ln("close").alias("x")
     )
+    if tiles is None:
+        tiles = max(4, -(-prices.select("symbol").distinct().count() // SIDE))
     series = (
         p.groupBy("symbol")
         .agg(F.array_sort(F.collect_list(F.struct("t", "x"))).alias("s"))
@@ -108,31 +194,22 @@ def pair_statistics(prices: DataFrame, tiles: int = 4, with_p: bool = True, min_
     )
 
     def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        gi, gj = key
-        rows = sorted(
-            ((s, g, np.asarray(t), np.asarray(x)) for s, g, t, x in zip(pdf["symbol"], pdf["g"], pdf["t"], pdf["x"])),
-            key=lambda r: r[0],
-        )
-        out = []
-        for i, (sa, ga, ta, xa) in enumerate(rows):
-            for sb, gb, tb_, xb in rows[i + 1 :]:
-                if {int(ga), int(gb)} != {int(gi), int(gj)}:
-                    continue
-                _, ia, ib = np.intersect1d(ta, tb_, assume_unique=True, return_indices=True)
-                if len(ia) < min_rows:
-                    continue
-                slope, icpt, pv = _pair_row(xa[ia], xb[ib], with_p)
-                if not math.isnan(slope):
-                    out.append((sa, sb, len(ia), slope, icpt, pv))
+        pdf = pdf.sort_values("symbol")
+        names, g = pdf["symbol"].tolist(), pdf["g"].to_numpy()
+        t, x = ([np.asarray(v) for v in pdf[c]] for c in ("t", "x"))
+        a, b = np.triu_indices(len(names), 1)
+        mine = (np.minimum(g[a], g[b]) == key[0]) & (np.maximum(g[a], g[b]) == key[1])
+        out = _tile_pairs(names, t, x, np.stack([a[mine], b[mine]], 1), with_p, min_rows, lags) if mine.any() else []
         cols = ["symbol_a", "symbol_b", "n_rows", "hedge_ratio", "intercept", "p_value"]
-        return pd.DataFrame(out, columns=cols).astype({"p_value": "float64"})
+        return pd.DataFrame(out, columns=cols).astype({"n_rows": "int64", "hedge_ratio": "float64", "intercept": "float64", "p_value": "float64"})
 
     schema = "symbol_a string, symbol_b string, n_rows long, hedge_ratio double, intercept double, p_value double"
     ship_package()
-    return placed.groupBy("gi", "gj").applyInPandas(tile, schema)
+    found = placed.groupBy("gi", "gj").applyInPandas(tile, schema)
+    return found.withColumn("p_value", F.nullif(F.nanvl("p_value", F.lit(-1.0)), F.lit(-1.0))) if lags is None else found
 
 
-def cointegrated_pairs(prices: DataFrame, family_alpha: float = 0.05, tiles: int = 4) -> DataFrame:
+def cointegrated_pairs(prices: DataFrame, family_alpha: float = 0.05, tiles: int | None = None) -> DataFrame:
     """Pairs whose p clears the Bonferroni level over all possible pairs, best first."""
     n = prices.select(F.count_distinct("symbol")).scalar()
     alpha = F.lit(family_alpha) / F.greatest(n * (n - 1) / 2, F.lit(1))

@@ -30,9 +30,11 @@ def weekdays(df: DataFrame, date: str = "date") -> DataFrame:
 
 
 def participant_oi_files(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
-    """Day files named with yyyyMMdd: a title line, a header, one line per participant and a total that is dropped."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    day = F.try_to_timestamp(F.regexp_extract("file", r"(\d{8})", 1), F.lit("yyyyMMdd")).cast("date")
+    """Day files named with yyyyMMdd (or in folders day=yyyyMMdd): a title line, a header, one line per participant and a
+    total that is dropped."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("place"))
+    named = F.coalesce(F.nullif(F.regexp_extract("place", r"/day=(\d{8})/", 1), F.lit("")), F.regexp_extract("file", r"(\d{8})", 1))
+    day = F.try_to_timestamp(named, F.lit("yyyyMMdd")).cast("date")
     rows = lines.select(day.alias("date"), F.from_csv("value", _all_strings(OI_COLUMNS)).alias("r")).select(
         "date", F.trim("r.client_type").alias("client_type"), *[to_number(f"r.{c}").alias(c) for c in OI_COLUMNS[1:]]
     )

@@ -16,9 +16,10 @@ TICK_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STR
 
 
 def ticks(stream: DataFrame) -> DataFrame:
-    """symbol, ts, value, size, and seq: the order inside any window of up to a day as one BIGINT."""
+    """symbol, ts, value, size, and seq: the order of all ticks, by time and then id, as one number of 38 digits."""
     ts = F.col("ts").cast("timestamp")
-    seq = (F.unix_micros(ts) % 86_400_000_000) * (1 << 26) + F.pmod("event_id", F.lit(1 << 26))
+    wide = lambda c: c.cast("decimal(19,0)")
+    seq = (wide(F.unix_micros(ts)) * F.lit(10**18).cast("decimal(19,0)") * 10 + wide(F.col("event_id"))).cast("decimal(38,0)")
     size = (F.col("user_id") % 7 + 1).cast("double")
     return stream.select(ts.alias("ts"), F.col("event_type").alias("symbol"), "value", size.alias("size"), seq.alias("seq"))
 
