@@ -300,3 +300,10 @@ QUERIES["session_filter"] = lambda spark, d: (
 )
 SQL["session_filter"] = """SELECT event_type, count(*) AS n FROM events WHERE isodow(ts) < 6
   AND date_trunc('second', ts)::TIME BETWEEN TIME '09:15:00' AND TIME '15:30:00' GROUP BY event_type"""
+QUERIES["daily_summary"] = lambda spark, d: rounded(jn.daily_summary(journal(spark, d)), 3)
+SQL["daily_summary"] = final(
+    _J + """,
+g AS (SELECT date, regime, count(*) AS n, count(*) FILTER (pnl > 0) AS w, count(*) FILTER (pnl < 0) AS l, sum(pnl) AS p FROM j WHERE status = 'CLOSED' AND pnl IS NOT NULL GROUP BY ALL)""",
+    """SELECT date, CAST(sum(n) AS BIGINT) AS total_trades, CAST(sum(w) AS BIGINT) AS winning_trades, CAST(sum(l) AS BIGINT) AS losing_trades, sum(p) AS total_pnl,
+  arg_min(regime, (-n, regime)) AS regime FROM g GROUP BY date""", "date, total_trades, winning_trades, losing_trades, regime", 3,
+)

@@ -404,3 +404,20 @@ SQL["stress_worst_case"] = final(
   count(DISTINCT symbol) FILTER (NOT data_available) AS n_symbols_with_no_data FROM res""",
     "data_available, worst_symbol, worst_scenario, any_breach_daily_loss_limit, any_breach_max_drawdown, n_symbols_with_no_data",
 )
+QUERIES["stress_symbols_without_data"] = lambda spark, d: rk.symbols_without_data(rk.stress_test(tb.bars_daily(spark, d), SCENARIOS))
+SQL["stress_symbols_without_data"] = f"WITH {_ST} SELECT symbol, scenario FROM res WHERE NOT data_available"
+QUERIES["exit_targets"] = lambda spark, d: rounded(
+    tb.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice",
+        F.expr("CASE l_returnflag WHEN 'A' THEN 'swing' WHEN 'N' THEN 'intraday' END").alias("horizon"), F.col("l_extendedprice").alias("_p"),
+    ).withColumn("t", rg.horizon_targets("horizon")).select(
+        "l_orderkey", "l_linenumber", "horizon", "l_extendedprice", (F.col("_p") * (1 + F.col("t.profit_target_pct"))).alias("target"),
+        (F.col("_p") * (1 - F.col("t.stop_loss_pct"))).alias("stop"), F.col("t.trailing_stop_pct").alias("trailing_stop_pct"),
+    ), 4
+)
+SQL["exit_targets"] = final(
+    "h AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 'swing' WHEN 'N' THEN 'intraday' END AS horizon FROM lineitem)",
+    """SELECT l_orderkey, l_linenumber, horizon, l_extendedprice, l_extendedprice * (1 + CASE WHEN horizon = 'swing' THEN 0.05::DOUBLE ELSE 0.01::DOUBLE END) AS target,
+  l_extendedprice * (1 - CASE WHEN horizon = 'swing' THEN 0.03::DOUBLE ELSE 0.01::DOUBLE END) AS stop, CASE WHEN horizon = 'swing' THEN 0.02 ELSE 0.005 END AS trailing_stop_pct FROM h""",
+    "l_orderkey, l_linenumber, horizon", 4,
+)

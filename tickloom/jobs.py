@@ -19,7 +19,8 @@ from tickloom.artifacts import Store, score_by_regime
 from tickloom.operators.genes import Evolver, apply_genes
 from tickloom.operators import events, factors, features, flow, learning, orb, pairs, quality, regimes, reports, risk, savings, significance
 from tickloom.session import cut_lineage
-from tickloom.streaming import stateful
+from tickloom.sources import files
+from tickloom.streaming import stateful, trading
 
 CAPITAL = 1_000_000.0
 #: Smaller companies move against an order: 0.6 % of slippage a side.
@@ -78,7 +79,7 @@ def train(t: Frames, store: Store | None = None, evolver: Evolver | None = None)
     oos = part(scored, "oos").join(cut_lineage(voted.scored.select("symbol", "date", F.col("p_weighted").alias("p_up"))), ["symbol", "date"])
     trades = cut_lineage(learning.oos_trades(oos, delivery=True))
     out = {
-        "recipes": t["bars"].sparkSession.createDataFrame([(g.label, g.op, g.a, g.b, float(ic), float(p)) for g, ic, p in found], "gene string, op string, a string, b string, ic double, p_value double"),
+        "recipes": t["bars"].sparkSession.createDataFrame([(g.label, g.op, *(*g.sources, None)[:2], float(ic), float(p)) for g, ic, p in found], "gene string, op string, a string, b string, ic double, p_value double"),
         "scores": scores,
         "weights": voted.weights,
         "metrics": learning.classification_metrics(scores, ["model", "split"]),
@@ -223,24 +224,42 @@ def flow_pooled_ml_test(t: Frames, evolver: Evolver | None = None) -> Frames:
     return _model_frames(run) | {"pooled": learning.pooled_comparison(run.trades, run.rule_trades)}
 
 
-def flow_recalibration_check(t: Frames, current: str = "dii_net_index_future_diff5") -> Frames:
-    """IC scan, whether the live feature still passes, and the best passing candidate, with the model comparison."""
+def flow_recalibration_check(
+    t: Frames, current: str = "dii_net_index_future_diff5", evolver: Evolver | None = None, as_of: str | None = None, every_days: int = 30
+) -> Frames:
+    """IC scan, whether the live feature still passes, the best passing candidate, and whether a model beats the rule.
+
+    With `as_of` and a saved `state` the check is only made when it is due: else the one result says that it is not. The
+    models are the pooled one with derived features over `bars` and, where `index_bars` are given, the single-series one.
+    """
+    if as_of and "state" in t:
+        due = cut_lineage(files.is_due(t["state"], as_of, every_days))
+        if not due.first()["due"]:
+            return {"due": due}
     bars, wide = cut_lineage(t["bars"]), cut_lineage(flow.net_positioning(t["oi"]))
     scan = cut_lineage(flow.ic_scan(bars, wide))
-    ml = cut_lineage(learning.flow_ml_backtest(bars, wide))
+    run = learning.flow_ml_run(bars, wide, evolver=evolver or Evolver())
+    candidates = learning.pooled_comparison(run.trades, run.rule_trades).withColumn("model", F.lit("pooled"))
+    if "index_bars" in t:
+        single = learning.flow_ml_run(t["index_bars"], wide, evolver=replace(evolver or Evolver(), pooled=False))
+        candidates = candidates.unionByName(learning.pooled_comparison(single.trades, single.rule_trades).withColumn("model", F.lit("single")))
+    candidates = cut_lineage(candidates)
     ok = F.col("passes_bonferroni_both_halves")
     best = F.max_by("feature", F.when(ok, F.abs("ic_full")))
     verdict = scan.groupBy("symbol").agg(
         F.coalesce(F.bool_or((F.col("feature") == current) & ok), F.lit(False)).alias("current_still_valid"), best.alias("best_candidate")
     )
-    wins = ml.select("symbol", (F.col("verdict") == "beats_benchmark").alias("ml_beats_benchmark"))
+    winner = candidates.agg(F.max_by("model", F.when(F.col("verdict") == "beats_benchmark", F.col("model_oos_sharpe"))).alias("winning_model")).first()[0]
+    verdict = verdict.withColumn("winning_model", F.lit(winner).cast("string"))
     change = F.col("best_candidate").isNotNull() & (F.col("best_candidate") != current) & ~F.col("current_still_valid")
     text = (
-        F.when(F.coalesce("ml_beats_benchmark", F.lit(False)), "consider the model")
+        F.when(F.col("winning_model").isNotNull(), "consider the model")
         .when(F.col("current_still_valid"), "no change needed")
         .otherwise("review candidates")
     )
-    return {"scan": scan, "verdict": verdict.join(wins, "symbol", "left").withColumns({"recommend_feature_change": change, "recommendation": text})}
+    verdict = verdict.withColumns({"recommend_feature_change": change, "recommendation": text})
+    recurrence = learning.feature_recurrence(learning.recipe_features(run.recipes))
+    return {"scan": scan, "models": candidates, "recipes": run.recipes, "recurrence": recurrence, "verdict": verdict}
 
 
 def stress_test(t: Frames) -> Frames:
@@ -249,7 +268,13 @@ def stress_test(t: Frames) -> Frames:
 
 
 def paper(t: Frames) -> Frames:
-    """Decision cycle over a stream (or a finished table) of account rows."""
+    """Decision cycle over a stream (or a finished table) of account rows.
+
+    `market` rows (trading.ROWS: prices, model outputs, indicators) run through regime, signal, breakers and session end;
+    `signals` are rows whose signal is ready.
+    """
+    if "market" in t:
+        return {"journal": trading.stream_trading(t["market"])}
     s = t["signals"]
     return {"trades": stateful.stream_decisions(s) if s.isStreaming else stateful.batch_decisions(s)}
 

@@ -107,3 +107,24 @@ def performance_summary(trades: DataFrame, as_of, days: int = 30, time: str = "t
         F.coalesce(F.avg("pnl_pct"), zero).alias("avg_return_pct"),
         F.coalesce(F.avg("confidence"), zero).alias("avg_confidence"),
     )
+
+
+def daily_summary(trades: DataFrame, date: str = "date") -> DataFrame:
+    """Rows of the daily table from closed trades: counts, P&L and the day's most frequent regime (ties by name)."""
+    pnl = F.col("pnl")
+    closed = trades.where((F.col("status") == "CLOSED") & pnl.isNotNull())
+    by_regime = closed.groupBy(F.col(date).alias("date"), "regime").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(pnl > 0).alias("w"), F.count_if(pnl < 0).alias("l"), F.sum("pnl").alias("p")
+    )
+    # of equally frequent regimes the one first by name: the greatest of (count, reversed order) over a bounded set of names
+    first = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "regime")))[0]["regime"]
+    return by_regime.groupBy("date").agg(
+        F.sum("n").alias("total_trades"), F.sum("w").alias("winning_trades"), F.sum("l").alias("losing_trades"), F.sum("p").alias("total_pnl"), first.alias("regime")
+    )
+
+
+def metric_rows(metrics: DataFrame, model_version: str, at) -> DataFrame:
+    """One row of the metrics table from a one-row frame of numbers: every numeric column is an entry of its map."""
+    numbers = [f.name for f in metrics.schema.fields if isinstance(f.dataType, T.NumericType)]
+    entries = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("double").alias("value")) for c in numbers]))
+    return metrics.select(F.lit(at).cast("timestamp").alias("timestamp"), F.lit(model_version).alias("model_version"), entries.alias("metrics"))

@@ -281,7 +281,7 @@ def flow_ml_run(
             search = replace(evolver, seed=evolver.seed + i)  # every fold searches anew
             found = search.validated(inner, val, cols, n_permutations=n_permutations, block_size=hold)
         genes = [g for g, _, _ in found]
-        recipes += [(i, g.label, g.op, g.a, g.b, float(ic), float(p)) for g, ic, p in found]
+        recipes += [(i, g.label, g.op, *(*g.sources, None)[:2], float(ic), float(p)) for g, ic, p in found]
         names = [*cols, *[g.label for g in genes]]
         train = apply_genes(train, genes).withColumn("label", (F.col("future_return") > 0).cast("double"))
         n, ups = train.agg(F.count(F.lit(1)), F.sum("label")).first()
@@ -292,7 +292,7 @@ def flow_ml_run(
             labelCol="label", featuresCol="features", weightCol="weight", elasticNetParam=1.0, regParam=1.0 / (c_inverse_reg * n), standardization=False, maxIter=30
         )
         model = fit_classifier(train, names, clf)
-        threshold = score(model, train, names).select(F.percentile("p_up", F.lit(quantile))).scalar()
+        threshold = score(model, train, names).select(F.percentile("p_up", F.lit(quantile))).first()[0]
         scored = score(model, apply_genes(fold, genes), names)
         e = cut_lineage(scored.select("symbol", "date", (F.col("p_up") >= threshold).alias("enter")))
         folds.append((i, a, b, n, len(genes), threshold, e.where("enter").count()))

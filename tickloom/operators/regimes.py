@@ -187,3 +187,14 @@ def signals(
     return d.withColumns({"action": action, "tier": tier.otherwise("none")}).withColumn(
         "execution_action", F.when(F.col("action") == "HOLD", "none").otherwise(execution.otherwise("none"))
     ).drop("_pick")
+
+
+# Fixed exit levels per trading horizon.
+TARGETS = {"intraday": (0.01, 0.01, 0.005), "swing": (0.05, 0.03, 0.02)}
+
+
+def horizon_targets(horizon: Column | str) -> Column:
+    """Profit target, stop and trailing stop of a horizon; of an unknown or missing one the intraday levels."""
+    h = F.col(horizon) if isinstance(horizon, str) else horizon
+    level = lambda i: F.when(h == "swing", TARGETS["swing"][i]).otherwise(TARGETS["intraday"][i])
+    return F.struct(level(0).alias("profit_target_pct"), level(1).alias("stop_loss_pct"), level(2).alias("trailing_stop_pct"))
