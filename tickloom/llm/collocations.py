@@ -226,6 +226,7 @@ def _merge(least: int):
         for batch in batches:
             for row in batch.to_pylist():
                 held.setdefault(row["bucket"], []).append(row)
+        batch = row = None  # the rows are held once
         for k in sorted(held):
             yield from bucket(held.pop(k))
 
@@ -262,7 +263,7 @@ def counted(docs: DataFrame, least: int = LEAST) -> DataFrame:
     ranges = RANGES_PER_PARTITION * max(1, rows.rdd.getNumPartitions())
     seed = 0
     while True:
-        dealt = rows.mapInArrow(_count(_splits(rows, ranges, seed), seed), _DEALT).repartition(ranges, "bucket")
+        dealt = rows.mapInArrow(_count(_splits(rows, ranges, seed), seed), _DEALT).repartitionById(ranges, F.col("bucket"))
         found = cut_lineage(dealt.mapInArrow(_merge(least), _COUNTED))
         if found.where(f"kind = {CLASH}").isEmpty():
             return found
