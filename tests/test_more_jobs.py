@@ -35,7 +35,10 @@ def test_walk_forward_job(inputs, small_trees):
 
 
 def test_gated_job_trades_trending_regimes_only(inputs, small_trees):
-    assert {r["regime"] for r in jobs.regime_gated_test(inputs)["reports"].collect()} <= {"bull_trend", "bear_trend"}
+    got = jobs.regime_gated_test(inputs)
+    by_regime, by_symbol = got["reports"].collect(), got["by_symbol"].collect()
+    assert {r["regime"] for r in by_regime} <= {"bull_trend", "bear_trend"}
+    assert sum(r["total_trades"] for r in by_regime) == sum(r["total_trades"] for r in by_symbol)
 
 
 def test_event_job_counts_its_events(inputs):

@@ -174,3 +174,19 @@ rx AS (SELECT symbol, feature, fold, rank() OVER (PARTITION BY symbol, feature,
   rank() OVER (PARTITION BY symbol, feature, fold ORDER BY label) + (count(*) OVER (PARTITION BY symbol, feature, fold, label) - 1) / 2.0 AS b FROM sg),
 ic AS (SELECT symbol, feature, fold, CASE WHEN count(*) >= 10 THEN corr(a, b) END AS ic FROM rx GROUP BY ALL)
 SELECT symbol, feature, count(*) AS n_folds, string_agg(CAST(fold AS VARCHAR), ',' ORDER BY fold) AS folds, count(*) >= 2 AS recurring FROM ic WHERE abs(ic) >= 0.08 GROUP BY ALL"""
+
+# rank correlations of every instrument, whole span and halves
+QUERIES["flow_ic_all"] = lambda spark, d: rounded(fl.flow_ic(cut_lineage(tb.bars_daily(spark, d)), wide(spark, d), lookbacks=(5,)))
+SQL["flow_ic_all"] = final(
+    DAILY + ",\n" + _WIDE + ",\nfeat AS MATERIALIZED (" + " UNION ALL ".join(
+        f"SELECT date, '{c}_diff5' AS feature, {c} - lag({c}, 5) OVER (ORDER BY date) AS value FROM wide" for c in _COLS
+    ) + """),
+lb AS (SELECT symbol, date, lead(close, 6) OVER w / lead(close, 1) OVER w - 1 AS label, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars
+  WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+sg AS (SELECT symbol, feature, value, label, unnest(['full', CASE WHEN i < n // 2 THEN 'first_half' ELSE 'second_half' END]) AS segment
+  FROM lb JOIN feat USING (date) WHERE value IS NOT NULL AND label IS NOT NULL),
+rx AS (SELECT symbol, feature, segment, rank() OVER (PARTITION BY symbol, feature, segment ORDER BY value) + (count(*) OVER (PARTITION BY symbol, feature, segment, value) - 1) / 2.0 AS a,
+  rank() OVER (PARTITION BY symbol, feature, segment ORDER BY label) + (count(*) OVER (PARTITION BY symbol, feature, segment, label) - 1) / 2.0 AS b FROM sg)""",
+    "SELECT symbol, feature, segment, count(*) AS n, CASE WHEN count(*) >= 10 THEN corr(a, b) END AS ic FROM rx GROUP BY ALL",
+    "symbol, feature, segment, n",
+)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog.data_cat import _J, journal
 from tickloom.catalog.features_cat import _RET, _smoothed
-from tickloom.catalog.flow_cat import wide
-from tickloom.catalog.sqltext import DAILY, INTRADAY, LINE, TRADES, final, full, lag, pnl_sql
+from tickloom.catalog.flow_cat import _rule_sql, wide
+from tickloom.catalog.sqltext import DAILY, INTRADAY, LINE, TRADES, final, full, lag, pnl_sql, report_sql
 from tickloom.functions.scalar import rounded
 from tickloom.operators import features as ft
 from tickloom.operators import flow as fl
@@ -297,6 +297,23 @@ def _allocation(spark, d):
 
 
 QUERIES["capital_allocation"] = lambda spark, d: rounded(_allocation(spark, d), 4)
+SQL["capital_allocation"] = final(
+    _rule_sql() + ",\n" + report_sql("sp", "symbol, quantile_threshold, hold_days, split", "exit_date", "entry_date", CAPITAL, True) + """,
+lq AS (SELECT symbol, avg(close * volume) / 1e7 AS adtv FROM bars GROUP BY symbol),
+gp AS (SELECT *, date - lag(date) OVER (PARTITION BY symbol ORDER BY date) AS gap FROM bars),
+ls AS (SELECT symbol, count(*) AS n, max(gap) AS longest, avg((volume <= 0)::INT) AS zero,
+  len(list_filter(generate_series(min(date), max(date), INTERVAL 1 DAY), lambda x: isodow(x) < 6)) AS wd FROM gp GROUP BY symbol),
+al AS (SELECT ls.symbol, total_trades, expectancy, sharpe_ratio, coalesce(adtv, 0.0) AS adtv_cr, CASE WHEN total_trades IS NULL THEN 'no backtest result'
+  WHEN total_trades < 20 THEN printf('only %d backtest trades (need >= 20)', total_trades)
+  WHEN coalesce(adtv, 0.0) < 0.01 THEN printf('ADTV Rs.%.1fcr below Rs.0.01cr minimum', coalesce(adtv, 0.0))
+  WHEN expectancy <= 0 THEN printf('non-positive expectancy (%.5f) after costs', expectancy) END AS reason
+  FROM ls LEFT JOIN (SELECT * FROM rep WHERE split = 'oos') r USING (symbol) LEFT JOIN lq USING (symbol)
+  WHERE n / greatest(wd, 1) >= 0.5 AND coalesce(longest, 0) <= 60 AND zero <= 0.05),
+ch AS (SELECT symbol, expectancy FROM al WHERE reason IS NULL ORDER BY sharpe_ratio DESC, symbol LIMIT 5),
+wt AS (SELECT symbol, expectancy / sum(expectancy) OVER () AS weight FROM ch)""",
+    "SELECT al.symbol, total_trades, expectancy, sharpe_ratio, adtv_cr, weight, weight * 1000000 AS allocated_capital, reason FROM al LEFT JOIN wt USING (symbol)",
+    "symbol, total_trades, reason", 4, recursive=True,
+)
 
 
 # --- running risk state of one account per symbol, exits, stress

@@ -128,7 +128,10 @@ def regime_gated_test(t: Frames) -> Frames:
     model = learning.fit_split(rows, cols)
     scored = learning.score(model, oos.filter(F.col("regime").isin("bull_trend", "bear_trend")), cols)
     trades = cut_lineage(learning.oos_trades(scored, delivery=True))
-    return {"reports": reports.performance_report(trades, ["regime"], "date", ["symbol"], CAPITAL)}
+    return {
+        "reports": reports.performance_report(trades, ["regime"], "date", ["symbol"], CAPITAL),
+        "by_symbol": reports.performance_report(trades, ["symbol"], "date", ["action"], CAPITAL),
+    }
 
 
 def pairs_trading_test(t: Frames, session: str = "session_date") -> Frames:
