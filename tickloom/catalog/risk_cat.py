@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.catalog.data_cat import _J, journal
 from tickloom.catalog.features_cat import _RET, _smoothed
 from tickloom.catalog.flow_cat import _rule_sql, wide
-from tickloom.catalog.sqltext import DAILY, INTRADAY, LINE, TRADES, final, full, lag, pnl_sql, report_sql
+from tickloom.catalog.sqltext import DAILY, INTRADAY, LINE, REPORT_KEYS, TRADES, final, full, lag, pnl_sql, report_sql
 from tickloom.functions.scalar import rounded
 from tickloom.operators import features as ft
 from tickloom.operators import flow as fl
@@ -100,8 +100,7 @@ QUERIES["pair_trades_all"] = lambda spark, d: rounded(
     )
 )
 _LONG, _SHORT_SPREAD = "position = 'long_spread'", "position = 'short_spread'"
-SQL["pair_trades_all"] = final(
-    _PAIR + f""",
+_PAIR_TRADES = _PAIR + f""",
 q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol_a, symbol_b ORDER BY date) AS rn,
   coalesce(lead(session_date) OVER (PARTITION BY symbol_a, symbol_b ORDER BY date) <> session_date, true) AS last_bar FROM o),
 wk(symbol_a, symbol_b, rn, position, ein, entry_a, entry_b, closed) AS (
@@ -116,12 +115,25 @@ wk(symbol_a, symbol_b, rn, position, ein, entry_a, entry_b, closed) AS (
   FROM wk w JOIN q ON q.symbol_a = w.symbol_a AND q.symbol_b = w.symbol_b AND q.rn = w.rn + 1),
 c AS (SELECT w.*, q.date AS xout, close_a AS exit_a, close_b AS exit_b, z AS exit_z, floor(50000.0 / entry_a) AS qa, floor(50000.0 / entry_b) AS qb
   FROM wk w JOIN q USING (symbol_a, symbol_b, rn) WHERE closed),
-p AS (SELECT *, {pnl_sql('entry_a', 'exit_a', 'qa', _SHORT_SPREAD)} + {pnl_sql('entry_b', 'exit_b', 'qb', _LONG)} AS pnl FROM c WHERE qa > 0 AND qb > 0)""",
+p AS (SELECT *, {pnl_sql('entry_a', 'exit_a', 'qa', _SHORT_SPREAD)} + {pnl_sql('entry_b', 'exit_b', 'qb', _LONG)} AS pnl FROM c WHERE qa > 0 AND qb > 0)"""
+SQL["pair_trades_all"] = final(
+    _PAIR_TRADES,
     """SELECT symbol_a, symbol_b, position, strftime(ein, '%Y-%m-%d %H:%M') AS entry_time, strftime(xout, '%Y-%m-%d %H:%M') AS exit_time, entry_a, entry_b, exit_a, exit_b,
   exit_z, pnl, pnl / (entry_a * qa + entry_b * qb) AS pnl_pct, least(1.0, abs(exit_z) / 2.0) AS confidence FROM p""",
     ", ".join(_PK), recursive=True,
 )
 
+QUERIES["pairs_backtest_all"] = lambda spark, d: rounded(
+    rp.performance_report(cut_lineage(pr.pair_trades(_all_scores(spark, d), "session_date")), ["symbol_a", "symbol_b"], "exit_date", ["entry_date"], CAPITAL)
+    .withColumns({c: F.substring(F.col(c).cast("string"), 1, 10) for c in ("max_dd_peak_date", "max_dd_trough_date")})
+)
+SQL["pairs_backtest_all"] = final(
+    _PAIR_TRADES + """,
+pt AS (SELECT symbol_a, symbol_b, ein AS entry_date, xout AS exit_date, pnl, pnl / (entry_a * qa + entry_b * qb) AS pnl_pct, least(1.0, abs(exit_z) / 2.0) AS confidence FROM p),
+""" + report_sql("pt", "symbol_a, symbol_b", "exit_date", "entry_date", CAPITAL),
+    "SELECT * FROM rep", "symbol_a, symbol_b, " + REPORT_KEYS, recursive=True,
+)
+
 # --- savings plan
 _SIP = DAILY + """,
 m AS (SELECT symbol, date, close, CASE WHEN row_number() OVER (PARTITION BY symbol, date_trunc('month', date) ORDER BY date) = 1 AND close > 0

@@ -58,15 +58,18 @@ def ingest(spark: SparkSession, folder: str, table: str, store: Store, name: str
         return d.where("date IS NOT NULL").select("*", part)
 
     none = spark.createDataFrame([], "path string, part string")
-    feeds = cut_lineage(rows(changed).select(F.col("_file").alias("path"), "part").distinct()) if changed else none
+    news_rows = cut_lineage(rows(changed)) if changed else None  # files that landed are read once
+    feeds = cut_lineage(news_rows.select(F.col("_file").alias("path"), "part").distinct()) if changed else none
     touched = cut_lineage(feeds.select("part").union(stale.where("part IS NOT NULL").select("part")).distinct())
     kept = known.join(now, ["path", "modified", "length"], "left_semi")
     old = kept.join(touched, "part", "left_semi").select("path").distinct()
-    sources = [*changed, *[r["path"] for r in old.collect()]]
+    others = [r["path"] for r in old.collect()]
     parts = [r["part"] for r in touched.collect()]  # partitions of this run
     written = set()
-    if parts and sources:
-        d = cut_lineage(rows(sources).join(F.broadcast(touched), "part").drop("_file"))
+    if parts and (changed or others):
+        again = rows(others).join(touched, "part", "left_semi") if others else None
+        d = again if news_rows is None else news_rows if again is None else news_rows.unionByName(again)
+        d = cut_lineage(d.drop("_file"))
         written = {r["part"] for r in d.select("part").distinct().collect()}
         d.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(table)
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
